@@ -21,15 +21,97 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.html_content import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.context_tree import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.multi_index import search_table
+
+    return search_table(table(spark, sf_dir, "embeddings"))
+
+
+def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.cover_tree import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.toxicity import grade_documents
+
+    return grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.lsh_forest import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = (
+    op1_sentencepiece,
+    op2_html_content,
+    op3_context_tree,
+    op4_multi_index_hashing,
+    op5_cover_tree,
+    op6_warc,
+    op7_toxicity,
+    op8_best_fit_packing,
+    op9_language_id,
+    op10_jaccard_join,
+    pipeline,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op8_best_fit_packing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE_SQL)
+
+
+ORACLE_SQL = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n, sha256(html) AS digest FROM p),
+             f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 AND page_id IS NOT NULL GROUP BY digest)
+        SELECT d.page_id, d.n AS payload_bytes, d.digest AS payload_digest,
+               CASE WHEN d.page_id <> f.first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN d.page_id <> f.first THEN f.first END AS refers_to
+        FROM d LEFT JOIN f ON d.digest = f.digest
+    """,
+}

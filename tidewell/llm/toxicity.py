@@ -98,7 +98,7 @@ def _likelihood_ratio(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> np.
     return 2 * (part(a, na) + part(b, nb))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: int = 2000, significance: float = 30.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: int = 2000, significance: float = 15.0) -> Model:
     """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("is_toxic"))
     drawn = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))

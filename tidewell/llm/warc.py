@@ -179,7 +179,7 @@ def _member(record: bytes) -> bytes:
     return packer.compress(record) + packer.flush()
 
 
-_ENTRY = struct.Struct("<QQ")
+_ENTRY = "<QQ"
 
 
 def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
@@ -200,7 +200,7 @@ def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
                     for record in split_records(inflate(_chunks(file))):
                         member = _member(record)
                         out.write(member)
-                        index.write(_ENTRY.pack(at, len(member)))
+                        index.write(struct.pack(_ENTRY, at, len(member)))
                         at += len(member)
                 with fs.open_output_stream(f"{new}/{name}.idx", compression=None) as out:
                     out.write(index.getvalue())
@@ -218,7 +218,7 @@ def read_records(archives: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with fs.open_input_file(f"{base}/{path}.idx") as file:
-                    entries = list(_ENTRY.iter_unpack(file.read()))
+                    entries = list(struct.iter_unpack(_ENTRY, file.read()))
                 with fs.open_input_stream(f"{base}/{path}", compression=None, buffer_size=1 << 20) as file:
                     for at in range(0, len(entries), 1024):
                         rows = [parse_record(zlib.decompress(file.read(length), 31)) for _, length in entries[at : at + 1024]]
@@ -231,8 +231,8 @@ def read_record_at(folder: str, path: str, number: int) -> bytes:
     """One record by its place in the index, without reading the others."""
     fs, base = _open(folder)
     with fs.open_input_file(f"{base}/{path}.idx") as file:
-        file.seek(number * _ENTRY.size)
-        offset, length = _ENTRY.unpack(file.read(_ENTRY.size))
+        file.seek(number * struct.calcsize(_ENTRY))
+        offset, length = struct.unpack(_ENTRY, file.read(struct.calcsize(_ENTRY)))
     with fs.open_input_file(f"{base}/{path}") as file:
         file.seek(offset)
         return zlib.decompress(file.read(length), 31)
