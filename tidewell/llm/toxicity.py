@@ -5,11 +5,11 @@ ordered. The expected severity is the sum of these probabilities.
 
 Grades. The labels say only whether a document is toxic. Grade 0 is a document labelled clean.
 A document labelled toxic gets grade 1, 2 or 3 by the third of the labelled toxic documents that
-its density of toxic words falls in. Toxic words are those that occur in significantly more
-toxic than clean documents (likelihood-ratio statistic).
+its share of words in the vocabulary falls in (likelihood-ratio statistic, at least three times as often).
 
-Features are sparse: for each word of the learned vocabulary, 1 + log of its count. The model is
-fitted on at most ``sample`` labelled documents, in the order of a hash of doc_id; identical texts
+Features are sparse: words, and beginnings of words of 4 to 7 letters, each as log(1 + its
+occurrences per hundred words). The vocabulary holds those in significantly more toxic documents.
+The model is fitted on at most ``sample`` labelled documents, in the order of a hash of doc_id; identical texts
 count once. Every document is scored whole.
 
 Null and empty texts have severity 0 and are not toxic. Several labels of one document: toxic if
@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import FragmentCache
+
 GRADES = 4
 SCORED = "severity double, grade int, toxic_probability double"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -38,6 +40,29 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def terms(word: str) -> list[str]:
+    """A word and its beginnings, as features."""
+    return [word, *(f"{word[:k]}*" for k in range(4, 8) if len(word) > k)]
+
+
+def features(text: str, columns: dict[str, int], known: dict[str, tuple[int, ...]]) -> tuple[dict[int, float], float]:
+    """({column: value}, share of the text's words with a feature). known: the columns of words met before."""
+    every = words(text)
+    counts: dict[int, int] = {}
+    marked = 0
+    for word, n in Counter(every).items():
+        for column in (at := known[word]):
+            counts[column] = counts.get(column, 0) + n
+        if at:
+            marked += n
+    size = max(1, len(every))
+    return {c: float(np.log1p(100 * n / size)) for c, n in counts.items()}, marked / size
+
+
+def word_columns(columns: dict[str, int]) -> FragmentCache:
+    return FragmentCache(lambda word: tuple(columns[t] for t in terms(word) if t in columns), 100_000)
+
+
 @dataclass
 class Model:
     """Word weights, and the thresholds between grades in rising order."""
@@ -46,10 +71,14 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     thresholds: np.ndarray = field(default_factory=lambda: np.full(GRADES - 1, 30.0))
 
+    known: FragmentCache | None = None
+
     def exceed(self, text: str | None) -> np.ndarray:
         """P(grade > k) for k = 0, 1, 2."""
-        found = Counter(filter(self.columns.__contains__, words(text))) if text and self.columns else None
-        margin = sum((1 + np.log(n)) * self.weights[self.columns[w]] for w, n in found.items()) if found else 0.0
+        if self.known is None:
+            self.known = word_columns(self.columns)
+        found = features(text, self.columns, self.known)[0] if text and self.columns else {}
+        margin = sum(x * self.weights[c] for c, x in found.items())
         return 1 / (1 + np.exp(np.clip(self.thresholds - margin, -50, 50)))
 
 
@@ -98,7 +127,7 @@ def _likelihood_ratio(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> np.
     return 2 * (part(a, na) + part(b, nb))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: int = 2000, significance: float = 15.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: int = 1000, significance: float = 15.0) -> Model:
     """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("is_toxic"))
     drawn = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
@@ -108,19 +137,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: in
         for batch in batches:
             clean, toxic = Counter(), Counter()
             for text, mark in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                (toxic if mark else clean).update(set(words(text.as_py())))
-            found = list(toxic)  # a word of no toxic document can't mark toxicity
-            clean_only = [w for w in clean if w not in toxic]
-            yield pa.RecordBatch.from_arrays([pa.array(found + clean_only, pa.string()), pa.array([toxic[w] for w in found] + [0] * len(clean_only), pa.int64()), pa.array([clean[w] for w in found + clean_only], pa.int64())], ["word", "toxic", "clean"])
+                (toxic if mark else clean).update({t for w in set(words(text.as_py())) for t in terms(w)})
+            found = list({*clean, *toxic})
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic[t] for t in found], pa.int64()), pa.array([clean[t] for t in found], pa.int64())], ["term", "toxic", "clean"])
 
     sizes = {r["is_toxic"]: r["n"] for r in labelled.groupBy("is_toxic").agg(F.count("*").alias("n")).collect()}
     na, nb = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     if not na or not nb:
         labelled.unpersist()
         return Model()
-    counts = labelled.mapInArrow(spread, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = labelled.mapInArrow(spread, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     lift = (F.col("toxic") + 0.5) / na / ((F.col("clean") + 0.5) / nb)
-    marked = counts.where((F.col("toxic") >= 3) & ((lift >= 3) | (lift <= 1 / 3))).orderBy(F.desc(F.abs(F.log(lift)) * F.sqrt("toxic")), "word").limit(4 * vocabulary).toPandas()
+    marked = counts.where((F.col("toxic") >= 3) & (lift >= 3)).orderBy(F.desc(F.col("toxic") * F.log(lift)), "term").limit(4 * vocabulary).toPandas()
     a, b = marked["toxic"].to_numpy(float), marked["clean"].to_numpy(float)
     g = _likelihood_ratio(a, b, na, nb)
     chosen = np.flatnonzero(g >= significance)
@@ -128,17 +156,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: in
     if not len(chosen):
         labelled.unpersist()
         return Model()
-    columns = {marked["word"].iloc[i]: k for k, i in enumerate(chosen)}
-    rising = {w for w, i in zip(columns, chosen, strict=True) if a[i] / na > b[i] / nb}
+    columns = {marked["term"].iloc[i]: k for k, i in enumerate(chosen)}
 
     def sparse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = word_columns(columns)
         for batch in batches:
             out = []
             for text, mark in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                every = words(text.as_py())
-                found = Counter(filter(columns.__contains__, every))
-                bad = sum(n for w, n in found.items() if w in rising)
-                out.append((mark, bad / max(1, len(every)), [columns[w] for w in found], [1 + float(np.log(n)) for n in found.values()]))
+                found, share = features(text.as_py(), columns, known)
+                out.append((mark, share, list(found), list(found.values())))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64())), strict=True)] if out else [pa.array([], t) for t in (pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64()))], ["is_toxic", "density", "at", "x"])
 
     picked = labelled.mapInArrow(sparse, "is_toxic int, density double, at array<int>, x array<double>").toPandas()
