@@ -115,7 +115,7 @@ ORACLE_SQL = {
         FROM d LEFT JOIN f ON d.digest = f.digest
     """,
     "op4_multi_index_hashing": """
-        WITH c AS (SELECT DISTINCT vec_id, array_to_string(list_transform(embedding, x -> CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS code
+        WITH c AS (SELECT DISTINCT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS code
                    FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
              d AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(hamming(q.code, c.code) AS INTEGER) AS distance
                    FROM c AS q JOIN c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
@@ -134,10 +134,10 @@ ORACLE_SQL = {
     """,
     "op10_jaccard_join": """
         WITH RECURSIVE w AS (SELECT doc_id, string_split_regex(trim(lower(coalesce(text, '')), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '[ \\t\\n\\x0B\\f\\r]+') AS words FROM documents),
-             s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(words) - 4, 1) + 1), i -> array_to_string(words[i : i + 4], ' '))) AS shingle FROM w WHERE words <> ['']),
+             s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i : i + 4], ' '))) AS shingle FROM w WHERE words <> ['']),
              sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-             common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
-             links AS (SELECT a, b FROM common JOIN sizes AS x ON x.doc_id = a JOIN sizes AS y ON y.doc_id = b WHERE both >= 0.8 * (x.n + y.n - both) - 1e-9),
+             common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+             links AS (SELECT a, b FROM common JOIN sizes AS x ON x.doc_id = a JOIN sizes AS y ON y.doc_id = b WHERE met >= 0.8 * (x.n + y.n - met) - 1e-9),
              reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON r.b = l.a),
              least AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
              n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
