@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def pearson_of_sums(n: str = "n", sx: str = "sx", sy: str = "sy", sxx: str = "sxx", syy: str = "syy", sxy: str = "sxy") -> Column:
@@ -62,7 +63,7 @@ def effective_n(n: Column, rho_x: Column, rho_y: Column) -> Column:
     return F.when(rho_x.isNull() | rho_y.isNull(), n).otherwise(F.greatest(F.lit(3), F.least(n, F.floor(n / shrink)))).cast("long")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation by Fisher's z; null below four values."""
 
@@ -102,7 +103,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     return front * out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a rank correlation by Student's t with n - 2 degrees of freedom."""
 

@@ -68,13 +68,13 @@ def second_deltas(buckets: DataFrame, interval: int, gap: int = 5, value: str =
 
 
 def trailing_average(buckets: DataFrame, step: int, interval: int, value: str = "agg_value") -> DataFrame:
-    """sensor_id, bucket, trailing: mean of the ``step`` buckets of the grid that end at each one.
+    """sensor_id, bucket, trailing_mean: mean of the ``step`` buckets of the grid that end at each one.
 
     Each bucket is sent to the ``step`` anchors it counts for, so series are not gathered.
     """
     anchors = buckets.select("sensor_id", F.col("bucket").alias("anchor"))
     sent = buckets.select("sensor_id", value, F.explode(F.sequence(F.lit(0), F.lit(step - 1))).alias("k"), "bucket").withColumn("anchor", F.col("bucket") + F.col("k") * interval)
-    return anchors.join(sent.groupBy("sensor_id", "anchor").agg(F.avg(value).alias("trailing")), ["sensor_id", "anchor"]).select("sensor_id", F.col("anchor").alias("bucket"), F.round("trailing", 3).alias("trailing"))
+    return anchors.join(sent.groupBy("sensor_id", "anchor").agg(F.avg(value).alias("trailing")), ["sensor_id", "anchor"]).select("sensor_id", F.col("anchor").alias("bucket"), F.round("trailing", 3).alias("trailing_mean"))
 
 
 def rolling_mean_at(metrics: DataFrame, width: int, every: int) -> DataFrame:
