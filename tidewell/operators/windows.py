@@ -74,7 +74,7 @@ def trailing_average(buckets: DataFrame, step: int, interval: int, value: str =
     """
     anchors = buckets.select("sensor_id", F.col("bucket").alias("anchor"))
     sent = buckets.select("sensor_id", value, F.explode(F.sequence(F.lit(0), F.lit(step - 1))).alias("k"), "bucket").withColumn("anchor", F.col("bucket") + F.col("k") * interval)
-    return anchors.join(sent.groupBy("sensor_id", "anchor").agg(F.avg(value).alias("trailing")), ["sensor_id", "anchor"]).select("sensor_id", F.col("anchor").alias("bucket"), F.round("trailing", 3).alias("trailing_mean"))
+    return anchors.join(sent.groupBy("sensor_id", "anchor").agg(F.avg(value).alias("trailing")), ["sensor_id", "anchor"]).select("sensor_id", F.col("anchor").alias("bucket"), F.col("trailing").alias("trailing_mean"))
 
 
 def rolling_mean_at(metrics: DataFrame, width: int, every: int) -> DataFrame:

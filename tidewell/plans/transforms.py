@@ -53,7 +53,7 @@ def rate_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.deltas(hourly(spark, sf_dir), HOUR).select("sensor_id", "bucket", (3600 * F.col("delta") / F.greatest(F.col("dt"), F.lit(1))).alias("rate"))
 
 
-@query("SELECT a.sensor_id, a.bucket, round(avg(b.agg_value), 3) AS trailing_mean FROM h AS a JOIN h AS b ON a.sensor_id = b.sensor_id AND b.bucket BETWEEN a.bucket - 5 * 3600 AND a.bucket GROUP BY 1, 2", "trailing_mean")
+@query("SELECT a.sensor_id, a.bucket, avg(b.agg_value) AS trailing_mean FROM h AS a JOIN h AS b ON a.sensor_id = b.sensor_id AND b.bucket BETWEEN a.bucket - 5 * 3600 AND a.bucket GROUP BY 1, 2", "trailing_mean")
 def trailing_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.trailing_average(hourly(spark, sf_dir), 6, HOUR)
 
