@@ -233,7 +233,7 @@ def savitzky_golay(buckets: DataFrame, window: int, degree: int, derivative: int
     Rows are smoothed in chunks that overlap by a window, however long the series is.
     ``gap``: a longer step between buckets starts a new segment; too short segments keep their values.
     """
-    half = window // 2
+    half, chunk = window // 2, max(chunk, window)
     rows = buckets.select("sensor_id", "bucket", F.col(value).alias("v"))
     rows = islands(rows, ["sensor_id"], "bucket", gap, "segment") if gap else rows.withColumn("segment", F.lit(1))
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("sensor_id", "segment").orderBy("bucket")) - 1)

@@ -72,8 +72,8 @@ def overwrite_days(rows: DataFrame, path: str) -> None:
 
 def inspect(spark: SparkSession, path: str) -> DataFrame:
     """date, shard, files, rows."""
-    rows = spark.read.schema(LAKE).parquet(path)
-    return rows.groupBy("date", "shard").agg(F.countDistinct(F.input_file_name()).alias("files"), F.count("*").alias("rows"))
+    rows = spark.read.schema(LAKE).parquet(path).select("date", "shard", F.col("_metadata.file_path").alias("_file"))
+    return rows.groupBy("date", "shard").agg(F.countDistinct("_file").alias("files"), F.count("*").alias("rows"))
 
 
 def compact(spark: SparkSession, path: str, staging: str, more_than: int = 10) -> DataFrame:
