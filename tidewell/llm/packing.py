@@ -146,7 +146,11 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     live = [k for k in range(len(bins)) if 0 < fill[k] < capacity]
-    while len(live) > 1:
+    changed = False
+    while len(live) > 1 or changed:
+        if len(live) <= 1:  # what could not be emptied may be emptied now
+            live, changed = [k for k in range(len(bins)) if 0 < fill[k] < capacity], False
+            continue
         live.sort(key=lambda k: fill[k])
         giver = live[0]
         for taker in reversed(live[1:]):
@@ -161,6 +165,7 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
             fill[giver] -= gain
             fill[taker] += gain
             live = [k for k in live if 0 < fill[k] < capacity]
+            changed = True
             break
         else:
             live = live[1:]  # this bin can't be emptied further by any other
