@@ -97,7 +97,7 @@ def stream(spark, df, path):
 
 
 def test_streams_equal_batches(spark, tmp_path):
-    p = points(spark, 60)
+    p = points(spark, 60).withColumn("us", F.col("us") + DAY)
     s = stream(spark, p, str(tmp_path / "in"))
     got = telemetry.run_all(telemetry.tumbling(s, "1 day"), "tumbling", "complete")
     assert got.agg(F.sum("samples")).first()[0] == 60
