@@ -82,6 +82,28 @@ def test_html(spark):
     assert got[2]["text"] == got[3]["text"] == "" and got[4]["text"] == "unclosed words stay here" and got[1]["n_chars"] == len(got[1]["text"])
 
 
+def test_html_keeps_articles_in_wrappers():
+    weights = html_content.default_weights()
+    body = "<p>The ferry leaves the harbour at nine and reaches the island before noon on most days.</p><p>Its crew of six has sailed together for many years.</p>"
+    want = "The ferry leaves the harbour at nine and reaches the island before noon on most days.\nIts crew of six has sailed together for many years."
+    beside = "<div class='sidebar'><a href=x>More of this</a> and that</div>"
+    for page in (
+        f"<html><head><title>no</title><meta charset=utf-8><body>{body}</body></html>",
+        f"<head><title>no</title>{body}",
+        *(f"<body><div class='{name}'>{inner}{beside}</div></body>" for name in ("content-sidebar-wrap", "container has-sidebar", "no-sidebar", "page-header-fixed", "legal-news", "search-page") for inner in (body, f"<main>{body}</main>", f"<article>{body}</article>")),
+        f"<body><form id='aspnetForm'><div class='search'>Find it</div>{body}</form></body>",
+        f"<body><main><div class='has-sidebar'>{body}</div></main></body>",
+        f"<body><aside><article>Teaser text</article></aside><div>{body}</div></body>",
+    ):
+        assert html_content.extract(page, weights) == want, page
+    assert html_content.extract("<head><title>no</title>Bare words of a page without any tags", weights) == "Bare words of a page without any tags"
+    # Comments stay out, however long, and so does a sidebar of articles beside a main.
+    comments = "<div id='comments'>" + f"<article class='comment-body'>{body}</article>" * 5 + "</div>"
+    assert html_content.extract(f"<body><div class='has-sidebar'><article>{body}</article>{comments}</div></body>", weights) == want
+    assert html_content.extract(f"<body><main><article>{body}</article>{comments}</main></body>", weights) == want
+    assert html_content.extract(f"<body><main>{body}</main><div class='related'><article>{body}</article></div></body>", weights) == want
+
+
 def test_best_region_is_the_best():
     rng = np.random.default_rng(2)
     for _ in range(50):

@@ -7,6 +7,11 @@ widened to whole blocks. Inside it, elements that by their tag, role, class or i
 headers, footers, sidebars, notices, adverts, forms, scripts or reader comments contribute no
 words; outside them nothing is dropped or cut.
 
+Class and id names (and forms) are a suspicion only, since wrappers carry them too (has-sidebar,
+search-page). Such an element counts as a wrapper and keeps its words if it holds the page's main
+element; an article, unless it stands beside a main; or, with no article or main beside it, at least
+half of the words outside links of the article, main or page that it is in.
+
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed, empty ones left out, and the rest joined by one newline. ``<br>`` counts as white space.
 
@@ -40,6 +45,8 @@ SKIPPED_NAMES = frozenset(
     "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login signin register paywall disclaimer copyright legal "
     "form search searchbox hidden skip".split()
 )
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())  # any other tag ends the head
+COMMENT_NAMES = frozenset("comment comments commentlist reply replies respond".split())  # an article named so is a reader's
 _CLOSED_BY = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -47,37 +54,78 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]
 _NAME = re.compile(r"[a-z]+")
 
 
+def _names(attributes: str) -> set[str]:
+    """Parts of the class and id names."""
+    return {part for key, value in _ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id") for part in _NAME.findall(value.lower())}
+
+
 def _skipped(name: str, attributes: str) -> bool:
-    if name in SKIPPED:
+    """Is it left out whatever it holds?"""
+    if name in SKIPPED and name != "form":
         return True
-    if "=" not in attributes and "hidden" not in attributes:
-        return False
-    for key, value in _ATTRIBUTE.findall(attributes):
+    for key, value in _ATTRIBUTE.findall(attributes) if "=" in attributes or "hidden" in attributes else ():
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "role" and value in SKIPPED_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and not SKIPPED_NAMES.isdisjoint(_NAME.findall(value)):
-            return True
     return False
 
 
+def _suspected(name: str, attributes: str) -> bool:
+    """Is it left out unless it turns out to be a wrapper of the main text?"""
+    return name == "form" or "=" in attributes and name not in ("html", "body", "article", "main") and not SKIPPED_NAMES.isdisjoint(_names(attributes))
+
+
+class _Part:
+    """A suspected element, or a scope (the page, a main, an article), while the page is read."""
+
+    __slots__ = ("up", "scope", "words", "mains", "articles")
+
+    def __init__(self, up: _Part | None, scope: _Part | None = None):
+        self.up, self.scope = up, scope  # the next part of its kind around it; the scope a suspect is in
+        self.words = self.mains = self.articles = 0
+
+    def add(self, words: int = 0, mains: int = 0, articles: int = 0) -> None:
+        part: _Part | None = self
+        while part is not None:
+            part.words, part.mains, part.articles = part.words + words, part.mains + mains, part.articles + articles
+            part = part.up
+
+    def is_wrapper(self, page: _Part, in_main: bool) -> bool:
+        if self.mains or self.articles:
+            return bool(self.mains or in_main or not page.mains)
+        return not (self.scope.mains or self.scope.articles) and 0 < self.scope.words <= 2 * self.words
+
+
 Event = tuple[str, str, int]  # (kind, text, block number); the kind is a feature of the weights
 
 
 def events(html: str) -> list[Event]:
     """Tags and runs of text in page order; text of skipped elements is left out."""
-    out: list[Event] = []
-    stack: list[tuple[str, bool, bool]] = []  # (name, in a skipped element, in an article)
+    out: list[tuple[str, str, int, _Part | None]] = []
+    page = _Part(None)
+    bottom = ("", False, False, None, page, False, False)
+    stack: list[tuple[str, bool, bool, _Part | None, _Part, bool, bool]] = []  # (name, in a skipped element, in an article, suspect, scope, in a main, in a link)
+    suspects: list[tuple[_Part, bool]] = []  # outer ones first
     block = at = 0
-    has_main = re.search(r"<(?:article|main)[\s>]", html, re.I) is not None
 
     def text(part: str) -> None:
-        if part and not (stack and stack[-1][1]):
-            inside = bool(stack) and stack[-1][2]
-            if part.isspace():
-                out.append(("space", " ", block))
-            else:
-                out.append(("word inside" if inside else "word beside" if has_main else "word", unescape(part), block))
+        if not part:
+            return
+        blank = part.isspace()
+        if stack and stack[-1][0] == "head" and not blank:
+            stack.pop()
+        _, skip, inside, suspect, scope, _, link = stack[-1] if stack else bottom
+        if skip:
+            return
+        if blank:
+            out.append(("space", " ", block, suspect))
+            return
+        out.append(("word inside" if inside else "word", unescape(part), block, suspect))
+        if not link:
+            n = len(part.split())
+            scope.add(n)
+            if suspect is not None:
+                suspect.add(n)
 
     while (found := _TOKEN.search(html, at)) is not None:
         text(html[at : found.start()])
@@ -85,19 +133,19 @@ def events(html: str) -> list[Event]:
         name = (found[2] or "").lower()
         if not name:
             continue
-        skipping, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        skipping, suspect = (stack[-1][1], stack[-1][3]) if stack else (False, None)
         if name in BLOCKS:
             block += 1
         elif name == "br" and not skipping:
-            out.append(("space", " ", block))
+            out.append(("space", " ", block, suspect))
         if found[1]:
             if any(s[0] == name for s in stack):
                 while stack.pop()[0] != name:
                     pass
         else:
-            while stack and name in _CLOSED_BY.get(stack[-1][0], ()):
+            while stack and (name in _CLOSED_BY.get(stack[-1][0], ()) or stack[-1][0] == "head" and name not in IN_HEAD):
                 stack.pop()
-            skipping, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            _, skipping, inside, suspect, scope, in_main, link = stack[-1] if stack else bottom
             skip = skipping or _skipped(name, found[3])
             if name in RAW and not found[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
@@ -106,11 +154,27 @@ def events(html: str) -> list[Event]:
                 elif name in ("script", "style", "title", "textarea"):
                     at = len(html)
             elif name not in VOID and not (found[3].endswith("/") and name not in BLOCKS):
-                stack.append((name, skip, (inside or name in ("article", "main")) and not skip))
+                own, around = suspect, scope
+                if not skip and name in ("article", "main"):
+                    if name == "main" or COMMENT_NAMES.isdisjoint(_names(found[3])):
+                        for part in filter(None, (scope, suspect)):
+                            part.add(mains=name == "main", articles=name == "article")
+                        around = _Part(scope)
+                elif not skip and _suspected(name, found[3]):
+                    own = _Part(suspect, scope)
+                    suspects.append((own, in_main))
+                stack.append((name, skip, (inside or name in ("article", "main")) and not skip, own, around, in_main or name == "main", link or name == "a"))
         if not skipping:
-            out.append((f"tag {name}", "", block))
+            out.append((f"tag {name}", "", block, suspect))
     text(html[at:])
-    return out
+    dropped: set[_Part] = set()
+    for part, in_main in suspects:
+        if part.up in dropped or not part.is_wrapper(page, in_main):
+            dropped.add(part)
+    kept = [(kind, words, number) for kind, words, number, part in out if part not in dropped] if dropped else [e[:3] for e in out]
+    if any(kind in ("tag article", "tag main") for kind, _, _ in kept):
+        return [("word beside" if kind == "word" else kind, words, number) for kind, words, number in kept]
+    return kept
 
 
 def best_region(scores: Iterable[float]) -> tuple[int, int]:
