@@ -164,6 +164,29 @@ def test_matrix_profile_finds_the_repeat():
     assert nearest[20] == 80 and nearest[80] == 20 and distance[20] < 1e-6
 
 
+def test_matrix_profile_covers_the_whole_series(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=700)
+    v[640:672] = v[10:42]  # repeats a part that the last 512 buckets do not hold
+    v[300:350] = 2.0
+    short = rng.normal(size=40)
+    both = series(spark, "a", v, 3600).unionByName(series(spark, None, short, 3600)).unionByName(series(spark, "c", range(20), 3600))
+    for options in ({}, {"block": 128}, {"block": 20}):
+        got = {(r["sensor_id"], r["bucket"] // 3600): r for r in events.matrix_profile(both, **options).collect()}
+        assert len(got) == (700 - 31) + (40 - 31)
+        for name, values in (("a", v), (None, short)):
+            distance, nearest = events.profile(values, 32, 16)
+            assert [got[name, k]["distance"] for k in range(len(distance))] == pytest.approx(distance.tolist(), abs=1e-5)
+            assert all((got[name, k]["nearest"] is None) == (n < 0) for k, n in enumerate(nearest))
+        assert got["a", 10]["nearest"] == 640 * 3600 and got["a", 640]["nearest"] == 10 * 3600
+    assert events.matrix_profile(both, points=512).where("sensor_id = 'a'").agg(F.min("bucket"), F.count("*")).first()[:] == (188 * 3600, 512 - 31)
+
+
+def test_all_events_are_detected(spark):
+    d = spark.range(9000).select(F.lit("a").alias("sensor_id"), (F.col("id") * 3600).alias("bucket"), (F.when(F.col("id") % 3 == 0, 10.0).otherwise(1.0) * F.when(F.col("id") % 2 == 0, 1).otherwise(-1)).alias("delta"))
+    assert events.detect(d).count() == 3000 and events.detect(d, cap=2000).count() == 2000
+
+
 def test_firing(spark):
     s = spark.createDataFrame([("a", 60 * i, m == "1") for i, m in enumerate("0110111100101")], "sensor_id string, bucket long, met boolean")
     assert rows(rules.firing(s, 60, debounce=120, clear=60), "start", "end") == [(420, 600)]

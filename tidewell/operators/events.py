@@ -56,14 +56,16 @@ def suppress(events: DataFrame, window: int) -> DataFrame:
     return runs.groupBy("sensor_id", "part").applyInPandas(strongest, events.schema)
 
 
-def detect(deltas: DataFrame, threshold: float = 3.0, separation: int = 0, polarity: str = "both", cap: int = 2000, value: str = "delta") -> DataFrame:
-    """sensor_id, bucket, value, z, direction: events at |z| >= threshold, suppressed, the strongest ``cap`` of each."""
+def detect(deltas: DataFrame, threshold: float = 3.0, separation: int = 0, polarity: str = "both", cap: int | None = None, value: str = "delta") -> DataFrame:
+    """sensor_id, bucket, value, z, direction: events at |z| >= threshold, suppressed; with a ``cap`` the strongest of each sensor."""
     e = zscores(deltas, value).where(F.abs("z") >= threshold)
     if polarity != "both":
         e = e.where(F.col("z") >= 0 if polarity == "up" else F.col("z") < 0)
     e = e.withColumn("direction", F.when(F.col("z") >= 0, "up").otherwise("down"))
     if separation:
         e = suppress(e, separation)
+    if cap is None:
+        return e
     w = Window.partitionBy("sensor_id").orderBy(F.desc(F.abs("z")), "bucket")
     return e.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= cap).drop("_k")
 
@@ -181,6 +183,25 @@ def unified_rank(matches: DataFrame, shared: DataFrame, match_weight: float = 0.
 # ---- matrix profile, smoothing -----------------------------------------------------------
 
 
+def _normalised(values: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(z-normalised subsequences, which of them are constant)."""
+    parts = np.lib.stride_tricks.sliding_window_view(values.astype(float), window)
+    with np.errstate(invalid="ignore"):
+        spread = parts.std(axis=1, keepdims=True)
+        z = np.where(spread > 1e-12, (parts - parts.mean(axis=1, keepdims=True)) / np.where(spread > 1e-12, spread, 1), 0.0)
+    z[np.isnan(spread[:, 0])] = np.nan
+    return z, spread[:, 0] <= 1e-12
+
+
+def _squared(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], apart: np.ndarray, exclusion: int) -> np.ndarray:
+    """Squared distances of the subsequences of a and b; infinite where they are too close or not numbers."""
+    (z, flat), (y, even) = a, b
+    squared = np.maximum(0, (z * z).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * z @ y.T)
+    squared[np.ix_(flat, even)] = 0.0
+    squared[(np.abs(apart) <= exclusion) | np.isnan(squared)] = np.inf
+    return squared
+
+
 def profile(values: np.ndarray, window: int, exclusion: int) -> tuple[np.ndarray, np.ndarray]:
     """(distance to the nearest other subsequence, its start) of z-normalised subsequences.
 
@@ -188,32 +209,59 @@ def profile(values: np.ndarray, window: int, exclusion: int) -> tuple[np.ndarray
     """
     if len(values) <= window:
         return np.zeros(0), np.zeros(0, np.int64)
-    parts = np.lib.stride_tricks.sliding_window_view(values.astype(float), window)
-    spread = parts.std(axis=1, keepdims=True)
-    flat = spread[:, 0] <= 1e-12
-    z = np.where(spread > 1e-12, (parts - parts.mean(axis=1, keepdims=True)) / np.where(spread > 1e-12, spread, 1), 0.0)
-    squared = np.maximum(0, (z * z).sum(1)[:, None] + (z * z).sum(1)[None, :] - 2 * z @ z.T)
-    squared[np.ix_(flat, flat)] = 0.0
-    k = np.arange(len(z))
-    squared[np.abs(k[:, None] - k[None, :]) <= exclusion] = np.inf
+    own = _normalised(values, window)
+    k = np.arange(len(own[0]))
+    squared = _squared(own, own, k[:, None] - k[None, :], exclusion)
     nearest = squared.argmin(axis=1)
     return np.sqrt(squared[k, nearest]), np.where(np.isfinite(squared[k, nearest]), nearest, -1)
 
 
-def matrix_profile(buckets: DataFrame, points: int = 512, window: int = 32, exclusion: int | None = None, value: str = "agg_value") -> DataFrame:
-    """sensor_id, bucket, distance, nearest over the last ``points`` buckets of each series."""
-    skip = window // 2 if exclusion is None else exclusion
-    w = Window.partitionBy("sensor_id").orderBy(F.desc("bucket"))
-    recent = buckets.select("sensor_id", "bucket", value).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= points).drop("_k")
+def _numbered(rows: DataFrame, span: int = 1 << 22) -> DataFrame:
+    """``rows`` with their place k in their series and its ``size``, counted in chunks of ``span`` seconds."""
+    rows = rows.withColumn("_c", F.floor(F.col("bucket") / span))
+    w = Window.partitionBy("_s").orderBy("_d")
+    chunks = rows.groupBy(F.col("sensor_id").alias("_s"), F.col("_c").alias("_d")).agg(F.count("*").alias("_n"))
+    chunks = chunks.select("_s", "_d", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_n").over(Window.partitionBy("_s")).alias("size"))
+    within = F.row_number().over(Window.partitionBy("sensor_id", "_c").orderBy("bucket")) - 1
+    return rows.withColumn("_k", within).join(chunks, F.col("sensor_id").eqNullSafe(F.col("_s")) & (F.col("_c") == F.col("_d"))).withColumn("k", F.col("_b") + F.col("_k")).drop("_c", "_k", "_s", "_d", "_b")
+
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bucket", ignore_index=True)
-        distance, nearest = profile(rows[value].to_numpy(), window, skip)
-        start = rows["bucket"].to_numpy()
-        other = [int(start[j]) if j >= 0 else None for j in nearest]
-        return pd.DataFrame({"sensor_id": rows["sensor_id"].iloc[: len(distance)], "bucket": start[: len(distance)], "distance": distance, "nearest": pd.array(other, "Int64")})
+def matrix_profile(buckets: DataFrame, points: int | None = None, window: int = 32, exclusion: int | None = None, value: str = "agg_value", block: int = 1024) -> DataFrame:
+    """sensor_id, bucket, distance, nearest over all buckets of each series, or its last ``points``.
 
-    return recent.groupBy("sensor_id").applyInPandas(one, "sensor_id string, bucket long, distance double, nearest long")
+    A series' subsequences are cut into blocks and every pair of blocks is a task of its own. Of
+    equally near subsequences the earliest is taken.
+    """
+    skip = window // 2 if exclusion is None else exclusion
+    rows = _numbered(buckets.select("sensor_id", "bucket", F.col(value).cast("double").alias("v")))
+    if points is not None:
+        rows = rows.where(F.col("k") >= F.col("size") - points).withColumn("k", F.col("k") - F.greatest(F.lit(0), F.col("size") - points)).withColumn("size", F.least("size", F.lit(points)))
+    rows = rows.where(F.col("size") > window).withColumn("blocks", F.ceil((F.col("size") - window + 1) / block))
+    span = F.sequence(F.greatest(F.lit(0), F.floor((F.col("k") - window + 1) / block)), F.least(F.col("blocks") - 1, F.floor(F.col("k") / block)))
+    dealt = rows.withColumn("own", F.explode(span)).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("sensor_id", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "k", "bucket", "v")
+
+    def pair(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("k", ignore_index=True)
+        i, j = part["i"].iloc[0], part["j"].iloc[0]
+        sides = [part[part["own"] == b] for b in ((i, j) if i != j else (i,))]
+        parts = [_normalised(side["v"].to_numpy(), window) for side in sides]
+        place = [side["k"].to_numpy()[: len(z)] for side, (z, _) in zip(sides, parts, strict=True)]
+        start = [side["bucket"].to_numpy()[: len(z)] for side, (z, _) in zip(sides, parts, strict=True)]
+        squared = _squared(parts[0], parts[-1], place[0][:, None] - place[-1][None, :], skip)
+        out = []
+        for near, own, other in ((squared, 0, -1), (squared.T, 1, 0))[: len(sides)]:
+            at = near.argmin(axis=1)
+            distance = np.sqrt(near[np.arange(len(at)), at])
+            nearest = pd.array(start[other][at], "Int64")
+            nearest[~np.isfinite(distance)] = pd.NA
+            out.append(pd.DataFrame({"bucket": start[own], "distance": distance, "nearest": nearest}))
+        found = pd.concat(out, ignore_index=True)
+        found.insert(0, "sensor_id", part["sensor_id"].iloc[0])
+        return found
+
+    pairs = dealt.groupBy("sensor_id", "i", "j").applyInPandas(pair, "sensor_id string, bucket long, distance double, nearest long")
+    return pairs.groupBy("sensor_id", "bucket").agg(F.min(F.struct("distance", "nearest")).alias("b")).select("sensor_id", "bucket", "b.distance", "b.nearest")
 
 
 @lru_cache(maxsize=256)
