@@ -253,6 +253,24 @@ def test_jaccard_join(spark, docs, corpus):
     assert lsh_forest.jaccard_classes(docs).count() == 11 and lsh_forest.jaccard_classes(docs.limit(0)).count() == 0
 
 
+def test_prefixes_are_shortened_from_the_data(spark):
+    # Two trees and a low recall: the first prefixes miss some of these pairs, shorter ones fewer.
+    rng = np.random.default_rng(8)
+    texts = {}
+    for k in range(0, 120, 2):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+        texts[k], texts[k + 1] = " ".join(words), " ".join(["other", *words[1:60], "new", *words[61:]])
+    links, _ = brute_jaccard(texts)
+    assert sum(map(len, links.values())) == 120
+    df = spark.createDataFrame([(k, t, "en", None, None) for k, t in texts.items()], DOCS)
+    first = lsh_forest.prefix_depth(0.8, 2, 6, 0.6)
+    signed = lsh_forest._signed(df, 5, 2, 6).withColumnRenamed("doc_id", "rep")
+    met = {d: {(r["a"], r["b"]) for r in lsh_forest.candidates(signed, 2, 6, d).collect()} for d in (first, first - 1)}
+    assert met[first] < met[first - 1]
+    found = lsh_forest.jaccard_classes(df, trees=2, recall=0.6).where("n_links > 0").count()
+    assert found >= 2 * len({p for p in met[first - 1] if p[0] - p[1] == 1}) > 2 * len({p for p in met[first] if p[0] - p[1] == 1})
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7), (None, 3)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -3,11 +3,13 @@
 1. A document's shingles are its runs of ``width`` lower-cased words (of a shorter text all its
    words, once), as 64-bit hashes. Documents with the same set of shingles form one class and go
    on as one, however many they are.
-2. Forest: each of ``trees`` tries holds the classes under a label of ``depth`` MinHash values,
-   in the order of these values. Matched prefixes start at the whole label and are shortened until
-   a pair at the threshold shares one in some tree with probability ``recall`` at least. Classes
-   under one shortened prefix are candidates of each other; that is kept as one edge from each to
-   the smallest, and the components of these edges are the candidate groups.
+2. Forest: each of ``trees`` tries holds the classes under a label of ``depth`` MinHash values. A
+   node of a trie is a prefix of labels; classes under one node are candidates of each other, which
+   is kept as one edge from each to the smallest, and the components of these edges are the
+   candidate groups. The matched prefixes of all tries are shortened together: first to the length
+   at which a pair at the threshold shares one in some trie with probability ``recall``, then, value
+   by value, until the data show that no more is to be gained: until of all classes with a link at
+   most the share 1 - ``recall`` got a further one (see 3.) by the last step.
 3. Exact verification: all pairs of a group are compared by their whole shingle sets. Large
    groups are cut into blocks and every pair of blocks is a task of its own; a task returns each
    member's number of links and one edge into its component, never the pairs.
@@ -61,20 +63,19 @@ def signature(items: np.ndarray, size: int, step: int = 2048) -> np.ndarray:
 
 
 def prefix_depth(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """Shorten matched prefixes until pairs at the threshold are met with this recall."""
+    """The longest prefix that pairs at the threshold share in some tree with this probability."""
     for d in range(depth, 0, -1):
         if 1 - (1 - threshold**d) ** trees >= recall:
             return d
     return 1
 
 
-def _labels(values: np.ndarray, trees: int, depth: int, used: int) -> np.ndarray:
-    """One 64-bit number for the shortened prefix in each tree."""
-    prefix = values.reshape(trees, depth)[:, :used]
-    return ((prefix >> np.uint64(16)) * _PRIMES[8 : 8 + used]).sum(axis=1, dtype=np.uint64).view(np.int64)
+def _labels(values: np.ndarray) -> bytes:
+    """The labels of all trees, four bytes a value, from the root on."""
+    return (values >> np.uint64(32)).astype(">u4").tobytes()
 
 
-def _signed(docs: DataFrame, width: int, trees: int, depth: int, used: int) -> DataFrame:
+def _signed(docs: DataFrame, width: int, trees: int, depth: int) -> DataFrame:
     """doc_id, set_id (null without words), labels."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,10 +87,10 @@ def _signed(docs: DataFrame, width: int, trees: int, depth: int, used: int) -> D
                 for text in batch.column(1):
                     items = shingles(text.as_py(), width)
                     names.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
-                    labels.append(_labels(signature(items, trees * depth), trees, depth, used) if len(items) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], ["doc_id", "set_id", "labels"])
+                    labels.append(_labels(signature(items, trees * depth)) if len(items) else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(labels, pa.binary())], ["doc_id", "set_id", "labels"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id binary, labels array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id binary, labels binary")
 
 
 def _linked(sets: list[np.ndarray], threshold: float, columns: int = 8192) -> np.ndarray:
@@ -131,19 +132,16 @@ def _verify(reps: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], side:
         root = lower
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 24, depth: int = 6, recall: float = 0.999, block: int = 192) -> DataFrame:
-    """doc_id, class_id, n_links, kept of every row of ``docs(doc_id, text)``.
-
-    class_id: the smallest doc_id that links lead to, the document's own included. n_links: other
-    documents with a Jaccard index of at least ``threshold``. kept: doc_id = class_id.
-    """
-    used = prefix_depth(threshold, trees, depth, recall)
-    signed = materialize(_signed(docs, width, trees, depth, used))
-    usable = signed.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
-    classes = materialize(usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels")).dropDuplicates(["rep"]))
-    buckets = classes.select("rep", F.posexplode("labels").alias("tree", "label"))
+def candidates(classes: DataFrame, trees: int, depth: int, used: int) -> DataFrame:
+    """(a, b): each class with the smallest one under the same node, ``used`` values below the root of a tree."""
+    buckets = classes.select("rep", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    buckets = buckets.select("rep", "tree", F.xxhash64(F.expr(f"substring(labels, tree * {4 * depth} + 1, {4 * used})")).alias("label"))
     shared = buckets.groupBy("tree", "label").agg(F.min("rep").alias("root"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = buckets.join(shared, ["tree", "label"]).where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    return buckets.join(shared, ["tree", "label"]).where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+
+
+def _checked(docs: DataFrame, classes: DataFrame, near: DataFrame, threshold: float, width: int, block: int) -> DataFrame:
+    """rep, root, n: what the exact comparison of all pairs of each group of candidates finds."""
     met = connected_components(near)
     members = met.select(F.col("id").alias("rep"), F.col("component").alias("grp")).unionByName(met.select(F.col("component").alias("rep"), F.col("component").alias("grp")).distinct())
     sizes = members.groupBy("grp").agg(F.count("*").alias("size"))
@@ -172,8 +170,27 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, tre
             found.append((part["rep"].to_numpy(), root, n))
         return pa.table([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(3)], ["rep", "root", "n"])
 
-    checked = materialize(dealt.groupBy("task").applyInArrow(verify, "rep long, root long, n long"))
-    links = checked.groupBy("rep").agg(F.sum("n").alias("n"))
+    return materialize(dealt.groupBy("task").applyInArrow(verify, "rep long, root long, n long"))
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 24, depth: int = 6, recall: float = 0.999, block: int = 192) -> DataFrame:
+    """doc_id, class_id, n_links, kept of every row of ``docs(doc_id, text)``.
+
+    class_id: the smallest doc_id that links lead to, the document's own included. n_links: other
+    documents with a Jaccard index of at least ``threshold``. kept: doc_id = class_id.
+    """
+    signed = materialize(_signed(docs, width, trees, depth))
+    usable = signed.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
+    classes = materialize(usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels")).dropDuplicates(["rep"]))
+    before = None
+    for used in range(prefix_depth(threshold, trees, depth, recall), 0, -1):
+        checked = _checked(docs, classes, candidates(classes, trees, depth, used), threshold, width, block)
+        links = checked.groupBy("rep").agg(F.sum("n").alias("n"))
+        if before is not None:
+            gain = links.where("n > 0").join(before.withColumnRenamed("n", "m"), "rep", "left").agg(F.count("*"), F.count(F.when(F.col("n") > F.coalesce("m", F.lit(0)), 1))).first()
+            if gain[1] <= (1 - recall) * gain[0]:
+                break
+        before = links
     joined = connected_components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     facts = classes.select("set_id", "rep", "copies").join(links, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     facts = facts.select("set_id", F.coalesce("component", "rep").alias("class"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
