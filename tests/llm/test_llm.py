@@ -223,6 +223,17 @@ def test_language(spark, docs, corpus):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_language_stage_drops_texts_without_letters_only(spark, sf_dir, corpus):
+    import corpus_pipeline
+
+    odd = {9001: "12 34 !?", 9002: "", 9003: None, 9004: "Καλημέρα σε όλους", 9005: "plain words 7", 9006: "👋🏽 ..."}
+    extra = spark.createDataFrame([(k, t, "en", None, None) for k, t in odd.items()], DOCS)
+    learned = corpus.select(extra.columns).unionByName(extra)
+    for docs in (learned, learned.where("doc_id > 9000").withColumn("lang", F.lit(None).cast("string"))):
+        want = sorted(r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or ""))
+        assert sorted(r["doc_id"] for r in corpus_pipeline.drop_unknown_language(spark, docs, sf_dir).collect()) == want
+
+
 def brute_jaccard(texts, threshold=0.8):
     sets = {}
     for k, t in texts.items():
