@@ -71,6 +71,17 @@ def test_local_search_empties_bins():
     assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(7))
 
 
+def test_local_search_goes_on_to_the_end():
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        lengths = rng.integers(100, 900, 60).tolist()
+        bins = packing.improve(packing.best_fit(lengths, 1000), lengths, 1000)
+        assert sorted(i for b in bins for i in b) == list(range(60))
+        fill = [sum(lengths[i] for i in b) for b in bins]
+        live = [k for k in range(len(bins)) if fill[k] < 1000]
+        assert all(packing._exchange(bins[g], bins[t], lengths, 1000 - fill[t], fill[g], fill[t]) is None for g in live for t in live if fill[g] < fill[t])
+
+
 def test_html(spark):
     page = (
         "<html><head><title>no</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav><header>Site</header><article><h1>Title &amp;\n more</h1><p>First   <b>bold</b> words of a text.<br>next"

@@ -6,7 +6,7 @@
 2. ``pack``: pieces that fill a sequence stand alone. The others are dealt into groups of some
    thousands, each of which starts from best-fit decreasing and then exchanges pieces between
    its underfull bins (one for one, two for one, or a move) whenever that raises the sum of
-   squared fills; emptied bins vanish. The last round tries again as long as bins are emptied.
+   squared fills, until no exchange does; emptied bins vanish.
 3. The bins that are still underfull are dissolved and dealt anew with those of other groups, for
    a few rounds, so that only the last few groups keep a partly filled bin. The number of groups
    follows the number of pieces left, so no task gets more than its share.
@@ -137,13 +137,13 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, again: bool = True) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Local search on the underfull bins; every step raises the sum of squared fills.
 
     The emptiest bin gives: it moves an item into another bin's room, or swaps an item for a
     smaller one, or for two smaller ones, of a fuller bin. A bin that has given all is gone.
-    again: as long as bins are emptied, those that could not be are tried once more. The steps
-    end since fills are whole numbers and the sum of squares is bounded.
+    All are tried again until no exchange is left, which ends since fills are whole numbers and the
+    sum of squares is bounded.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     live = [k for k in range(len(bins)) if 0 < fill[k] < capacity]
@@ -166,7 +166,7 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, again: boo
             fill[giver] -= gain
             fill[taker] += gain
             live = [k for k in live if 0 < fill[k] < capacity]
-            changed |= again and not fill[giver]
+            changed = True
             break
         else:
             live = live[1:]  # this bin can't be emptied further by any other
@@ -197,11 +197,11 @@ def _exchange(give: list[int], take: list[int], lengths: list[int], room: int, g
     return found if best > 0 and taker_fill + best > giver_fill else None
 
 
-def _pack_group(rows: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
+def _pack_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """bin (within the group), offset and fill for the pieces of one group."""
     rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
     lengths = rows["length"].tolist()
-    bins = improve(best_fit(lengths, capacity), lengths, capacity, last)
+    bins = improve(best_fit(lengths, capacity), lengths, capacity)
     number, offset, fill = np.zeros(len(rows), "int64"), np.zeros(len(rows), "int64"), np.zeros(len(rows), "int64")
     for b, items in enumerate(bins):
         at = 0
@@ -230,7 +230,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_size: int = 4000, ro
         final = turn == rounds or groups == 1
 
         def one(rows: pd.DataFrame) -> pd.DataFrame:
-            return _pack_group(rows.drop(columns="grp"), capacity, final).assign(grp=rows["grp"].iloc[0])
+            return _pack_group(rows.drop(columns="grp"), capacity).assign(grp=rows["grp"].iloc[0])
 
         packed = materialize(dealt.groupBy("grp").applyInPandas(one, schema))
         keep = packed if final else packed.where(F.col("fill") == capacity)
