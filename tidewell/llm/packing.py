@@ -7,12 +7,15 @@
    thousands, each of which starts from best-fit decreasing and then exchanges pieces between
    its underfull bins (one for one, two for one, or a move) whenever that raises the sum of
    squared fills, until no exchange does; emptied bins vanish.
-3. The bins that are still underfull are dissolved and dealt anew with those of other groups, for
-   a few rounds, so that only the last few groups keep a partly filled bin. The number of groups
-   follows the number of pieces left, so no task gets more than its share.
+3. The bins that are still underfull are dissolved and dealt anew with those of other groups, round
+   after round, until one group is left or a round frees no bin. The number of groups follows the
+   number of pieces left, so no task gets more than its share.
 
 Null texts are empty; an empty document is its closing id alone. Ties go by doc_id and piece.
-Repeated rows are packed as often as they occur. An empty table gives no rows.
+Repeated rows, and rows without an id, are packed as often as they occur: pieces are dealt by a
+row number, so equal ones spread over the groups too. Which group a piece meets first depends on
+how the rows are partitioned; its place in a sequence may, its ids never do. Very long texts are
+cut into pieces in the task that holds them. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -199,7 +203,7 @@ def _exchange(give: list[int], take: list[int], lengths: list[int], room: int, g
 
 def _pack_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """bin (within the group), offset and fill for the pieces of one group."""
-    rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
+    rows = rows.sort_values(["doc_id", "piece", "ids_crc32", "row"], kind="stable", ignore_index=True)
     lengths = rows["length"].tolist()
     bins = improve(best_fit(lengths, capacity), lengths, capacity)
     number, offset, fill = np.zeros(len(rows), "int64"), np.zeros(len(rows), "int64"), np.zeros(len(rows), "int64")
@@ -212,34 +216,36 @@ def _pack_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return rows.assign(bin=number, offset=offset, fill=fill)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group_size: int = 4000, rounds: int = 3) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_size: int = 4000) -> DataFrame:
     """``pieces`` (as of ``piece_table``) with sequence_id and offset.
 
     A sequence id is round * 2^56 + group * 2^24 + bin, or for a full piece its own number.
-    Underfull bins of a round (of the last round: none) are packed again in the next one.
     """
     names = [c.strip().split()[0] for c in PIECES.split(",")]
-    pieces = materialize(pieces.select(*names))
-    done = pieces.where(F.col("length") >= capacity).select(*names, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    pieces = materialize(pieces.select(*names, F.monotonically_increasing_id().alias("row")))
+    done = pieces.where(F.col("length") >= capacity).select(*names, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = pieces.where(F.col("length") < capacity)
-    schema = PIECES + ", bin long, offset long, fill long, grp long"
-    for turn in range(1, rounds + 1):
-        groups = max(1, -(-left.count() // group_size))
-        dealt = left.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(groups)).cast("long")) if groups > 1 else left.withColumn("grp", F.lit(0).cast("long"))
-
-        final = turn == rounds or groups == 1
+    schema = PIECES + ", row long, bin long, offset long, fill long, grp long"
 
-        def one(rows: pd.DataFrame) -> pd.DataFrame:
-            return _pack_group(rows.drop(columns="grp"), capacity).assign(grp=rows["grp"].iloc[0])
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        return _pack_group(rows.drop(columns="grp"), capacity).assign(grp=rows["grp"].iloc[0])
 
-        packed = materialize(dealt.groupBy("grp").applyInPandas(one, schema))
-        keep = packed if final else packed.where(F.col("fill") == capacity)
+    before: tuple[int, DataFrame] | None = None  # underfull bins of the last round, and their pieces in place
+    for turn in count(1):
+        groups = max(1, -(-left.count() // group_size))
+        dealt = left.withColumn("grp", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups)).cast("long"))
         base = F.lit(turn).cast("long") * (1 << 56) + F.col("grp") * (1 << 24) + F.col("bin")
-        done = done.unionByName(keep.select(*names, base.alias("sequence_id"), "offset"))
-        if final:
-            break
-        left = packed.where(F.col("fill") < capacity).select(*names)
-    return done
+        packed = materialize(dealt.groupBy("grp").applyInPandas(one, schema).withColumn("sequence_id", base))
+        first = F.col("offset") == 0
+        bins, underfull = packed.agg(F.count(F.when(first, 1)), F.count(F.when(first & (F.col("fill") < capacity), 1))).first()
+        if before is not None and bins >= before[0]:
+            return done.unionByName(before[1].select(*names, "sequence_id", "offset"))
+        if groups == 1:
+            return done.unionByName(packed.select(*names, "sequence_id", "offset"))
+        done = done.unionByName(packed.where(F.col("fill") == capacity).select(*names, "sequence_id", "offset"))
+        before = underfull, packed.where(F.col("fill") < capacity)
+        left = before[1].select(*names, "row")
+    raise AssertionError("not reached")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
