@@ -10,8 +10,13 @@ crosses there either. Texts are cut at these places, and a worker remembers the
 that it has encoded. In each Arrow batch every ``verify``-th new fragment and one whole text are
 compared with the sentencepiece library, and a difference stops the job.
 
-Null and empty texts have no ids and decode to the empty string. Repeated rows give repeated
-results; other columns are ignored.
+Decoding maps the ids back to the bytes of their pieces; where byte pieces do not make up valid
+UTF-8, each stray byte becomes U+FFFD, as in the library.
+
+Null and empty texts have no ids and decode to the empty string. Repeated rows and rows without
+an id give repeated results; other columns are ignored. An empty table gives no rows. Very long texts
+are encoded whole; a fragment of over ``LONG`` characters is forgotten after its batch, which
+bounds what a worker remembers.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 BPE = 2
 _NEVER = np.iinfo(np.int32).max
+LONG = 256
 _SIDE, _SHIFT = 1 << 16, 1 << 15  # a pair of symbols as one 32-bit number
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -102,6 +108,7 @@ class PieceCoder:
         self.rank = {piece: ranks[s] for piece, s in scores.items()}
         self.value_of = {i: b for b, i in self.byte_ids.items()}
         self.wide_bytes = {i for b, i in self.byte_ids.items() if b > 127}
+        self.bytes_of = [bytes([self.value_of[i]]) if i in self.value_of else t.encode("utf-8") for i, t in enumerate(self.text)]
         self._bulk_tables()
         self.cache_size = cache_size
         self.cache: dict[str, bytes] = {}  # fragment: its ids as 32-bit numbers
@@ -278,7 +285,10 @@ class PieceCoder:
 
     def decode(self, ids: list[int]) -> str:
         """The text of any ids, as the library's decode gives it."""
-        text = self._decode(ids)
+        try:
+            text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8")
+        except UnicodeDecodeError:  # only if a run of byte pieces is not valid by itself
+            text = self._decode(ids)
         if self.dummy_prefix and ids and self.text[ids[0]].startswith(" ") and ids[0] not in self.value_of and ids[0] != self.unk:
             text = text[1:]
         return text
@@ -289,9 +299,6 @@ class PieceCoder:
         ids = np.frombuffer(b"".join(map(self.cache.__getitem__, fragments)), "<u4")
         spelled = self.digits[ids]
         numbers = spelled[spelled > 0].tobytes()[:-1]
-        if self.byte_ids or self.unk not in ids:
-            decoded = "".join(fragments)  # pieces and whole characters decode to what they stand for
-            return len(ids), numbers, decoded[1:] if self.dummy_prefix else decoded
         return len(ids), numbers, self.decode(ids.tolist())
 
     def _decode(self, ids: Sequence[int]) -> str:
@@ -396,15 +403,20 @@ def _coded(batches: Iterable[pa.RecordBatch], model: bytes, verify: int, step: i
     """(doc_ids, round trips) for some rows at a time."""
     own = coder(model)
     gc.disable()  # the remembered fragments hold no cycles, and there are many of them
-    for whole in batches:
-        for at in range(0, whole.num_rows, step):
-            batch = whole.slice(at, step)
-            texts = [own.fragments(text.as_py() or "") for text in batch.column(1)]
-            fresh = own.remember(set().union(*texts))
-            rows = [own.round_trip(fragments) for fragments in texts]
-            if verify:
-                own.check_fragments(fresh[::verify])
-                if at == 0:
-                    own.check_text(batch.column(1)[0].as_py(), *rows[0][1:])
-            yield batch.column(0), rows
-    gc.enable()
+    try:
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                texts = [own.fragments(text.as_py() or "") for text in batch.column(1)]
+                fresh = own.remember(set().union(*texts))
+                rows = [own.round_trip(fragments) for fragments in texts]
+                if verify:
+                    own.check_fragments(fresh[::verify])
+                    if at == 0:
+                        own.check_text(batch.column(1)[0].as_py(), *rows[0][1:])
+                for fragment in fresh:
+                    if len(fragment) > LONG:
+                        del own.cache[fragment]
+                yield batch.column(0), rows
+    finally:
+        gc.enable()
