@@ -13,18 +13,21 @@ one label that are equal component by component form one class and go on as one.
 3. Lower levels. A task builds a cover tree of either block (levels with halving radii, each
    node with the radius that covers its points) and goes down both at once: a pair of nodes whose
    centres are farther apart than both radii and eps is dropped with all that is below it. What is
-   left at the bottom is compared in double precision.
+   left at the bottom is compared in double precision: products within 1e-12 of the threshold are
+   decided by one fixed sum over the two unit vectors, so that no pair below it is linked.
 
 A task returns each member's number of links and one edge into its component, never the pairs.
 
 Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link
 with nothing; nor do vectors of different length. Null ids are classes of their own and null in
-the result. Repeated rows count as other vectors. Ties go to the smallest id.
+the result. Repeated rows count as other vectors. Ties go to the smallest id. An empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -96,6 +99,15 @@ def _products(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.
     return np.concatenate([np.einsum("ij,ij->i", x[a[k : k + step]], y[b[k : k + step]]) for k in range(0, len(a), step)]) if len(a) else np.zeros(0)
 
 
+def _reaches(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Is x[a] . y[b] at least the threshold? What is close to it is summed exactly and rounded once."""
+    product = _products(x, y, a, b)
+    good = product >= threshold
+    for k in np.flatnonzero(np.abs(product - threshold) <= 1e-12).tolist():
+        good[k] = math.fsum((x[a[k]] * y[b[k]]).tolist()) >= threshold
+    return good
+
+
 def _children(first: np.ndarray, last: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position in nodes, child) of all children."""
     size = last[nodes] - first[nodes]
@@ -241,7 +253,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, sample: int
         if len(sides[0]) and len(sides[1]):
             trees = [CoverTree(units[s], eps / 4) for s in (sides if i != j else sides[:1])]
             a, b = dual_traversal(trees[0], trees[-1], eps)
-            good = _products(units[sides[0]], units[sides[1]], a, b) >= threshold - 1e-15
+            good = _reaches(units[sides[0]], units[sides[1]], a, b, threshold)
             a, b = sides[0][a[good]], sides[1][b[good]]
             if i == j:
                 a, b = a[a != b], b[a != b]  # both orders of each pair are there
