@@ -8,7 +8,10 @@ under an elastic-net penalty; the rest of that sample sets the temperature of th
 
 A text that is null or has no letter gives ``und`` with score 0. Ties between languages go to
 the alphabetically first. Training rows with a null text or language are not learned from. With
-no training row at all, every text is ``und``. Long texts are used whole.
+no training row at all, every text is ``und``. Long texts are used whole. Every language of the
+sample is learned, however many there are; the model takes 2**bits numbers for each. Repeated rows
+are learned from and predicted as often as they occur. An empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -184,13 +187,13 @@ def fit(docs: DataFrame, sample: int = 4000, calibration: float = 0.2, bits: int
     idf = np.full(1 << bits, np.log(1.0 + n), np.float32)
     if df:
         idf[list(df)] = np.log((1.0 + n) / (1.0 + np.array(list(df.values())))) + 1.0
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
-    if not sizes:
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    kinds = sizes.count()
+    if not kinds:
         return Model([], bits, idf, np.zeros((1 << bits, 0), np.float32), np.zeros(0))
-    share = max(1, sample // len(sizes))
-    chance = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * share / count))) for lang, count in sizes.items()), F.lit(0.0))
+    share = max(1, sample // kinds)
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = known.where(rank < chance).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    drawn = known.select("doc_id", "lang").join(sizes, "lang").where(rank < F.lit(1.2 * share) / F.col("n")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
