@@ -12,18 +12,20 @@ The mixture for a byte goes down its contexts as far as they occur in the traini
 the probabilities of the bytes after any context add up to one.
 
 How it is spread. Documents are hashed into blocks of some MB. A block reports its distinct
-byte strings of DEPTH + 1 (context and byte) and its distinct words, with their training counts;
-sums over blocks are windows. The tree is built where strings that share the three latest context
-bytes meet; only the top levels, at most 2^16 contexts, go through the driver. The probability of
-each string goes back to the blocks that hold it, and there the texts are added up. What is
-shuffled is linear in the corpus, and a task holds a block or one part of the tree.
+byte strings of DEPTH + 1 (context and byte), packed into one row for each part of the tree, and its
+distinct words, with their training counts. A part holds the strings with the same three latest context
+bytes; it is built where the rows of all blocks are merged, in two steps where blocks are many.
+Only the top levels, at most 2^16 contexts, go through the driver. The probability of each string
+goes back, packed as well, to the blocks that hold it, where the texts are added up. What is shuffled is
+linear in the corpus, and a task holds a block, one part of the tree, or what ``FAN`` blocks ask a part.
 
 ``base_score`` is the unigram model of words (c + 0.5) / (N + 0.5 (V + 1)) over training words and
 text ends.
 
 Null texts are empty: their only token is the end. Rows with a null id are never learned from.
-Repeated rows are learned from as often as they occur. An empty table gives no rows; without
-training documents every bit costs one bit.
+Repeated rows are learned from as often as they occur. Very long texts are scored whole. An empty
+table gives no rows; without training documents every bit costs one bit. Other columns are ignored.
+Logarithms travel in single precision and are summed in double.
 """
 
 from __future__ import annotations
@@ -33,14 +35,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import fold, materialize
 
-DEPTH = 4  # bytes of context; a string of DEPTH + 1 bytes is one number, latest context byte first
+DEPTH = 6  # bytes of context, six at most; a string of DEPTH + 1 bytes is one number, latest context byte first
 SHARED = 3  # a part of the tree holds all strings with these latest context bytes
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+FAN = 512  # blocks whose rows for one part meet in a task
+CHUNK = 2 << 20  # bytes of text whose strings are in memory at once
+PACKED = "block int, part int, n long, keys binary, counts binary"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -60,59 +65,76 @@ def strings_of(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key, starts
 
 
-def _chunks(streams: list[bytes], size: int = 2 << 20) -> Iterator[list[int]]:
-    """Numbers of consecutive streams of about ``size`` bytes together."""
-    now, total = [], 0
-    for k, s in enumerate(streams):
-        now.append(k)
-        total += len(s) + DEPTH
-        if total >= size:
-            yield now
-            now, total = [], 0
-    if now:
-        yield now
-
-
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     return keys, np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
 
 
-def block_counts(table: pa.Table) -> pa.Table:
+def pack(values: np.ndarray) -> bytes:
+    """Rising or small numbers, as compressed planes of the bytes of their differences."""
+    steps = np.diff(values.astype("<i8"), prepend=0)
+    return pa.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 8 * n, "zstd"), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8")[:, 0])
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the tree that a string belongs to, by its latest context bytes."""
+    return ((keys >> (8 * (DEPTH + 1 - SHARED))) * 0x9E3779B1 >> 12) % parts
+
+
+def block_counts(table: pa.Table, parts: int) -> pa.Table:
     """Distinct strings and words of one block, with their counts in its training documents."""
     block = table.column("block")[0].as_py()
     train = table.column("train").to_pylist()
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    merged: list[tuple[np.ndarray, np.ndarray]] = []
     seen, others = Counter(), set()
     texts = table.column("text")
-    streams: list[bytes] = []
+    waiting: dict[bool, list[bytes]] = {True: [], False: []}
+    size = {True: 0, False: 0}
+
+    def flush(used: bool) -> None:
+        if waiting[used]:
+            keys, n = np.unique(strings_of(waiting[used])[0], return_counts=True)
+            merged.append((keys, n if used else np.zeros(len(n), np.int64)))
+            waiting[used], size[used] = [], 0
+            if len(merged) >= 8:
+                merged[:] = [_merged(merged)]
+
     for k, used in enumerate(train):
         found = words_of(texts[k].as_py())
         if used:
             seen.update(found)
         else:
             others.update(found)
-        streams.append(b" ".join(found) + b"\n")
-    for used in (True, False):
-        chosen = [s for s, t in zip(streams, train, strict=True) if t == used]
-        for some in _chunks(chosen):
-            keys, n = np.unique(strings_of([chosen[k] for k in some])[0], return_counts=True)
-            parts.append((keys, n if used else np.zeros(len(n), np.int64)))
-            if len(parts) >= 8:
-                parts = [_merged(parts)]
-    keys, n = _merged(parts)
+        waiting[used].append(b" ".join(found) + b"\n")
+        size[used] += len(waiting[used][-1]) + DEPTH
+        if size[used] >= CHUNK:
+            flush(used)
+    flush(True)
+    flush(False)
+    keys, n = _merged(merged)
+    part = part_of(keys, parts)
+    order = np.argsort(part, kind="stable")
+    ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
+    rows = [(int(part[own[0]]), len(own), pack(keys[own]), pack(n[own])) for own in np.split(order, ends[:-1])]
     others.difference_update(seen)
     tokens = pa.array([*seen, *others], pa.binary())
-    counts = np.concatenate((np.fromiter(seen.values(), np.int64, len(seen)), np.zeros(len(others), np.int64)))
-    rows = len(keys) + len(tokens)
+    counts = pa.array(np.concatenate((np.fromiter(seen.values(), np.int64, len(seen)), np.zeros(len(others), np.int64))))
+    none = lambda kind: pa.nulls(len(tokens), kind)
     return pa.table(
         [
-            pa.array(np.full(rows, block, np.int32)),
-            pa.concat_arrays([pa.array(keys, pa.int64()), pa.nulls(len(tokens), pa.int64())]),
-            pa.concat_arrays([pa.nulls(len(keys), pa.binary()), tokens]),
-            pa.array(np.concatenate((n, counts)), pa.int64()),
+            pa.array(np.full(len(rows) + len(tokens), block, np.int32)),
+            pa.concat_arrays([pa.array([r[0] for r in rows], pa.int32()), none(pa.int32())]),
+            pa.concat_arrays([pa.array([r[1] for r in rows], pa.int64()), counts]),
+            pa.concat_arrays([pa.array([r[2] for r in rows], pa.binary()), none(pa.binary())]),
+            pa.concat_arrays([pa.array([r[3] for r in rows], pa.binary()), none(pa.binary())]),
+            pa.concat_arrays([pa.nulls(len(rows), pa.binary()), tokens]),
         ],
-        ["block", "gram", "token", "n"],
+        ["block", "part", "n", "keys", "counts", "token"],
     )
 
 
@@ -197,34 +219,50 @@ def log_probability(keys: np.ndarray, levels: list[Level]) -> np.ndarray:
     return np.log10(np.where(bit == 1, one, 1 - one)).sum(axis=1)
 
 
-def _whole(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """Strings and counts of a partition."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+def _unpacked(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(strings, counts) of each row."""
+    return [(unpack(k.as_py(), n), unpack(c.as_py(), n)) for n, k, c in zip(table.column("n").to_pylist(), table.column("keys"), table.column("counts"), strict=True)]
+
+
+def merge_rows(table: pa.Table) -> pa.Table:
+    """The strings of one part that occur in training documents, in one row."""
+    keys, n = _merged(_unpacked(table))
+    keys, n = keys[n > 0], n[n > 0]
+    return pa.table([pa.array([0], pa.int32()), table.column("part").slice(0, 1), pa.array([len(keys)], pa.int64()), pa.array([pack(keys)], pa.binary()), pa.array([pack(n)], pa.binary())], ["block", "part", "n", "keys", "counts"])
 
 
-def string_probabilities(totals: DataFrame) -> DataFrame:
-    """(gram, logp) for every row of ``totals(gram, n)``."""
-    spark = totals.sparkSession
-    parted = totals.select("gram", "n").repartition(F.shiftright("gram", 8 * (DEPTH + 1 - SHARED)))
+def string_probabilities(packed: DataFrame, blocks: int) -> DataFrame:
+    """(block, keys, n, logp) for every row of ``packed`` (PACKED)."""
+    spark = packed.sparkSession
+    groups = -(-blocks // FAN)
+    salted = packed.withColumn("salt", F.col("block") % groups)
+    merged = salted.groupBy("part", "salt").applyInArrow(merge_rows, PACKED)
+    if groups > 1:
+        merged = merged.groupBy("part").applyInArrow(merge_rows, PACKED)
+    merged = materialize(merged)
 
     def report(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = _whole(batches)
-        level = deep_levels(keys, n)[-1]
-        up, at = np.unique(level.parents()[0], return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(up, pa.int64()), *(pa.array(np.bincount(at, v, len(up)), pa.float64()) for v in (level.n0, level.n1, level.log_w))], ["node", "n0", "n1", "below"])
+        for batch in batches:
+            for keys, n in _unpacked(pa.Table.from_batches([batch])):
+                level = deep_levels(keys, n)[-1]
+                up, at = np.unique(level.parents()[0], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(up, pa.int64()), *(pa.array(np.bincount(at, v, len(up)), pa.float64()) for v in (level.n0, level.n1, level.log_w))], ["node", "n0", "n1", "below"])
 
-    top = parted.mapInArrow(report, "node long, n0 double, n1 double, below double").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below"))).toPandas()
+    top = merged.mapInArrow(report, "node long, n0 double, n1 double, below double").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below"))).toPandas()
     upper = spark.sparkContext.broadcast(top_levels(*(top[c].to_numpy() for c in ("node", "n0", "n1", "below"))))  # of 2^16 contexts at most
 
-    def price(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = _whole(batches)
-        levels = [*deep_levels(keys, n), *upper.value]
-        for at in range(0, len(keys), 1 << 17):
-            some = keys[at : at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(log_probability(some, levels), pa.float64())], ["gram", "logp"])
+    def price(asked: pa.Table, part: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary())], ["block", "n", "keys", "logp"])
+        levels = [*deep_levels(*_unpacked(part)[0]), *upper.value]
+        sizes = asked.column("n").to_pylist()
+        own = [unpack(k.as_py(), n) for n, k in zip(sizes, asked.column("keys"), strict=True)]
+        keys = np.unique(np.concatenate(own))
+        logp = np.concatenate([log_probability(keys[at : at + (1 << 17)], levels) for at in range(0, len(keys), 1 << 17)]).astype("<f4")
+        return pa.table([asked.column("block"), asked.column("n"), asked.column("keys"), pa.array([logp[np.searchsorted(keys, k)].tobytes() for k in own], pa.binary())], ["block", "n", "keys", "logp"])
 
-    return parted.mapInArrow(price, "gram long, logp double")
+    parts = merged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return salted.select("block", "part", "n", "keys", "salt").groupBy("part", "salt").cogroup(parts.groupBy("part", "salt")).applyInArrow(price, "block int, n long, keys binary, logp binary")
 
 
 # ---- documents ----------------------------------------------------------------------------
@@ -238,62 +276,62 @@ def held_out() -> Column:
 def score_documents(docs: DataFrame, block_bytes: int = 24 << 20) -> DataFrame:
     """SCORED for every row of ``docs(doc_id, text)``."""
     total = docs.agg(F.sum(F.octet_length("text")), F.sum((~held_out()).cast("long"))).first()
-    blocks, train_docs = max(1, -(-(total[0] or 0) // block_bytes)), total[1] or 0
-    dealt = docs.select("doc_id", "text", held_out().alias("held_out"), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int").alias("block"))
-    counts = materialize(dealt.select("text", (~F.col("held_out")).alias("train"), "block").groupBy("block").applyInArrow(block_counts, "block int, gram long, token binary, n long"))
-    grams, tokens = counts.where("gram is not null").select("block", "gram", "n"), counts.where("token is not null").select("block", "token", "n")
-
-    by_token = Window.partitionBy("token")
-    known = materialize(tokens.select("block", "token", F.sum("n").over(by_token).alias("c"), (F.row_number().over(by_token.orderBy("block")) == 1).alias("first")))
-    sums = known.agg(F.sum(F.when(F.col("first"), F.col("c"))), F.count(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
+    size, train_docs = total[0] or 0, total[1] or 0
+    # Small inputs are cut finer, so that all cores have work; the results are the same.
+    blocks = max(1, -(-size // block_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, -(-8 * size // block_bytes)))
+    parts = min(4096, blocks)
+    dealt = docs.select("doc_id", "text", held_out().alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
+    counts = materialize(dealt.select("text", (~F.col("held_out")).alias("train"), "block").groupBy("block").applyInArrow(lambda t: block_counts(t, parts), PACKED + ", token binary"))
+    packed, tokens = counts.where("part is not null").drop("token"), counts.where("token is not null").select("block", "token", "n")
+
+    known = materialize(tokens.groupBy("token").agg(F.sum("n").alias("c")))
+    sums = known.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     n_tokens, n_kinds = (sums[0] or 0) + train_docs, (sums[1] or 0) + (train_docs > 0)
-
-    totals = materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")))
-    prices = grams.select("block", "gram").join(string_probabilities(totals), "gram")
     base = F.log10((F.col("c") + 0.5) / F.lit(n_tokens + 0.5 * (n_kinds + 1)))
-    values = prices.select("block", "gram", F.lit(None).cast("binary").alias("token"), F.col("logp").alias("value"), F.lit(True).alias("known")).unionByName(
-        known.select("block", F.lit(None).cast("long").alias("gram"), "token", base.alias("value"), (F.col("c") > 0).alias("known"))
+    values = string_probabilities(packed, blocks).select("block", "n", "keys", "logp", F.lit(None).cast("binary").alias("token"), F.lit(None).cast("double").alias("value"), F.lit(True).alias("known")).unionByName(
+        tokens.select("block", "token").join(known, "token").select("block", F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("logp"), "token", base.alias("value"), (F.col("c") > 0).alias("known"))
     )
     end = float(np.log10((train_docs + 0.5) / (n_tokens + 0.5 * (n_kinds + 1))))
 
     def add_up(texts: pa.Table, facts: pa.Table) -> pa.Table:
-        facts = facts.combine_chunks()
-        gram, token, value, seen = (facts.column(c).combine_chunks() for c in ("gram", "token", "value", "known"))
-        is_gram = gram.is_valid()
-        keys, logp = gram.filter(is_gram).to_numpy(), value.filter(is_gram).to_numpy()
+        is_token = facts.column("token").is_valid()
+        words, strings = facts.select(["token", "value", "known"]).filter(is_token), facts.select(["n", "keys", "logp"]).filter(facts.column("keys").is_valid())
+        price = dict(zip(words.column("token").to_pylist(), words.column("value").to_pylist(), strict=True))
+        unknown = {t for t, k in zip(words.column("token").to_pylist(), words.column("known").to_pylist(), strict=True) if not k}
+        sizes = strings.column("n").to_pylist()
+        keys = np.concatenate([unpack(k.as_py(), n) for n, k in zip(sizes, strings.column("keys"), strict=True)])
+        logp = np.concatenate([np.frombuffer(x.as_py(), "<f4") for x in strings.column("logp")]).astype(np.float64)
         order = np.argsort(keys)
         keys, logp = keys[order], logp[order]
-        other = token.is_valid()
-        price = dict(zip(token.filter(other).to_pylist(), value.filter(other).to_pylist(), strict=True))
-        unknown = {t for t, k in zip(token.filter(other).to_pylist(), seen.filter(other).to_pylist(), strict=True) if not k}
-        ids, held, bodies = texts.column("doc_id").combine_chunks(), texts.column("held_out").combine_chunks(), texts.column("text")
-        rows: list[tuple[int, int, float]] = []
-        scores: list[float] = []
-        sizes: list[int] = []
+        bodies = texts.column("text")
+        rows: list[tuple[int, int, float, int]] = []
+        scores: list[np.ndarray] = []
         waiting: list[bytes] = []
         size = 0
 
         def flush() -> None:
-            nonlocal size
             if waiting:
                 found, starts = strings_of(waiting)
-                scores.extend(np.add.reduceat(logp[np.searchsorted(keys, found)], starts).tolist())
+                by_key = np.argsort(found)  # sorted look-ups stay in the processor's cache
+                cost = np.empty(len(found))
+                cost[by_key] = logp[np.searchsorted(keys, found[by_key])]
+                scores.append(np.add.reduceat(cost, starts))
                 waiting.clear()
-                size = 0
 
         for k in range(len(bodies)):
             found = words_of(bodies[k].as_py())
             fresh = 0 if unknown.isdisjoint(found) else sum(w in unknown for w in found)
-            rows.append((len(found) + 1, len(found) + (train_docs > 0) - fresh, sum(map(price.__getitem__, found)) + end))
             waiting.append(b" ".join(found) + b"\n")
-            sizes.append(len(waiting[-1]))
-            size += sizes[-1]
-            if size >= 2 << 20:
+            rows.append((len(found) + 1, len(found) + (train_docs > 0) - fresh, sum(map(price.__getitem__, found)) + end, len(waiting[-1])))
+            size += len(waiting[-1])
+            if size >= CHUNK:
                 flush()
+                size = 0
         flush()
-        columns = list(zip(*rows, strict=True))
+        n_tok, n_known, based, n_bytes = (np.array(c) for c in zip(*rows, strict=True))
+        score = np.concatenate(scores)
         return pa.table(
-            [ids, held, pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([n_tokens] * len(rows), pa.int64()), pa.array(columns[2], pa.float64()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())],
+            [texts.column("doc_id"), texts.column("held_out"), pa.array(n_tok, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.full(len(rows), n_tokens), pa.int64()), pa.array(based, pa.float64()), pa.array(score), pa.array(n_bytes, pa.int64()), pa.array(score * -np.log2(10) / n_bytes)],
             [c.split()[0] for c in SCORED.split(", ")],
         )
 
