@@ -24,8 +24,10 @@ def connected_components(edges: DataFrame, max_turns: int = 50) -> DataFrame:
     before = None
     for _ in range(max_turns):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Written, so that the join below reads plain shuffles, which adaptive execution splits at busy nodes.
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = now.select(F.col("b").alias("a"), F.col("a").alias("v")).join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialize(large)
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(lower, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialize(moved.unionByName(lower.select("a", F.col("m").alias("b"))).distinct())

@@ -3,20 +3,26 @@
 1. A document's shingles are its runs of ``width`` lower-cased words (of a shorter text all its
    words, once), as 64-bit hashes. Documents with the same set of shingles form one class and go
    on as one, however many they are.
-2. Forest: each of ``trees`` tries holds the classes under a label of ``depth`` MinHash values. A
-   node of a trie is a prefix of labels; classes under one node are candidates of each other, which
-   is kept as one edge from each to the smallest, and the components of these edges are the
-   candidate groups. The matched prefixes of all tries are shortened together: first to the length
-   at which a pair at the threshold shares one in some trie with probability ``recall``, then, value
-   by value, until the data show that no more is to be gained: until of all classes with a link at
-   most the share 1 - ``recall`` got a further one (see 3.) by the last step.
-3. Exact verification: all pairs of a group are compared by their whole shingle sets. Large
-   groups are cut into blocks and every pair of blocks is a task of its own; a task returns each
+2. Forest: each of ``trees`` tries holds the classes under a label of ``depth`` MinHash values. All
+   labels are sorted, by ranges of (tree, label), so that the classes below a node of a trie, that is
+   those with a common prefix, stand in a row. One pass over a sorted part gives each entry the
+   length of the prefix that it has in common with the one before, and an edge to the first entry
+   below that node; edges with a prefix of at least d values make up the nodes of depth d of all tries.
+3. Adaptive prefixes: the candidates below the deepest nodes are verified first. A linked pair of
+   index s meets at depth d in some tree with probability p(d, s) = 1 - (1 - s^d)^trees, so the links
+   found stand for sum of 1 / p(d, s) links, and the recall at any shorter prefix can be read off
+   them. The prefixes are shortened to the longest with the wanted ``recall``, verified again, and so
+   on until the recall measured on the links found is reached.
+4. Exact verification of candidates by their whole shingle sets. Candidates that hang together form a
+   group. A small group is compared as a whole. Of a large one, either its trie nodes are compared, a
+   pair in the first tree in which it meets, or all of its pairs, whichever is less work. What is larger
+   than a block is cut into blocks, and every pair of blocks is a task of its own; a task returns each
    member's number of links and one edge into its component, never the pairs.
 
 A text without words, or a null text, links with nothing. Null ids are classes of their own and
-null in the result. Repeated rows are documents of their own. Ties go to the smallest doc_id. An
-empty table gives no rows.
+null in the result. Repeated rows are documents of their own, also where an id stands on different
+texts. Ties go to the smallest doc_id. Very long texts are compared whole. An empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,12 +69,9 @@ def signature(items: np.ndarray, size: int, step: int = 2048) -> np.ndarray:
     return least
 
 
-def prefix_depth(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """The longest prefix that pairs at the threshold share in some tree with this probability."""
-    for d in range(depth, 0, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
-            return d
-    return 1
+def meeting(depth: int, similarity, trees: int):
+    """Probability that a pair of this Jaccard index has a prefix of ``depth`` values in common in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def _labels(values: np.ndarray) -> bytes:
@@ -76,7 +80,7 @@ def _labels(values: np.ndarray) -> bytes:
 
 
 def _signed(docs: DataFrame, width: int, trees: int, depth: int) -> DataFrame:
-    """doc_id, set_id (null without words), labels."""
+    """doc_id, text_key, set_id (null without words), labels."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -84,17 +88,17 @@ def _signed(docs: DataFrame, width: int, trees: int, depth: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch, names, labels = whole.slice(at, 512), [], []
-                for text in batch.column(1):
+                for text in batch.column(2):
                     items = shingles(text.as_py(), width)
                     names.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
                     labels.append(_labels(signature(items, trees * depth)) if len(items) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(labels, pa.binary())], ["doc_id", "set_id", "labels"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(labels, pa.binary())], ["doc_id", "text_key", "set_id", "labels"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id binary, labels binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, set_id binary, labels binary")
 
 
-def _linked(sets: list[np.ndarray], threshold: float, columns: int = 8192) -> np.ndarray:
-    """Which sets have a Jaccard index of the threshold or more, as a square matrix."""
+def _linked(sets: list[np.ndarray], threshold: float, columns: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """(which sets have a Jaccard index of the threshold or more, the index), as square matrices."""
     sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     terms, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -112,98 +116,202 @@ def _linked(sets: list[np.ndarray], threshold: float, columns: int = 8192) -> np
         part[owner[low:high], column[low:high] - start] = 1
         common += part @ part.T
     union = sizes[:, None] + sizes[None, :] - common
-    return (common >= threshold * union - 1e-9) & ~np.eye(len(sets), dtype=bool)
+    return (common >= threshold * union - 1e-9) & ~np.eye(len(sets), dtype=bool), common / union
 
 
-def _verify(reps: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(documents linked with each member, smallest member of its component).
-
-    side: 0 and 1 if only pairs across the two are meant, else all 0.
-    """
-    linked = _linked(sets, threshold)
-    if side.any():
-        linked &= side[:, None] != side[None, :]
-    root = reps.copy()
+def _roots(names: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """The smallest name of each member's component."""
+    root = names.copy()
     while True:
-        lower = np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1)
-        lower = np.minimum(root, lower)
+        lower = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1))
         if (lower == root).all():
-            return linked @ copies, root
+            return root
         root = lower
 
 
-def candidates(classes: DataFrame, trees: int, depth: int, used: int) -> DataFrame:
-    """(a, b): each class with the smallest one under the same node, ``used`` values below the root of a tree."""
-    buckets = classes.select("rep", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    buckets = buckets.select("rep", "tree", F.xxhash64(F.expr(f"substring(labels, tree * {4 * depth} + 1, {4 * used})")).alias("label"))
-    shared = buckets.groupBy("tree", "label").agg(F.min("rep").alias("root"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return buckets.join(shared, ["tree", "label"]).where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
-
-
-def _checked(docs: DataFrame, classes: DataFrame, near: DataFrame, threshold: float, width: int, block: int) -> DataFrame:
-    """rep, root, n: what the exact comparison of all pairs of each group of candidates finds."""
-    met = connected_components(near)
-    members = met.select(F.col("id").alias("rep"), F.col("component").alias("grp")).unionByName(met.select(F.col("component").alias("rep"), F.col("component").alias("grp")).distinct())
+def forest(classes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(a, b, prefix): an edge from each entry of the sorted tries into the node of its longest common
+    prefix with the entry before it, of ``prefix`` values."""
+    spark = classes.sparkSession
+    entries = classes.select("node", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    entries = entries.select("tree", F.expr(f"substring(labels, tree * {4 * depth} + 1, {4 * depth})").alias("label"), "node")
+    in_order = entries.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        names = ["a", "b", "prefix", "part", "tree", "label"]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        last: tuple[int, bytes, int] | None = None
+        heads = np.zeros(depth + 1, np.int64)  # first entry of the current node of each depth
+
+        def edge_of_part(entry: tuple[int, bytes, int], which: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((entry[2], None, which, part, entry[0], entry[1]), kinds, strict=True)], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(-1, depth)
+            if last is None:
+                last = (int(tree[0]), values[0].tobytes(), int(node[0]))
+                heads[:] = node[0]
+                yield edge_of_part(last, -1)
+                prefix = np.full(1, -1)
+            else:
+                same = int((np.frombuffer(last[1], ">u4") == values[0]).cumprod().sum()) if last[0] == tree[0] else 0
+                prefix = np.array([same])
+            between = np.cumprod(values[1:] == values[:-1], axis=1).sum(axis=1) * (tree[1:] == tree[:-1])
+            prefix = np.concatenate((prefix, between))
+            root = np.empty(len(node), np.int64)
+            for k, (n, same) in enumerate(zip(node.tolist(), prefix.tolist(), strict=True)):
+                if same >= 0:
+                    root[k] = heads[same]
+                    heads[same + 1 :] = n
+            last = (int(tree[-1]), values[-1].tobytes(), int(node[-1]))
+            met = np.flatnonzero(prefix > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(node[met]), pa.array(root[met]), pa.array(prefix[met], pa.int32()), *(pa.nulls(len(met), t) for t in kinds[3:])], names)
+        if last is not None:
+            yield edge_of_part(last, -2)
+
+    found = materialize(in_order.mapInArrow(walk, "a long, b long, prefix int, part int, tree int, label binary"))
+    ends: dict[int, dict[int, tuple[int, bytes, int]]] = {}
+    for r in found.where("part is not null").collect():  # two rows for each part
+        ends.setdefault(r["part"], {})[r["prefix"]] = (r["tree"], bytes(r["label"]), r["a"])
+    joints, before = [], None
+    for part in sorted(ends):
+        first = ends[part][-1]
+        if before is not None and before[0] == first[0]:
+            same = int((np.frombuffer(before[1], ">u4") == np.frombuffer(first[1], ">u4")).cumprod().sum())
+            joints.append((first[2], before[2], same))
+        before = ends[part][-2]
+    edges = found.where("part is null").select("a", "b", "prefix")
+    return edges.unionByName(spark.createDataFrame(joints, "a long, b long, prefix int")) if joints else edges
+
+
+def _prefixes(labels: list[bytes], trees: int, depth: int, used: int) -> np.ndarray:
+    """One number for each label's prefix in each tree."""
+    values = np.frombuffer(b"".join(labels), ">u4").reshape(len(labels), trees, depth)[:, :, :used].astype(np.uint64)
+    return (values * _PRIMES[:used]).sum(axis=2, dtype=np.uint64)
+
+
+def _checked(docs: DataFrame, classes: DataFrame, edges: DataFrame, threshold: float, width: int, trees: int, depth: int, used: int, block: int) -> DataFrame:
+    """node, root, n, links, and expected0 to expected<depth>: what the exact comparison finds.
+
+    n counts linked documents, ``links`` linked classes that share a prefix; of each of these,
+    ``expected<d>`` is how often it is met at depth d for each time that it is met at depth ``used``.
+    All pairs meet at depth 0, so expected0 estimates the number of all links.
+    """
+    met = connected_components(edges.where(F.col("prefix") >= used).select("a", "b"))
+    members = met.select(F.col("id").alias("node"), F.col("component").alias("grp")).unionByName(met.select(F.col("component").alias("node"), F.col("component").alias("grp")).distinct())
     sizes = members.groupBy("grp").agg(F.count("*").alias("size"))
-    placed = members.join(sizes, "grp").join(classes.select("rep", "copies"), "rep")
+    placed = materialize(members.join(sizes, "grp").join(classes.select("node", "rep", "copies", "labels"), "node"))
+    small = placed.where(F.col("size") <= block).withColumn("tree", F.lit(-1)).withColumn("unit", F.col("grp"))
+    large = placed.where(F.col("size") > block)
+    if not large.isEmpty():
+        own = large.select("node", "grp", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+        own = own.select("node", "grp", "tree", F.xxhash64("tree", F.expr(f"substring(labels, tree * {4 * depth} + 1, {4 * used})")).alias("unit"))
+        nodes = materialize(own.groupBy("grp", "tree", "unit").agg(F.count("*").alias("n")).where("n > 1"))
+        work = nodes.groupBy("grp").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
+        large = materialize(large.join(work, "grp").withColumn("whole", F.col("work") >= F.col("size").cast("double") * F.col("size")))
+        whole = large.where("whole").withColumn("tree", F.lit(-1)).withColumn("unit", F.col("grp")).select(small.columns)
+        by_node = own.join(nodes, ["grp", "tree", "unit"]).join(large.where("not whole").drop("grp", "size"), "node").withColumn("size", F.col("n")).select(small.columns)
+        small = small.unionByName(whole).unionByName(by_node)
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")
-    placed = materialize(placed.withColumn("blocks", blocks).withColumn("own", own))
-    total = placed.where("blocks = 1").count()
-    tasks = max(1, total // 1500)
-    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("rep"), "text").join(placed, "rep").dropDuplicates(["rep"])
+    units = materialize(small.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")))
+    tasks = max(1, units.where("blocks = 1").count() // 1500)
     other = F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
-    dealt = texts.withColumn("with", F.explode(other)).select(
-        "grp", "rep", "copies", "text",
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(tasks))).otherwise(F.xxhash64("grp", F.least("own", "with"), F.greatest("own", "with"))).alias("task"),
+    bodies = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    bodies = bodies.join(placed.select("node", "rep.doc_id", "rep.text_key"), ["doc_id", "text_key"]).dropDuplicates(["node"]).select("node", "text")
+    dealt = units.join(bodies, "node").withColumn("with", F.explode(other)).select(
+        "unit", "tree", "node", "copies", "labels", "text",
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("tree", "unit"), F.lit(tasks))).otherwise(F.xxhash64("tree", "unit", F.least("own", "with"), F.greatest("own", "with"))).alias("task"),
         F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own",
     )
+    depths = range(depth + 1)
 
     def verify(table: pa.Table) -> pa.Table:
-        rows = table.select(["grp", "i", "j", "own", "rep", "copies"]).to_pandas()
-        texts = table.column("text")
-        found = []
-        for (_, i, j), part in rows.groupby(["grp", "i", "j"], sort=False):
-            sets = [shingles(texts[k].as_py(), width) for k in part.index]
-            side = (part["own"].to_numpy() == j).astype(np.int64) if i != j else np.zeros(len(part), np.int64)
-            n, root = _verify(part["rep"].to_numpy(), part["copies"].to_numpy(), sets, side, threshold)
-            found.append((part["rep"].to_numpy(), root, n))
-        return pa.table([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(3)], ["rep", "root", "n"])
-
-    return materialize(dealt.groupBy("task").applyInArrow(verify, "rep long, root long, n long"))
+        rows = table.select(["unit", "tree", "i", "j", "own", "node", "copies"]).to_pandas()
+        texts, labels = table.column("text"), table.column("labels")
+        out = []
+        for (_, tree, i, j), part in rows.groupby(["unit", "tree", "i", "j"], sort=False):
+            names, at = part["node"].to_numpy(), part.index
+            linked, similarity = _linked([shingles(texts[k].as_py(), width) for k in at], threshold)
+            if i != j:  # pairs across the two blocks only
+                side = part["own"].to_numpy() == j
+                linked &= side[:, None] != side[None, :]
+            prefix = _prefixes([labels[k].as_py() for k in at], trees, depth, used)
+            a, b = np.nonzero(linked)
+            common = prefix[a] == prefix[b]
+            meets = common.any(axis=1)
+            if tree >= 0:  # not the first tree in which the pair meets
+                later = common.argmax(axis=1) != tree
+                linked[a[later], b[later]] = False
+                meets &= ~later
+            a, s = a[meets], similarity[a[meets], b[meets]]
+            share = meeting(used, s, trees)
+            out.append((names, _roots(names, linked), linked @ part["copies"].to_numpy(), np.bincount(a, minlength=len(names)), *(np.bincount(a, meeting(d, s, trees) / share, len(names)) for d in depths)))
+        kinds = [pa.int64()] * 4 + [pa.float64()] * (depth + 1)
+        return pa.table([pa.array(np.concatenate([o[k] for o in out]), t) for k, t in enumerate(kinds)], ["node", "root", "n", "links", *(f"expected{d}" for d in depths)])
+
+    return materialize(dealt.groupBy("task").applyInArrow(verify, "node long, root long, n long, links long, " + ", ".join(f"expected{d} double" for d in depths)))
+
+
+def link_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 16, depth: int = 9, recall: float = 0.999, block: int = 192) -> tuple[DataFrame, DataFrame, DataFrame, list[tuple[int, float]]]:
+    """(signed documents, classes, what the comparison found, [(prefix, recall measured with it)])."""
+    signed = materialize(_signed(docs, width, trees, depth))
+    usable = signed.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
+    classes = usable.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
+    edges = forest(classes, trees, depth)
+    used, steps = depth, []
+    while True:
+        checked = _checked(docs, classes, edges, threshold, width, trees, depth, used, block)
+        links, every, *expected = checked.agg(F.sum("links"), *(F.sum(f"expected{d}") for d in range(depth + 1))).first()
+        if links:
+            at = [e / every for e in expected]
+            measured = links / every
+        else:  # no link tells how similar the linked ones are: as if all were at the threshold
+            at = [meeting(d, threshold, trees) for d in range(1, depth + 1)]
+            measured = at[used - 1]
+        steps.append((used, float(measured)))
+        if measured >= recall or used == 1:
+            return signed, classes, checked, steps
+        used = next((d for d in range(used - 1, 0, -1) if at[d - 1] >= recall), 1)
+
+
+def _found(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, text_key, class_id, n_links, kept."""
+    signed, classes, checked, _ = link_classes(docs, **options)
+    links = checked.groupBy("node").agg(F.sum("n").alias("n"))
+    joined = connected_components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    facts = classes.select("set_id", "node", "copies", F.col("rep.doc_id").alias("rep")).join(links, "node", "left").join(joined.withColumnRenamed("id", "node"), "node", "left")
+    facts = materialize(facts.select("set_id", "rep", F.coalesce("component", "node").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n")))
+    smallest = facts.groupBy("component").agg(F.min("rep").alias("class"))
+    facts = facts.join(smallest, "component").select("set_id", "class", "n")
+    found = signed.select("doc_id", "text_key", "set_id").join(facts, "set_id", "left")
+    class_id = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("class")), F.col("doc_id"))
+    return found.select("doc_id", "text_key", class_id.alias("class_id"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 24, depth: int = 6, recall: float = 0.999, block: int = 192) -> DataFrame:
+def jaccard_classes(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id, n_links, kept of every row of ``docs(doc_id, text)``.
 
     class_id: the smallest doc_id that links lead to, the document's own included. n_links: other
-    documents with a Jaccard index of at least ``threshold``. kept: doc_id = class_id.
+    documents with a Jaccard index of at least ``threshold``. kept: doc_id = class_id. Options are
+    those of ``link_classes``.
     """
-    signed = materialize(_signed(docs, width, trees, depth))
-    usable = signed.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
-    classes = materialize(usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels")).dropDuplicates(["rep"]))
-    before = None
-    for used in range(prefix_depth(threshold, trees, depth, recall), 0, -1):
-        checked = _checked(docs, classes, candidates(classes, trees, depth, used), threshold, width, block)
-        links = checked.groupBy("rep").agg(F.sum("n").alias("n"))
-        if before is not None:
-            gain = links.where("n > 0").join(before.withColumnRenamed("n", "m"), "rep", "left").agg(F.count("*"), F.count(F.when(F.col("n") > F.coalesce("m", F.lit(0)), 1))).first()
-            if gain[1] <= (1 - recall) * gain[0]:
-                break
-        before = links
-    joined = connected_components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    facts = classes.select("set_id", "rep", "copies").join(links, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    facts = facts.select("set_id", F.coalesce("component", "rep").alias("class"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    found = signed.select("doc_id", "set_id").join(facts, "set_id", "left")
-    class_id = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("class")), F.col("doc_id"))
-    return found.select("doc_id", class_id.alias("class_id"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+    return _found(docs, **options).drop("text_key")
 
 
 def without_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one of each class stays.
 
-    Rows without an id stay; of rows that repeat an id one stays.
+    Rows without an id stay; of rows that repeat an id and its text one stays.
     """
-    gone = jaccard_classes(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    rest = docs.where(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").dropDuplicates(["doc_id"])
+    found = materialize(_found(docs, **options))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__text")).distinct()
+    key = F.xxhash64("text")
+    rest = docs.where(F.col("doc_id").isNotNull()).join(gone, (F.col("doc_id") == F.col("__gone")) & (key == F.col("__text")), "left_anti")
+    if not found.where("doc_id is not null").groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
+        rest = rest.withColumn("__text", key).dropDuplicates(["doc_id", "__text"]).drop("__text")
     return rest.unionByName(docs.where(F.col("doc_id").isNull()))
