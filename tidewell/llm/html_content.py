@@ -1,33 +1,43 @@
 """Main-text extraction from HTML as a maximum-scoring subsequence.
 
-A page becomes a sequence of words and tags in page order. Words score positive and tags
-negative; the weights are log-odds learned from labelled pages (``LABELLED``). One scan from left to
-right finds the contiguous region with the greatest sum (the earliest of equals), which is then
-widened to whole blocks. Inside it, elements that by their tag, role, class or id are menus,
-headers, footers, sidebars, notices, adverts, forms, scripts or reader comments contribute no
-words; outside them nothing is dropped or cut.
-
-Class and id names (and forms) are a suspicion only, since wrappers carry them too (has-sidebar,
-search-page). Such an element counts as a wrapper and keeps its words if it holds the page's main
-element; an article, unless it stands beside a main; or, with no article or main beside it, at least
-half of the words outside links of the article, main or page that it is in.
+A page becomes a sequence of words and tags in page order. A word scores the log-odds that it belongs
+to the main text, positive in prose and negative in what looks like a menu, footer or advert; a tag
+scores negative, more so where its block is mostly links. One scan from left to right finds the
+contiguous region with the greatest sum (the earliest of equals), which is widened to whole blocks; of
+its blocks those whose words score negative are left out, such as a share bar or the readers' comments
+within an article. Outside an article or main element nothing else decides; inside one, the negative
+scores are bounded for the scan, so that a long table or a menu does not cut the article in two.
+
+The weights are learned from labelled pages (``labelled_pages``) by two logistic regressions, of
+words and of tags. Features of a word: the element it is in (article or main, menu, header, footer,
+aside, form), whether its block is a heading or mostly links, and the parts of the class and id names
+around it, each by what the labelled pages show of it, once for a container and once for the block
+itself. Names are no features where their element is a wrapper (has-sidebar, search-page): it holds the
+page's main element; an article, unless it stands beside a main; or, with no article or main beside it,
+at least half of the words outside links of the article, main or page that it is in.
+
+Hard rules are left for what is never text: scripts, styles, the head, form controls, embedded objects
+and hidden elements. A header inside an article or main contributes its headings only.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed, empty ones left out, and the rest joined by one newline. ``<br>`` counts as white space.
 
 Null and empty html give the empty text; so does a page without words in its body. Broken
-markup is read as far as it goes: an unclosed element ends with its parent. Repeated rows give
-repeated results; other columns are ignored.
+markup is read as far as it goes: an unclosed element ends with its parent, a tag with an unclosed
+quote at the next >. Very long pages are read whole. Repeated rows and rows without an id give repeated
+results; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -35,21 +45,31 @@ from pyspark.sql import DataFrame
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video xmp noframes".split())
-SKIPPED = frozenset("nav header footer aside form menu button select option input dialog label fieldset head noframes".split()) | RAW
-SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar tablist".split())
-SKIPPED_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adslot adbox adsense banner banners sponsor sponsored sponsors promo promos promotion promoted "
-    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs pager pagination paging toc tabs toolbar topbar masthead header footer foot "
-    "sidebar sidebars aside rail widget widgets related recommended recommendations trending popular share sharing social follow "
-    "comment comments commentlist respond reply replies disqus discussion reactions "
-    "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login signin register paywall disclaimer copyright legal "
-    "form search searchbox hidden skip".split()
-)
+HARD = frozenset("button select option input textarea frameset noframes".split()) | RAW
+#: Elements, and roles that mean the same, as a feature of their words.
+ZONES = {"nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form", "dialog": "aside"}
+ROLES = {"navigation": "nav", "menu": "nav", "menubar": "nav", "tablist": "nav", "toolbar": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form", "form": "form", "dialog": "aside", "alertdialog": "aside"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Parts of class and id names by which pages tell what is not the main text; the labelled pages use them.
+BESIDE_NAMES = {
+    "advert": "ad ads adv advert adverts advertisement advertising adslot adbox adsense sponsor sponsored sponsors promo promos promotion promoted".split(),
+    "menu": "nav navbar navigation menu menus submenu breadcrumb breadcrumbs pager pagination paging toc tabs toolbar topbar".split(),
+    "links": "sidebar sidebars aside rail widget widgets related recommended recommendations trending popular share sharing social follow".split(),
+    "comments": "comment comments commentlist respond reply replies disqus discussion reactions".split(),
+    "notice": "notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login signin paywall disclaimer copyright footer masthead".split(),
+    "form": "form searchbox search register".split(),
+}
+#: Names that occur on the main text's own elements just as well.
+OWN_NAMES = "content post entry story article body text lead intro summary main page section legal header alert banner skip foot hidden popular".split()
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())  # any other tag ends the head
+#: Block elements that hold other blocks; a name on one of the others is the block's own.
+CONTAINERS = frozenset("aside body center details dialog div dl fieldset figure footer form header html main nav ol section table tbody tfoot thead tr ul article hgroup menu".split())
 COMMENT_NAMES = frozenset("comment comments commentlist reply replies respond".split())  # an article named so is a reader's
+KIND_OF = {name: kind for kind, names in BESIDE_NAMES.items() for name in names}
 _CLOSED_BY = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_QUOTED = r"""(?>(?:[^>"']|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>]))*)(?=>|\Z)"""
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(" + _QUOTED + r"|[^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -59,30 +79,29 @@ def _names(attributes: str) -> set[str]:
     return {part for key, value in _ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id") for part in _NAME.findall(value.lower())}
 
 
-def _skipped(name: str, attributes: str) -> bool:
-    """Is it left out whatever it holds?"""
-    if name in SKIPPED and name != "form":
-        return True
+def _zone_of(name: str, attributes: str) -> str | None:
+    """The feature that an element gives its words; "hard" if they are no text at all."""
+    if name in HARD:
+        return "hard"
+    zone = ZONES.get(name)
     for key, value in _ATTRIBUTE.findall(attributes) if "=" in attributes or "hidden" in attributes else ():
         key, value = key.lower(), value.strip("\"'").lower()
-        if key == "role" and value in SKIPPED_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-    return False
-
-
-def _suspected(name: str, attributes: str) -> bool:
-    """Is it left out unless it turns out to be a wrapper of the main text?"""
-    return name == "form" or "=" in attributes and name not in ("html", "body", "article", "main") and not SKIPPED_NAMES.isdisjoint(_names(attributes))
+        if key == "hidden" or key == "aria-hidden" and value == "true":
+            return "hard"
+        if key == "role" and value in ROLES:
+            zone = ROLES[value]
+    return zone
 
 
 class _Part:
-    """A suspected element, or a scope (the page, a main, an article), while the page is read."""
+    """A named or form element, or a scope (the page, a main, an article), while the page is read."""
 
-    __slots__ = ("up", "scope", "words", "mains", "articles")
+    __slots__ = ("up", "scope", "names", "in_main", "words", "mains", "articles", "features")
 
-    def __init__(self, up: _Part | None, scope: _Part | None = None):
-        self.up, self.scope = up, scope  # the next part of its kind around it; the scope a suspect is in
+    def __init__(self, up: _Part | None, scope: _Part | None = None, names: frozenset[str] = frozenset(), in_main: bool = False):
+        self.up, self.scope, self.names, self.in_main = up, scope, names, in_main  # up: the next one of its kind around it
         self.words = self.mains = self.articles = 0
+        self.features: frozenset[str] = frozenset()
 
     def add(self, words: int = 0, mains: int = 0, articles: int = 0) -> None:
         part: _Part | None = self
@@ -90,42 +109,67 @@ class _Part:
             part.words, part.mains, part.articles = part.words + words, part.mains + mains, part.articles + articles
             part = part.up
 
-    def is_wrapper(self, page: _Part, in_main: bool) -> bool:
+    def is_wrapper(self, page: _Part) -> bool:
         if self.mains or self.articles:
-            return bool(self.mains or in_main or not page.mains)
+            return bool(self.mains or self.in_main or not page.mains)
         return not (self.scope.mains or self.scope.articles) and 0 < self.scope.words <= 2 * self.words
 
 
-Event = tuple[str, str, int]  # (kind, text, block number); the kind is a feature of the weights
+@dataclass(slots=True)
+class _Open:
+    """An open element with what holds for all that is in it."""
+
+    name: str = ""
+    hard: bool = False
+    zones: frozenset[str] = frozenset()
+    inside: bool = False  # in an article or main
+    in_main: bool = False
+    link: bool = False
+    heading: bool = False
+    part: _Part | None = None
+    scope: _Part | None = None
+
+
+@dataclass(slots=True)
+class Event:
+    """A tag, or a run of text, with its features and the number of its block."""
+
+    tag: str  # empty for text
+    text: str
+    block: int
+    features: frozenset[str]
+    inside: bool
+    link: bool = False
 
 
 def events(html: str) -> list[Event]:
-    """Tags and runs of text in page order; text of skipped elements is left out."""
-    out: list[tuple[str, str, int, _Part | None]] = []
+    """Tags and runs of text in page order, without what is never text."""
+    out: list[tuple[Event, _Part | None]] = []
     page = _Part(None)
-    bottom = ("", False, False, None, page, False, False)
-    stack: list[tuple[str, bool, bool, _Part | None, _Part, bool, bool]] = []  # (name, in a skipped element, in an article, suspect, scope, in a main, in a link)
-    suspects: list[tuple[_Part, bool]] = []  # outer ones first
+    bottom = _Open(scope=page)
+    stack: list[_Open] = []
+    parts: list[_Part] = []  # outer ones first
+    own_names: dict[int, frozenset[str]] = {}  # names of the innermost block element of a block
     block = at = 0
 
-    def text(part: str) -> None:
-        if not part:
+    def text(run: str) -> None:
+        if not run:
             return
-        blank = part.isspace()
-        if stack and stack[-1][0] == "head" and not blank:
+        blank = run.isspace()
+        if stack and stack[-1].name == "head" and not blank:
             stack.pop()
-        _, skip, inside, suspect, scope, _, link = stack[-1] if stack else bottom
-        if skip:
-            return
-        if blank:
-            out.append(("space", " ", block, suspect))
+        top = stack[-1] if stack else bottom
+        if top.hard:
             return
-        out.append(("word inside" if inside else "word", unescape(part), block, suspect))
-        if not link:
-            n = len(part.split())
-            scope.add(n)
-            if suspect is not None:
-                suspect.add(n)
+        if "header" in top.zones and top.inside and not top.heading and not blank:
+            return  # of an article's own header the headings alone
+        features = top.zones | {"heading"} if top.heading else top.zones
+        out.append((Event("", " " if blank else unescape(run), block, features, top.inside, top.link), top.part))
+        if not blank and not top.link:
+            n = len(run.split())
+            top.scope.add(n)
+            if top.part is not None:
+                top.part.add(n)
 
     while (found := _TOKEN.search(html, at)) is not None:
         text(html[at : found.start()])
@@ -133,20 +177,20 @@ def events(html: str) -> list[Event]:
         name = (found[2] or "").lower()
         if not name:
             continue
-        skipping, suspect = (stack[-1][1], stack[-1][3]) if stack else (False, None)
+        top = stack[-1] if stack else bottom
         if name in BLOCKS:
             block += 1
-        elif name == "br" and not skipping:
-            out.append(("space", " ", block, suspect))
+        elif name == "br" and not top.hard:
+            out.append((Event("", " ", block, top.zones, top.inside), top.part))
         if found[1]:
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
+            if any(o.name == name for o in stack):
+                while stack.pop().name != name:
                     pass
         else:
-            while stack and (name in _CLOSED_BY.get(stack[-1][0], ()) or stack[-1][0] == "head" and name not in IN_HEAD):
+            while stack and (name in _CLOSED_BY.get(stack[-1].name, ()) or stack[-1].name == "head" and name not in IN_HEAD):
                 stack.pop()
-            _, skipping, inside, suspect, scope, in_main, link = stack[-1] if stack else bottom
-            skip = skipping or _skipped(name, found[3])
+            top = stack[-1] if stack else bottom
+            zone = _zone_of(name, found[3])
             if name in RAW and not found[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
                 if end is not None:
@@ -154,27 +198,51 @@ def events(html: str) -> list[Event]:
                 elif name in ("script", "style", "title", "textarea"):
                     at = len(html)
             elif name not in VOID and not (found[3].endswith("/") and name not in BLOCKS):
-                own, around = suspect, scope
-                if not skip and name in ("article", "main"):
+                hard = top.hard or zone == "hard" or name == "head"
+                opened = _Open(name, hard, top.zones, top.inside, top.in_main or name == "main", top.link or name == "a", top.heading or name in HEADINGS, top.part, top.scope)
+                if name in ("article", "main") and not hard:
                     if name == "main" or COMMENT_NAMES.isdisjoint(_names(found[3])):
-                        for part in filter(None, (scope, suspect)):
+                        for part in filter(None, (top.scope, top.part)):
                             part.add(mains=name == "main", articles=name == "article")
-                        around = _Part(scope)
-                elif not skip and _suspected(name, found[3]):
-                    own = _Part(suspect, scope)
-                    suspects.append((own, in_main))
-                stack.append((name, skip, (inside or name in ("article", "main")) and not skip, own, around, in_main or name == "main", link or name == "a"))
-        if not skipping:
-            out.append((f"tag {name}", "", block, suspect))
+                        opened.scope = _Part(top.scope)
+                        opened.inside = True
+                    else:
+                        opened.zones = top.zones | {"name comments"}
+                elif not hard:
+                    names = frozenset(_names(found[3])) if "=" in found[3] and name not in ("html", "body") else frozenset()
+                    if name in BLOCKS and name not in CONTAINERS:
+                        own_names[block] = names
+                    elif names or zone == "form":
+                        opened.part = _Part(top.part, top.scope, names | ({"<form>"} if zone == "form" else frozenset()), top.in_main)
+                        parts.append(opened.part)
+                    if zone and zone != "form":
+                        opened.zones = top.zones | {zone}
+                stack.append(opened)
+        if not top.hard:
+            out.append((Event(name, "", block, top.zones, top.inside), top.part))
     text(html[at:])
-    dropped: set[_Part] = set()
-    for part, in_main in suspects:
-        if part.up in dropped or not part.is_wrapper(page, in_main):
-            dropped.add(part)
-    kept = [(kind, words, number) for kind, words, number, part in out if part not in dropped] if dropped else [e[:3] for e in out]
-    if any(kind in ("tag article", "tag main") for kind, _, _ in kept):
-        return [("word beside" if kind == "word" else kind, words, number) for kind, words, number in kept]
-    return kept
+    for part in parts:
+        inherited = part.up.features if part.up is not None else frozenset()
+        if part.is_wrapper(page):
+            part.features = inherited
+        else:
+            part.features = inherited | {"form" if n == "<form>" else f"name {n}" for n in part.names} | {f"kind {KIND_OF[n]}" for n in part.names if n in KIND_OF}
+    words, linked = Counter(), Counter()
+    for event, _ in out:
+        if event.text:
+            n = len(event.text.split())
+            words[event.block] += n
+            linked[event.block] += n * event.link
+    for event, part in out:
+        if part is not None:
+            event.features |= part.features
+        if own := own_names.get(event.block):
+            event.features |= {f"own {n}" for n in own} | {f"own kind {KIND_OF[n]}" for n in own if n in KIND_OF}
+        if 2 * linked[event.block] > words[event.block]:
+            event.features |= {"links inside" if event.inside else "links"}
+        if event.inside:
+            event.features |= {"inside"}
+    return [event for event, _ in out]
 
 
 def best_region(scores: Iterable[float]) -> tuple[int, int]:
@@ -189,87 +257,170 @@ def best_region(scores: Iterable[float]) -> tuple[int, int]:
     return region
 
 
-def learn(pages: Iterable[tuple[str, list[str]]]) -> dict[str, float]:
-    """Weights by kind: the log-odds that an event belongs to the main text.
+@dataclass
+class Weights:
+    """Log-odds of words and tags, by feature."""
 
-    pages: html with its main blocks. Word kinds are kept at +0.1 or more unless they are
-    beside an article, tag kinds at -0.1 or less.
-    """
-    good, bad = Counter(), Counter()
+    words: dict[str, float] = field(default_factory=dict)
+    tags: dict[str, float] = field(default_factory=dict)
+
+    def word(self, event: Event) -> float:
+        return self.words.get("", 0.0) + sum(self.words.get(f, 0.0) for f in event.features)
+
+    def tag(self, event: Event) -> float:
+        return min(self.tags.get("", 0.0) + self.tags.get(f"<{event.tag}>", 0.0) + sum(self.tags.get(f, 0.0) for f in event.features & _OF_TAGS), -0.05)
+
+
+_OF_TAGS = frozenset(("inside", "links", "links inside", "nav", "header", "footer", "aside"))
+
+
+def _logistic(rows: Counter[tuple[frozenset[str], bool]], l2: float = 0.5, steps: int = 600) -> dict[str, float]:
+    """Weights of a ridge regression on counted (features, is main text), by accelerated gradient steps."""
+    names = sorted({f for features, _ in rows for f in features})
+    place = {f: k for k, f in enumerate(names)}
+    x = np.zeros((len(rows), len(names)))
+    for k, (features, _) in enumerate(rows):
+        x[k, [place[f] for f in features]] = 1
+    y = np.array([good for _, good in rows], float)
+    n = np.array(list(rows.values()), float)
+    rate = 4 / (np.linalg.norm(x * np.sqrt(n)[:, None], 2) ** 2 + 4 * l2)
+    w = ahead = np.zeros(len(names))
+    for step in range(steps):
+        gradient = x.T @ (n * (1 / (1 + np.exp(-np.clip(x @ ahead, -50, 50))) - y)) + l2 * ahead
+        new = ahead - rate * gradient
+        ahead = new + step / (step + 3) * (new - w)
+        w = new
+    return {f: round(float(w[k]), 4) for f, k in place.items()}
+
+
+def learn(pages: Iterable[tuple[str, list[str]]]) -> Weights:
+    """Weights from html with its main blocks."""
+    words: Counter[tuple[frozenset[str], bool]] = Counter()
+    tags: Counter[tuple[frozenset[str], bool]] = Counter()
     for html, blocks in pages:
         wanted = set(blocks)
         stream = events(html)
         texts: dict[int, str] = {}
-        for _, part, block in stream:
-            texts[block] = texts.get(block, "") + part
+        for event in stream:
+            texts[event.block] = texts.get(event.block, "") + event.text
         chosen = {b for b, t in texts.items() if " ".join(t.split()) in wanted}
-        for kind, part, block in stream:
-            (good if block in chosen else bad)[kind] += len(part.split()) if kind.startswith("word") else 1
-    weights = {}
-    for kind in {*good, *bad}:
-        odds = math.log((good[kind] + 0.5) / (bad[kind] + 0.5))
-        if kind.startswith("word"):
-            weights[kind] = min(odds, -0.1) if kind == "word beside" else max(odds, 0.1)
-        elif kind.startswith("tag"):
-            weights[kind] = min(odds - 1, -0.1)
-    return weights
-
-
-def extract(html: str | None, weights: dict[str, float]) -> str:
+        first, last = (min(chosen), max(chosen)) if chosen else (0, -1)
+        for event in stream:
+            if event.tag:
+                tags[(event.features & _OF_TAGS) | {"", f"<{event.tag}>"}, first <= event.block <= last] += 1
+            elif not event.text.isspace():
+                words[event.features | {""}, event.block in chosen] += len(event.text.split())
+    return Weights(_logistic(words), _logistic(tags))
+
+
+def extract(html: str | None, weights: Weights) -> str:
     """The main text of one page."""
     if not html:
         return ""
     stream = events(html)
-    other = -1.0  # a tag that no labelled page has
-    scores = [weights.get(kind, 1.0) * len(part.split()) if kind.startswith("word") else 0.0 if kind == "space" else weights.get(kind, other) for kind, part, _ in stream]
+    scores, total, blocks = [], Counter(), {}
+    for event in stream:
+        if event.tag:
+            score = max(weights.tag(event), -0.05 if event.inside else -2.0)
+        else:
+            blocks.setdefault(event.block, []).append(event.text)
+            n = len(event.text.split())
+            each = min(max(weights.word(event), -3.0), 3.0)
+            total[event.block] += each * n
+            score = n * (max(each, -0.05) if event.inside else each)
+        scores.append(score)
     start, end = best_region(scores)
     if start == end:
         return ""
-    first, last = stream[start][2], stream[end - 1][2]
-    blocks: dict[int, list[str]] = {}
-    for _, part, block in stream:
-        if first <= block <= last and part:
-            blocks.setdefault(block, []).append(part)
-    return "\n".join(filter(None, (" ".join("".join(parts).split()) for parts in blocks.values())))
-
-
-#: Labelled pages: (html, blocks of the main text).
-LABELLED: list[tuple[str, list[str]]] = [
-    (
-        "<html><head><title>River walk</title><script>var a='<p>no</p>';</script></head><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/map'>Map</a></li></ul></nav>"
-        "<article><h1>River walk</h1><p>The path starts at the old mill and follows the water for two miles.</p><p>After the weir it climbs to the ridge, where the view opens to the <a href='/s'>sea</a>.</p></article>"
-        "<div>Subscribe for weekly walks in your inbox</div><footer>All rights reserved</footer></body></html>",
-        ["River walk", "The path starts at the old mill and follows the water for two miles.", "After the weir it climbs to the ridge, where the view opens to the sea."],
-    ),
-    (
-        "<body><div><a href='/a'>News</a> <a href='/b'>Sport</a> <a href='/c'>Money</a></div><div><div><h2>Rain expected</h2><p>Heavy showers will cross the county during the evening and clear before the morning.</p>"
-        "<p>Drivers are asked to leave more time for their journeys, since some low roads may flood.</p></div></div><div><ul><li><a href='/1'>Older</a></li><li><a href='/2'>Newer</a></li></ul></div></body>",
-        ["Rain expected", "Heavy showers will cross the county during the evening and clear before the morning.", "Drivers are asked to leave more time for their journeys, since some low roads may flood."],
-    ),
-    (
-        "<body><header><h1>The Daily Loaf</h1></header><main><h2>Rye bread</h2><p>Mix the flour with warm water and let it rest overnight in a cool room.</p><ul><li>500 grams of rye flour</li><li>350 grams of water</li></ul>"
-        "<p>Bake it for an hour until the crust is dark and sounds hollow.</p></main><p>Visit our shop</p><aside>More recipes: cakes, pies</aside><footer>Contact us</footer></body>",
-        ["Rye bread", "Mix the flour with warm water and let it rest overnight in a cool room.", "500 grams of rye flour", "350 grams of water", "Bake it for an hour until the crust is dark and sounds hollow."],
-    ),
-    (
-        "<body><table><tr><td><a href='/x'>Index</a></td><td><a href='/y'>Forum</a></td><td><a href='/z'>Help</a></td></tr></table><p>The engine was built in nineteen hundred and four and ran on the branch line for thirty years.</p>"
-        "<blockquote>It never failed us once, said its last driver when the line was closed.</blockquote><p>It now stands in the museum beside the station.</p><div><a href='/p'>Print</a> <a href='/m'>Mail</a></div></body>",
-        ["The engine was built in nineteen hundred and four and ran on the branch line for thirty years.", "It never failed us once, said its last driver when the line was closed.", "It now stands in the museum beside the station."],
-    ),
-]
-
-_WEIGHTS: dict[str, float] = {}
-
-
-def default_weights() -> dict[str, float]:
+    first, last = stream[start].block, stream[end - 1].block
+    return "\n".join(filter(None, (" ".join("".join(runs).split()) for block, runs in blocks.items() if first <= block <= last and total[block] > 0)))
+
+
+# ---- labelled pages -----------------------------------------------------------------------
+
+_NOUNS = "river mill path ridge harbour ferry baker oven bread engine station winter garden market teacher bridge letter window engineer doctor forest valley captain museum orchard".split()
+_VERBS = "follows crosses opens reaches leaves builds repairs carries remembers watches describes measures".split()
+_MORE = "slowly before noon in spring after the storm beside the old wall for thirty years with great care without any help".split()
+
+
+def labelled_pages(n: int = 400, seed: int = 1) -> Iterator[tuple[str, list[str]]]:
+    """Pages composed by rule, with the blocks of their main text.
+
+    Each has an article in one of the usual containers, of headings, paragraphs, lists, tables, quotes
+    and lists of sources, and around it (of some also inside) menus, adverts, link boxes, notices, forms
+    and comments, under the names that such parts commonly have.
+    """
+    for k in range(n):
+        dice = random.Random(seed * 10_007 + k)
+
+        def words(low: int, high: int, dice: random.Random = dice) -> str:
+            out: list[str] = []
+            while len(out) < high:
+                out += ["the", dice.choice(_NOUNS), dice.choice(_VERBS), "the", dice.choice(_NOUNS), *dice.sample(_MORE, 3)]
+            return " ".join(out[: dice.randint(low, high)]).capitalize()
+
+        def links(low: int, high: int, dice: random.Random = dice, words=words) -> str:
+            return "<ul>" + "".join(f"<li><a href='/{i}'>{words(1, 4)}</a></li>" for i in range(dice.randint(low, high))) + "</ul>"
+
+        main: list[str] = []
+
+        def own(tag: str, text: str, inner: str | None = None, main: list[str] = main, dice: random.Random = dice) -> str:
+            main.append(" ".join(re.sub("<[^>]*>", "", text).split()))
+            name = f" class='{dice.choice(OWN_NAMES)}'" if dice.random() < 0.15 else ""
+            return f"<{tag}{name}>{text}</{tag}>"
+
+        def beside(kind: str | None = None, dice: random.Random = dice, words=words, links=links) -> str:
+            kind = kind or dice.choice([*BESIDE_NAMES, "nav", "header", "footer", "aside"])
+            body = {"advert": words(4, 16), "notice": f"<p>{words(6, 25)}</p>", "comments": "".join(f"<p>{words(5, 30)}</p>" for _ in range(dice.randint(1, 6))), "header": f"<h1>{words(2, 4)}</h1><p>{words(3, 8)}</p>", "footer": words(4, 14), "form": f"<label>{words(1, 3)}</label><input><p>{words(2, 6)}</p>"}.get(kind) or links(2, 12)
+            if kind in ("aside", "links") and dice.random() < 0.5:
+                body = f"<h3>{words(1, 4)}</h3><p>{words(6, 30)}</p>"
+            if kind in ("nav", "header", "footer", "aside"):
+                return f"<{kind}>{body}</{kind}>"
+            name = dice.choice(BESIDE_NAMES[kind])
+            mark = dice.choice((f"class='{name}'", f"id='{name}'", f"class='box {name}-{dice.randint(1, 9)}'"))
+            return f"<form {mark}>{body}</form>" if kind == "form" and dice.random() < 0.5 else f"<p {mark}>{words(4, 12)}</p>" if kind == "advert" and dice.random() < 0.2 else f"<div {mark}>{body}</div>"
+
+        container = dice.choice(("article", "main", "div", "div class='content'", "div id='story'", "section class='post'", "article class='entry'"))
+        inner = []
+        if dice.random() < 0.8:
+            inner.append(own("h1", words(2, 8)))
+        for _ in range(dice.randint(2, 7)):
+            shape = dice.random()
+            if shape < 0.62:
+                text = words(15, 80)
+                inner.append(own("p", text.replace("the river", "the <a href='/r'>river</a>").replace("spring", "<b>spring</b>")))
+            elif shape < 0.72:
+                inner.append(own("h2", words(2, 6)))
+            elif shape < 0.8:
+                inner.append("<ul>" + "".join(own("li", words(3, 14)) for _ in range(dice.randint(2, 8))) + "</ul>")
+            elif shape < 0.86:
+                inner.append("<table>" + "".join("<tr>" + "".join(own("td", words(1, 4)) for _ in range(3)) + "</tr>" for _ in range(dice.randint(2, 12))) + "</table>")
+            elif shape < 0.9:
+                inner.append(own("blockquote", words(8, 30)))
+            elif shape < 0.93 and container.startswith(("article", "main")):
+                inner.append("<ul>" + "".join(own("li", f"<a href='/s{i}'>{words(2, 6)}</a>") for i in range(dice.randint(2, 6))) + "</ul>")
+            else:
+                inner.append(beside(dice.choice(("advert", "links", "comments", "notice"))))
+        body = f"<{container}>{''.join(inner)}</{container.split()[0]}>"
+        above = "".join(beside(kind) for kind in dice.sample(("nav", "menu", "header", "advert", "notice", "form", "links"), dice.randint(1, 4)))
+        below = "".join(beside(kind) for kind in dice.sample(("footer", "links", "comments", "advert", "aside", "notice", "menu"), dice.randint(1, 4)))
+        if dice.random() < 0.3:
+            above += f"<div>{links(3, 9)}</div>"
+        yield f"<html><head><title>{words(2, 6)}</title></head><body>{above}{body}{below}</body></html>", main
+
+
+_WEIGHTS: list[Weights] = []
+
+
+def default_weights() -> Weights:
     if not _WEIGHTS:
-        _WEIGHTS.update(learn(LABELLED))
-    return _WEIGHTS
+        _WEIGHTS.append(learn(labelled_pages()))
+    return _WEIGHTS[0]
 
 
-def extract_pages(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def extract_pages(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages(page_id, url, html)``."""
-    chosen = dict(weights or default_weights())
+    chosen = weights or default_weights()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
