@@ -245,3 +245,19 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     model = fit(docs.where(~held_out()), **options)
     predict = predictor(docs.sparkSession, model)
     return docs.select("doc_id", held_out().alias("held_out"), predict("text").alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+def without_unknown(docs: DataFrame, least_score: float = 0.35, least_letters: int = 40, **options) -> DataFrame:
+    """The rows of ``docs(doc_id, text, lang)``, with all their columns, that are in a language that the
+    model knows.
+
+    Rejected are texts without a letter, and texts of at least ``least_letters`` letters whose calibrated
+    probability is under ``least_score`` for every learned language. A shorter text says too little to
+    be rejected. Where nothing was learned, texts with letters stay.
+    """
+    model = fit(docs.where(~held_out()), **options)
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
+    if not model.languages:
+        return docs.where(letters > 0)
+    found = predictor(docs.sparkSession, model)("text")
+    return docs.where((found["lang"] != UNKNOWN) & ((found["score"] >= least_score) | (letters < least_letters)))
