@@ -1,9 +1,9 @@
 """A training corpus from raw documents: four stages, each of which calls one operator.
 
 1. toxicity: documents with a predicted severity grade of 1 or more go.
-2. language: documents without a letter go, in which no language can be recognised. The model's
-   choice among the languages it has learned rejects nothing, nor does its score; where nothing was
-   learned, documents with letters stay all the same.
+2. language: documents go in which there is no letter, or in which none of the languages that the
+   model has learned has a calibrated probability of at least 0.35 (texts under 40 letters stay, since
+   they say too little); where nothing was learned, documents with letters stay.
 3. near_duplicates: of each group of documents linked by a Jaccard index of 0.8 or more on
    five-word shingles, the one with the smallest doc_id stays.
 4. packing: the rest is packed into sequences of at most 4096 tokens; one row per piece.
@@ -13,11 +13,7 @@ Stages 1 to 3 return the columns of documents. An empty table gives no rows in a
 
 from __future__ import annotations
 
-from dataclasses import replace
-
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewell.llm import langid, lsh_forest, packing, toxicity
 from tidewell.llm.common import materialize, table
@@ -32,11 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.fit(docs.where(~langid.held_out()))
-    if not model.languages:  # one language of no weight, for all texts with letters
-        model = replace(model, languages=["any"], weights=np.zeros((1 << model.bits, 1), np.float32), bias=np.zeros(1))
-    predict = langid.predictor(spark, model)
-    return docs.where(predict("text")["lang"] != F.lit(langid.UNKNOWN))
+    return langid.without_unknown(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
