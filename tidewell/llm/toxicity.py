@@ -3,18 +3,21 @@
 P(grade > k) = sigmoid(w . x - threshold_k): the weights are shared by all thresholds, which are
 ordered. The expected severity is the sum of these probabilities.
 
-Grades. The labels say only whether a document is toxic. Grade 0 is a document labelled clean.
-A document labelled toxic gets grade 1, 2 or 3 by the third of the labelled toxic documents that
-its share of words in the vocabulary falls in (likelihood-ratio statistic, at least three times as often).
+Grades. The labels say only whether a document is toxic, so the ordinal target has to be made of them:
+grade 0 is a document labelled clean; a document labelled toxic gets grade 1, 2 or 3 by the third of the
+labelled toxic documents that its share of words that mark toxic documents falls in. How severe a
+toxic document is follows its density of such words by that definition; whether it is toxic does not.
 
 Features are sparse: words, and beginnings of words of 4 to 7 letters, each as log(1 + its
-occurrences per hundred words). The vocabulary holds those in significantly more toxic documents.
+occurrences per hundred words). The vocabulary holds the ``vocabulary`` terms with the greatest
+likelihood-ratio statistic, at least ``significance``, of those at least three times as frequent in toxic
+documents as in clean ones, or the other way round. Terms are counted in all documents of the sample.
 The model is fitted on at most ``sample`` labelled documents, in the order of a hash of doc_id; identical texts
-count once. Every document is scored whole.
+count once. Every document is scored whole, however long.
 
 Null and empty texts have severity 0 and are not toxic. Several labels of one document: toxic if
-any says so; null labels are not used. Without labels nothing is toxic. Repeated rows give
-repeated results.
+any says so; null labels are not used. Without labels nothing is toxic. Repeated rows and rows
+without an id give repeated results; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import FragmentCache
@@ -45,15 +48,15 @@ def terms(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in range(4, 8) if len(word) > k)]
 
 
-def features(text: str, columns: dict[str, int], known: dict[str, tuple[int, ...]]) -> tuple[dict[int, float], float]:
-    """({column: value}, share of the text's words with a feature). known: the columns of words met before."""
+def features(text: str, columns: dict[str, int], known: dict[str, tuple[int, ...]], marks: frozenset[int] | set[int] = frozenset()) -> tuple[dict[int, float], float]:
+    """({column: value}, share of the text's words with a column in ``marks``). known: the columns of words met before."""
     every = words(text)
     counts: dict[int, int] = {}
     marked = 0
     for word, n in Counter(every).items():
         for column in (at := known[word]):
             counts[column] = counts.get(column, 0) + n
-        if at:
+        if not marks.isdisjoint(at):
             marked += n
     size = max(1, len(every))
     return {c: float(np.log1p(100 * n / size)) for c, n in counts.items()}, marked / size
@@ -115,16 +118,15 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
     return w, np.cumsum(np.concatenate((free[:1], np.exp(free[1:]))))
 
 
-def _likelihood_ratio(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> np.ndarray:
-    """G statistic of a word in a of na and b of nb documents."""
-    both = (a + b) / (na + nb)
+def _likelihood_ratio(na: float, nb: float) -> Column:
+    """G statistic of a term in ``toxic`` of na and ``clean`` of nb documents."""
 
-    def part(k: np.ndarray, n: float) -> np.ndarray:
-        e = n * both
-        rest, expected = n - k, n * (1 - both)
-        return k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)) + rest * np.log(np.maximum(rest, 1e-9) / np.maximum(expected, 1e-9))
+    def part(k: Column, n: float) -> Column:
+        expected = n * (F.col("toxic") + F.col("clean")) / (na + nb)
+        rest = n - k
+        return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0) + F.when(rest > 0, rest * F.log(rest / (n - expected))).otherwise(0.0)
 
-    return 2 * (part(a, na) + part(b, nb))
+    return 2 * (part(F.col("toxic"), na) + part(F.col("clean"), nb))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: int = 1000, significance: float = 15.0) -> Model:
@@ -148,22 +150,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: in
         return Model()
     counts = labelled.mapInArrow(spread, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     lift = (F.col("toxic") + 0.5) / na / ((F.col("clean") + 0.5) / nb)
-    marked = counts.where((F.col("toxic") >= 3) & (lift >= 3)).orderBy(F.desc(F.col("toxic") * F.log(lift)), "term").limit(4 * vocabulary).toPandas()
-    a, b = marked["toxic"].to_numpy(float), marked["clean"].to_numpy(float)
-    g = _likelihood_ratio(a, b, na, nb)
-    chosen = np.flatnonzero(g >= significance)
-    chosen = chosen[np.argsort(-g[chosen], kind="stable")][:vocabulary]
-    if not len(chosen):
+    telling = (F.col("toxic") + F.col("clean") >= 3) & ((lift >= 3) | (lift <= 1 / 3)) & (F.col("g") >= significance)
+    marked = counts.withColumn("g", _likelihood_ratio(na, nb)).where(telling).orderBy(F.desc("g"), "term").limit(vocabulary).select("term", (lift >= 3).alias("marks")).toPandas()
+    if not marked["marks"].any():
         labelled.unpersist()
         return Model()
-    columns = {marked["term"].iloc[i]: k for k, i in enumerate(chosen)}
+    columns = {term: k for k, term in enumerate(marked["term"])}
+    marks = set(np.flatnonzero(marked["marks"]).tolist())
 
     def sparse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_columns(columns)
         for batch in batches:
             out = []
             for text, mark in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found, share = features(text.as_py(), columns, known)
+                found, share = features(text.as_py(), columns, known, marks)
                 out.append((mark, share, list(found), list(found.values())))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64())), strict=True)] if out else [pa.array([], t) for t in (pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64()))], ["is_toxic", "density", "at", "x"])
 
