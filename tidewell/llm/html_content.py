@@ -126,6 +126,7 @@ class _Open:
     in_main: bool = False
     link: bool = False
     heading: bool = False
+    own_header: bool = False  # in the header of an article, of which the headings alone are text
     part: _Part | None = None
     scope: _Part | None = None
 
@@ -161,8 +162,8 @@ def events(html: str) -> list[Event]:
         top = stack[-1] if stack else bottom
         if top.hard:
             return
-        if "header" in top.zones and top.inside and not top.heading and not blank:
-            return  # of an article's own header the headings alone
+        if top.own_header and not top.heading and not blank:
+            return
         features = top.zones | {"heading"} if top.heading else top.zones
         out.append((Event("", " " if blank else unescape(run), block, features, top.inside, top.link), top.part))
         if not blank and not top.link:
@@ -199,7 +200,7 @@ def events(html: str) -> list[Event]:
                     at = len(html)
             elif name not in VOID and not (found[3].endswith("/") and name not in BLOCKS):
                 hard = top.hard or zone == "hard" or name == "head"
-                opened = _Open(name, hard, top.zones, top.inside, top.in_main or name == "main", top.link or name == "a", top.heading or name in HEADINGS, top.part, top.scope)
+                opened = _Open(name, hard, top.zones, top.inside, top.in_main or name == "main", top.link or name == "a", top.heading or name in HEADINGS, top.own_header or name == "header" and top.inside, top.part, top.scope)
                 if name in ("article", "main") and not hard:
                     if name == "main" or COMMENT_NAMES.isdisjoint(_names(found[3])):
                         for part in filter(None, (top.scope, top.part)):
@@ -215,7 +216,7 @@ def events(html: str) -> list[Event]:
                     elif names or zone == "form":
                         opened.part = _Part(top.part, top.scope, names | ({"<form>"} if zone == "form" else frozenset()), top.in_main)
                         parts.append(opened.part)
-                    if zone and zone != "form":
+                    if zone and zone != "form" and not (name == "header" and top.inside):
                         opened.zones = top.zones | {zone}
                 stack.append(opened)
         if not top.hard:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import fold
 
 UNKNOWN = "und"
-PREDICTION = "lang string, score double"
+PREDICTION = "lang string, score double, familiar double"
 
 
 # ---- features -----------------------------------------------------------------------------
@@ -111,6 +111,7 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    seen: np.ndarray | None = None  # columns that occur in any training document
 
     def features(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         found = damped(text, self.bits)
@@ -122,13 +123,14 @@ class Model:
     def logits(self, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         return found[1] @ self.weights[found[0]] + self.bias
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """(language, its probability, share of the text's distinct n-grams that training documents have)."""
         found = self.features(text) if text and self.languages else None
         if found is None:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         p = _softmax(self.logits(found) / self.temperature)
         best = int(np.argmax(p))
-        return self.languages[best], float(p[best])
+        return self.languages[best], float(p[best]), float(self.seen[found[0]].mean()) if self.seen is not None else 1.0
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -185,7 +187,9 @@ def fit(docs: DataFrame, sample: int = 4000, calibration: float = 0.2, bits: int
     df = {r["column"]: r["df"] for r in document_frequencies(known, bits).toLocalIterator()}  # 2**bits rows at most
     n = df.pop(-1, 0)
     idf = np.full(1 << bits, np.log(1.0 + n), np.float32)
+    seen = np.zeros(1 << bits, bool)
     if df:
+        seen[list(df)] = True
         idf[list(df)] = np.log((1.0 + n) / (1.0 + np.array(list(df.values())))) + 1.0
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     kinds = sizes.count()
@@ -215,14 +219,14 @@ def fit(docs: DataFrame, sample: int = 4000, calibration: float = 0.2, bits: int
     order = np.random.default_rng(3).permutation(len(rows))
     held, used = order[:cut], order[cut:]
     w, b = ftrl([rows[i] for i in used], [labels[i] for i in used], len(languages), 1 << bits)
-    model = Model(languages, bits, idf, w, b)
+    model = Model(languages, bits, idf, w, b, seen=seen)
     if cut:
         model.temperature = temperature(np.array([model.logits(rows[i]) for i in held]), np.array([labels[i] for i in held]))
     return model
 
 
 def predictor(spark, model: Model):
-    """A function of a text column: struct(lang, score)."""
+    """A function of a text column: struct(lang, score, familiar)."""
     from pyspark.sql.functions import arrow_udf
 
     shared = spark.sparkContext.broadcast(model)  # 2**bits rows by the number of languages
@@ -230,7 +234,7 @@ def predictor(spark, model: Model):
     @arrow_udf(PREDICTION)
     def predict(texts: pa.Array) -> pa.Array:
         found = [shared.value.predict(t.as_py()) for t in texts]
-        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())], ["lang", "score", "familiar"])
 
     return predict
 
@@ -247,12 +251,13 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     return docs.select("doc_id", held_out().alias("held_out"), predict("text").alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def without_unknown(docs: DataFrame, least_score: float = 0.35, least_letters: int = 40, **options) -> DataFrame:
+def without_unknown(docs: DataFrame, least_score: float = 0.35, least_familiar: float = 0.5, least_letters: int = 40, **options) -> DataFrame:
     """The rows of ``docs(doc_id, text, lang)``, with all their columns, that are in a language that the
     model knows.
 
     Rejected are texts without a letter, and texts of at least ``least_letters`` letters whose calibrated
-    probability is under ``least_score`` for every learned language. A shorter text says too little to
+    probability is under ``least_score`` for every learned language, or of whose distinct n-grams fewer than
+    the share ``least_familiar`` occur in any training document, as in another script. A shorter text says too little to
     be rejected. Where nothing was learned, texts with letters stay.
     """
     model = fit(docs.where(~held_out()), **options)
@@ -260,4 +265,4 @@ def without_unknown(docs: DataFrame, least_score: float = 0.35, least_letters: i
     if not model.languages:
         return docs.where(letters > 0)
     found = predictor(docs.sparkSession, model)("text")
-    return docs.where((found["lang"] != UNKNOWN) & ((found["score"] >= least_score) | (letters < least_letters)))
+    return docs.where((found["lang"] != UNKNOWN) & ((found["score"] >= least_score) & (found["familiar"] >= least_familiar) | (letters < least_letters)))
