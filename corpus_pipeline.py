@@ -1,9 +1,10 @@
 """A training corpus from raw documents: four stages, each of which calls one operator.
 
 1. toxicity: documents with a predicted severity grade of 1 or more go.
-2. language: documents go in which there is no letter, or in which none of the languages that the
-   model has learned has a calibrated probability of at least 0.35 (texts under 40 letters stay, since
-   they say too little); where nothing was learned, documents with letters stay.
+2. language: documents go in which there is no letter; or for which none of the languages that the
+   model has learned has a calibrated probability of at least 0.35, or fewer than half of whose n-grams
+   occur in its training documents (texts under 40 letters stay, since they say too little). Where
+   nothing was learned, documents with letters stay.
 3. near_duplicates: of each group of documents linked by a Jaccard index of 0.8 or more on
    five-word shingles, the one with the smallest doc_id stays.
 4. packing: the rest is packed into sequences of at most 4096 tokens; one row per piece.
