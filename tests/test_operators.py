@@ -238,3 +238,44 @@ def test_integrate(spark):
     m = spark.createDataFrame([("a", 0, 1000.0, 0), ("a", 3600 * US, 500.0, 0)], "sensor_id string, us long, value double, quality int")
     assert B.integrate(m, 7200 * US).first()["kwh"] == 1.5
     assert B.bucket_agg(m.limit(0), 60).count() == 0
+
+
+def test_quantiles_of_a_hot_key(spark):
+    """Exact, whatever share of the rows a key has and however often a value repeats."""
+    import numpy as np
+
+    from tidewell.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(2)
+    groups = {"hot": np.concatenate((rng.lognormal(0, 3, 3000), np.full(2000, 7.0), [1e12])), "even": rng.integers(0, 4, 900).astype(float), "one": np.array([3.0]), "two": np.array([1.0, 2.0])}
+    probabilities = [0.0, 0.01, 0.25, 0.5, 0.9, 0.95, 1.0]
+    rows = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("none", None), ("two", None)], "k string, x double")
+    for accuracy in (10_000, 300):  # with the lower one the larger groups go through their sketch
+        got = {r["k"]: r for r in quantiles(rows, ["k"], "x", probabilities, accuracy=accuracy).collect()}
+        assert set(got) == set(groups)
+        for k, v in groups.items():
+            assert got[k]["n"] == len(v) and np.allclose(got[k]["_q"], np.quantile(v, probabilities)), (k, accuracy)
+
+
+def test_asof_in_one_bucket(spark):
+    from tidewell.operators.joins import asof
+
+    left = spark.createDataFrame([("a", t) for t in (0, 5, 5, 9, 40, 77)] + [("b", 3)], "k string, t long")
+    right = spark.createDataFrame([("a", 5, 1.0), ("a", 5, 2.0), ("a", 8, 3.0), ("a", 50, 4.0)], "k string, s long, v double")
+    for bucket in (1000, 7):
+        got = sorted((r["k"], r["t"], r["s"], r["v"]) for r in asof(left, right, ["k"], "t", "s", ["v"], bucket).where("s is not null").collect())
+        assert got == [("a", 5, 5, 2.0), ("a", 5, 5, 2.0), ("a", 9, 8, 3.0), ("a", 40, 8, 3.0), ("a", 77, 50, 4.0)]
+
+
+def test_fdr_against_the_definition(spark):
+    import numpy as np
+
+    from tidewell.functions.stats import benjamini_hochberg
+
+    rng = np.random.default_rng(3)
+    p = np.concatenate((rng.random(200) ** 6, [0.0, 1.0, 0.5, 0.5, 1e-300]))
+    got = {i: q for i, _, q in benjamini_hochberg(spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)] + [(999, 1.5), (998, float("nan"))], "i long, p double"), "p").select("i", "p", "q").collect()}
+    order = np.argsort(p, kind="stable")
+    ranks = np.array([(p <= x).sum() for x in p])
+    q = np.array([min(1.0, *(p[j] * len(p) / ranks[j] for j in range(len(p)) if p[j] >= p[i])) for i in range(len(p))])
+    assert order is not None and all(abs(got[i] - q[i]) < 1e-12 for i in range(len(p))) and got[999] is None and got[998] is None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 from statistics import NormalDist
 
 import numpy as np
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+SMALLEST_P = sys.float_info.min
+
+
 def pearson_of_sums(n: str = "n", sx: str = "sx", sy: str = "sy", sxx: str = "sxx", syy: str = "syy", sxy: str = "sxy") -> Column:
     """Pearson's r from raw sums; null without variance, else within [-1, 1]."""
     c = F.col
@@ -71,8 +75,8 @@ def fisher_p(r: pd.Series, n: pd.Series) -> pd.Series:
         if r is None or n is None or math.isnan(r) or math.isnan(n) or n < 4:
             return None
         if abs(r) >= 0.999999:
-            return 5e-324
-        return math.erfc(abs(math.atanh(r)) * math.sqrt(n - 3) / math.sqrt(2))
+            return SMALLEST_P
+        return max(SMALLEST_P, math.erfc(abs(math.atanh(r)) * math.sqrt(n - 3) / math.sqrt(2)))
 
     return pd.Series([one(a, b) for a, b in zip(r, n, strict=True)], dtype="float64")
 
@@ -110,7 +114,7 @@ def student_p(r: pd.Series, n: pd.Series) -> pd.Series:
     def one(r: float | None, n: float | None) -> float | None:
         if r is None or n is None or math.isnan(r) or math.isnan(n) or n < 4:
             return None
-        return 5e-324 if abs(r) >= 0.999999 else _beta_fraction((n - 2) / 2, 0.5, 1 - r * r)
+        return SMALLEST_P if abs(r) >= 0.999999 else max(SMALLEST_P, _beta_fraction((n - 2) / 2, 0.5, 1 - r * r))
 
     return pd.Series([one(a, b) for a, b in zip(r, n, strict=True)], dtype="float64")
 
@@ -123,16 +127,22 @@ def sidak(p: Column, lags: int) -> Column:
 def benjamini_hochberg(df: DataFrame, p: str, keys: list[str] | None = None) -> DataFrame:
     """``df`` with q, the false-discovery rate; p outside [0, 1] is not counted and has no q.
 
-    Ranks come from counts of distinct p, which are what is sorted.
+    Distinct p are counted and ranked within ranges of p, sixteen to an octave; what is before and after
+    a range comes from a table of one row a range (some 17,000 at most).
     """
     keys = keys or []
     ok = F.col(p).between(0, 1) & ~F.isnan(p)
-    counts = df.where(ok).groupBy(*keys, p).agg(F.count("*").alias("_c"))
-    rising = Window.partitionBy(*keys).orderBy(p)
-    every = Window.partitionBy(*keys)
-    ranked = counts.withColumn("_r", F.sum("_c").over(rising.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_m", F.sum("_c").over(every))
-    falling = Window.partitionBy(*keys).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    q = ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(falling))).select(*keys, p, "q")
+    part = F.when(F.col(p) > 0, F.floor(16 * F.log2(p))).otherwise(-20_000).cast("int")
+    counts = df.where(ok).groupBy(*keys, p).agg(F.count("*").alias("_c")).withColumn("_part", part)
+    rising = Window.partitionBy(*keys).orderBy("_part")
+    parts = counts.groupBy(*keys, "_part").agg(F.sum("_c").alias("_in"))
+    parts = parts.select(*keys, "_part", (F.sum("_in").over(rising) - F.col("_in")).alias("_before"), F.sum("_in").over(Window.partitionBy(*keys)).alias("_m"))
+    own = Window.partitionBy(*keys, "_part").orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
+    rate = counts.join(parts, [*keys, "_part"]).withColumn("_rate", F.col(p) * F.col("_m") / (F.sum("_c").over(own) + F.col("_before")))
+    later = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    least = rate.groupBy(*keys, "_part").agg(F.min("_rate").alias("_low")).select(*keys, "_part", F.min("_low").over(later).alias("_after"))
+    falling = Window.partitionBy(*keys, "_part").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    q = rate.join(least, [*keys, "_part"]).select(*keys, p, F.least(F.lit(1.0), F.min("_rate").over(falling), F.coalesce("_after", F.lit(1.0))).alias("q"))
     return df.join(q, [*keys, p], "left")
 
 

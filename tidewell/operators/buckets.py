@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.model import US
+from tidewell.operators.quantiles import quantiles
 from tidewell.operators.windows import previous
 
+# The modes, and below the sensor types that each is for, in order of precedence.
 MODES = ("avg", "last", "sum", "min", "max")
 
 
@@ -111,8 +113,9 @@ def latest(df: DataFrame, keys: list[str], order: list[str], columns: list[str],
 
 def robust_scale(metrics: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """keys, n, median, scale: 1.4826 MAD, else IQR / 1.349, else 1; null for under three values."""
-    middle = metrics.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(value, F.lit([0.25, 0.5, 0.75])).alias("_q"))
-    spread = metrics.join(middle, keys).groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("_q")[1]), F.lit(0.5)).alias("mad"))
+    middle = quantiles(metrics, keys, value, [0.25, 0.5, 0.75])
+    apart = metrics.join(middle, keys).select(*keys, F.abs(F.col(value) - F.col("_q")[1]).alias("_apart"))
+    spread = quantiles(apart, keys, "_apart", [0.5], "_mad").select(*keys, F.col("_mad")[0].alias("mad"))
     out = middle.join(spread, keys)
     iqr = F.col("_q")[2] - F.col("_q")[0]
     scale = F.when(F.col("n") < 3, None).when(F.col("mad") * 1.4826 > 1e-9, F.col("mad") * 1.4826).when(iqr / 1.349 > 1e-9, iqr / 1.349).otherwise(1.0)

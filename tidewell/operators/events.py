@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.stats import pearson_of_sums, raw_sums
 from tidewell.operators.buckets import robust_scale
+from tidewell.operators.joins import within_tolerance
+from tidewell.operators.quantiles import quantiles
 
 
 def zscores(deltas: DataFrame, value: str = "delta") -> DataFrame:
@@ -21,7 +23,8 @@ def zscores(deltas: DataFrame, value: str = "delta") -> DataFrame:
     there are five of them.
     """
     scale = robust_scale(deltas, ["sensor_id"], value).select("sensor_id", "median", "scale")
-    steps = deltas.where(F.abs(value) > 0).groupBy("sensor_id").agg(F.count("*").alias("_n"), F.percentile(F.abs(value), F.lit(0.5)).alias("_step"))
+    moved = deltas.where(F.abs(value) > 0).select("sensor_id", F.abs(value).alias("_size"))
+    steps = quantiles(moved, ["sensor_id"], "_size", [0.5]).select("sensor_id", F.col("n").alias("_n"), F.col("_q")[0].alias("_step"))
     both = scale.join(steps, "sensor_id", "left")
     used = F.greatest("scale", F.when(F.col("_n") >= 5, F.col("_step")))
     both = both.select("sensor_id", "median", F.when(F.col("scale").isNotNull(), used).alias("scale"))
@@ -107,9 +110,10 @@ def match(focus: DataFrame, candidates: DataFrame, lags: list[int], tolerance: i
     if not tolerance:
         pairs = shifted.join(c, "t").select("candidate", "lag", "t", "fz", "cz")
     else:
-        names = c.select("candidate").distinct()
-        both = shifted.crossJoin(F.broadcast(names)).select("candidate", "lag", "t", "fz", F.lit(None).cast("double").alias("cz"))
-        both = both.unionByName(c.withColumn("lag", F.explode(F.array(*(F.lit(k) for k in lags)))).select("candidate", "lag", "t", F.lit(None).cast("double").alias("fz"), "cz"))
+        # An event that has none of the other side within the tolerance matches nothing, nor is it in the way.
+        near = within_tolerance(shifted, c.withColumnRenamed("t", "ct"), [], "t", "ct", tolerance)
+        none = F.lit(None).cast("double")
+        both = near.select("candidate", "lag", "t", "fz", none.alias("cz")).distinct().unionByName(near.select("candidate", "lag", F.col("ct").alias("t"), none.alias("fz"), "cz").distinct())
 
         def pair(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("t", kind="stable")
@@ -177,7 +181,11 @@ def unified_rank(matches: DataFrame, shared: DataFrame, match_weight: float = 0.
     blend = match_weight * over("score", "ms") + shared_weight * over("shared", "mc")
     out = both.crossJoin(F.broadcast(top)).select("candidate", blend.alias("blend"))
     tier = F.when(F.col("blend") >= 0.75, "high").when(F.col("blend") >= 0.35, "medium").otherwise("low")
-    return out.withColumn("tier", tier).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("blend"), "candidate")))
+    # Numbered in ranges of the blend, on top of the counts of the ranges before.
+    ranged = out.withColumn("tier", tier).withColumn("_p", F.floor(F.col("blend") * -4096))
+    before = ranged.groupBy("_p").agg(F.count("*").alias("_c")).select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("blend"), "candidate")) + F.col("_before")
+    return ranged.join(F.broadcast(before), "_p").select("candidate", "blend", "tier", place.cast("int").alias("rank"))  # 4097 ranges at most
 
 
 # ---- matrix profile, smoothing -----------------------------------------------------------

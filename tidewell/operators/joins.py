@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str], bucket: int) -> DataFrame:
     """``left`` with the newest row of ``right`` not after it (null if there is none).
 
-    Time is cut into buckets. The newest earlier row is either in the same bucket, which is an
-    equi-join, or the last of an earlier bucket, which comes from a table of one row a bucket.
+    Time is cut into buckets. The newest earlier row is either in the same bucket, found by a
+    window over both sides in order of time, or the last of an earlier bucket, which comes from a table
+    of one row a bucket.
     """
     value = F.struct(right_time, *columns)
     r = right.select(*keys, F.floor(F.col(right_time) / bucket).alias("_b"), F.col(right_time), *columns)
@@ -18,10 +19,10 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
     l_buckets = left.select(*keys, F.floor(F.col(left_time) / bucket).alias("_b")).distinct()
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = l_buckets.join(lasts, [*keys, "_b"], "full").select(*keys, "_b", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    ided = left.withColumn("_b", F.floor(F.col(left_time) / bucket)).withColumn("_row", F.struct(*left.columns))
-    same = ided.join(r.select(*keys, "_b", F.col(right_time).alias("_t"), value.alias("_v")), [*keys, "_b"]).where(F.col("_t") <= F.col(left_time))
-    same = same.groupBy(*keys, "_b", F.col(left_time).alias("_lt")).agg(F.max("_v").alias("_same"))
-    out = ided.withColumn("_lt", F.col(left_time)).join(same, [*keys, "_b", "_lt"], "left").join(carried, [*keys, "_b"], "left")
+    both = left.select(*keys, F.floor(F.col(left_time) / bucket).alias("_b"), F.col(left_time).alias("_t"), F.struct(*left.columns).alias("_row"), F.lit(1).alias("_side"), F.lit(None).cast(r.select(value).schema[0].dataType).alias("_v"))
+    both = both.unionByName(r.select(*keys, "_b", F.col(right_time).alias("_t"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), F.lit(0).alias("_side"), value.alias("_v")))
+    upto = Window.partitionBy(*keys, "_b").orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_same", F.last("_v", ignorenulls=True).over(upto)).where("_side = 1").join(carried, [*keys, "_b"], "left")
     found = F.coalesce("_same", "_carry")
     return out.select(*(F.col("_row")[c].alias(c) for c in left.columns), *(found[c].alias(c) for c in (right_time, *columns)))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.model import US, metrics, micros, read, sensors
 from tidewell.operators import buckets as B
 from tidewell.operators import joins as J
+from tidewell.operators.quantiles import quantiles
 from tidewell.plans.registry import query
 
 HOUR = 3600
@@ -213,9 +214,9 @@ def latest_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT sensor_id, avg(value) AS mean, min(value) AS least, max(value) AS most, coalesce(stddev_pop(value), 0) AS deviation, quantile_cont(value, 0.5) AS median FROM u GROUP BY 1", "mean least most deviation median")
 def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics(spark, sf_dir, by_user=True).groupBy("sensor_id").agg(
-        F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("deviation"), F.percentile("value", F.lit(0.5)).alias("median")
-    )
+    m = metrics(spark, sf_dir, by_user=True)
+    stats = m.groupBy("sensor_id").agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("deviation"))
+    return stats.join(quantiles(m, ["sensor_id"], "value", [0.5]).select("sensor_id", F.col("_q")[0].alias("median")), "sensor_id")
 
 
 _MAD = """q AS (SELECT sensor_id, count(*) AS n, median(value) AS median, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM u GROUP BY 1),
@@ -248,8 +249,8 @@ def rule_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What alarm limits are chosen from."""
     m = metrics(spark, sf_dir)
     scale = B.robust_scale(m, ["sensor_id"]).select("sensor_id", "n", "mad", "iqr")
-    stats = m.groupBy("sensor_id").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"), F.percentile("value", F.lit(list(_Q))).alias("_p"))
-    return stats.select("sensor_id", "least", "most", "mean", "deviation", *(F.col("_p")[k].alias(f"p{round(100 * q)}") for k, q in enumerate(_Q))).join(scale, "sensor_id")
+    stats = m.groupBy("sensor_id").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
+    return stats.join(quantiles(m, ["sensor_id"], "value", list(_Q), "_p").drop("n"), "sensor_id").select("sensor_id", "least", "most", "mean", "deviation", *(F.col("_p")[k].alias(f"p{round(100 * q)}") for k, q in enumerate(_Q))).join(scale, "sensor_id")
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.model import metrics, read
 from tidewell.operators import energy, events, rules, similarity
 from tidewell.operators import windows as W
+from tidewell.operators.storage import stored
 from tidewell.plans.aggregates import HOUR, hourly
 from tidewell.plans.registry import query
 from tidewell.plans.transforms import _STEPS
@@ -29,7 +30,8 @@ def event_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.detect(_deltas(spark, sf_dir), threshold=1.5)
+    """The events of a job, detected once."""
+    return stored(events.detect(stored(_deltas(spark, sf_dir)), threshold=1.5))
 
 
 _E = f"{_Z}, e AS (SELECT *, CASE WHEN z >= 0 THEN 'up' ELSE 'down' END AS direction FROM z WHERE abs(z) >= 1.5)"
@@ -98,7 +100,13 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.episodes(events.match(*_focus(spark, sf_dir), _LAGS), 86400)
 
 
-@query()
+@query(
+    f"""WITH {_M}, {_BEST}, o AS (SELECT y.sensor_id AS candidate, sum(abs(x.z) * abs(y.z)) AS shared FROM e AS x JOIN e AS y ON x.bucket = y.bucket WHERE x.sensor_id = 'click' AND y.sensor_id <> 'click' GROUP BY 1),
+      j AS (SELECT coalesce(b.candidate, o.candidate) AS candidate, score, shared FROM b FULL JOIN o ON b.candidate = o.candidate),
+      k AS (SELECT candidate, 0.6 * coalesce(score / max(score) OVER (), 0) + 0.4 * coalesce(shared / max(shared) OVER (), 0) AS blend FROM j)
+    SELECT_FROM SELECT candidate, blend, CASE WHEN blend >= 0.75 THEN 'high' WHEN blend >= 0.35 THEN 'medium' ELSE 'low' END AS tier, CAST(row_number() OVER (ORDER BY blend DESC, candidate) AS INTEGER) AS rank FROM k""",
+    "blend",
+)
 def unified_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Related series of one focus: event matching blended with shared co-occurrence."""
     focus, others = _focus(spark, sf_dir)

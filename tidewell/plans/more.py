@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import stats as S
 from tidewell.model import micros, read
 from tidewell.operators import events
+from tidewell.operators.quantiles import quantiles
 from tidewell.plans.aggregates import HOUR, hourly
 from tidewell.plans.jobs import _E, _LAGS, _M, _events, _focus
 from tidewell.plans.registry import query
@@ -47,7 +48,7 @@ def forecast_materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_E} SELECT_FROM SELECT sensor_id, quantile_cont(abs(z), 0.5) AS p50, quantile_cont(abs(z), 0.9) AS p90, quantile_cont(abs(z), 0.95) AS p95, quantile_cont(abs(z), 0.99) AS p99 FROM e GROUP BY 1", "p50 p90 p95 p99")
 def evidence_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     qs = (0.5, 0.9, 0.95, 0.99)
-    e = _events(spark, sf_dir).groupBy("sensor_id").agg(F.percentile(F.abs("z"), F.lit(list(qs))).alias("p"))
+    e = quantiles(_events(spark, sf_dir).select("sensor_id", F.abs("z").alias("z")), ["sensor_id"], "z", list(qs), "p")
     return e.select("sensor_id", *(F.col("p")[k].alias(f"p{round(100 * q)}") for k, q in enumerate(qs)))
 
 
