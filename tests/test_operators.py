@@ -279,3 +279,81 @@ def test_fdr_against_the_definition(spark):
     ranks = np.array([(p <= x).sum() for x in p])
     q = np.array([min(1.0, *(p[j] * len(p) / ranks[j] for j in range(len(p)) if p[j] >= p[i])) for i in range(len(p))])
     assert order is not None and all(abs(got[i] - q[i]) < 1e-12 for i in range(len(p))) and got[999] is None and got[998] is None
+
+
+def test_consecutive_periods_across_chunks(spark):
+    import numpy as np
+
+    from tidewell.operators.rules import consecutive
+
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for sensor, share in (("a", 0.9), ("b", 0.995), ("c", 1.0)):
+        at, streak, hours, last = 0, 0, 0, None
+        for _ in range(400):
+            at += int(rng.choice([600, 1200, 3600, 9000], p=[0.5, 0.3, 0.17, 0.03]))
+            met = bool(rng.random() < share)
+            rows.append((sensor, at, met))
+            streak = streak + 1 if met else 0
+            hour = at // 3600
+            if not met:
+                hours = 0
+            elif last is None or hours == 0 or hour - last > 1:
+                hours = 1
+            else:
+                hours += hour - last
+            last = hour
+            want[sensor, at] = (streak, hours)
+    states = spark.createDataFrame(rows, "sensor_id string, bucket long, met boolean")
+    for k, period in enumerate(("eval", "hour")):
+        for interval in (3600, 10):  # with the shorter one the series are cut into many chunks
+            got = {(r["sensor_id"], r["bucket"]): r["streak"] for r in consecutive(states, 3, period, interval).collect()}
+            assert got == {key: v[k] for key, v in want.items()}, (period, interval)
+
+
+def test_window_facts_across_chunks(spark):
+    import numpy as np
+
+    from tidewell.operators.rules import window_facts
+
+    rng = np.random.default_rng(8)
+    at = np.cumsum(rng.integers(1, 40, 500))
+    v = rng.normal(size=500)
+    got = {r["bucket"]: r for r in window_facts(spark.createDataFrame([("s", int(t), float(x)) for t, x in zip(at, v)], "sensor_id string, bucket long, agg_value double"), [50]).collect()}
+    assert len(got) == 500
+    for t in at.tolist():
+        inside = v[(at > t - 50) & (at <= t)]
+        assert np.isclose(got[t]["mean_50"], inside.mean()) and np.isclose(got[t]["median_50"], np.median(inside)) and got[t]["min_50"] == inside.min()
+
+
+def test_targets_of_rules(spark):
+    from tidewell.operators.rules import met_targets, targets
+
+    sensors = spark.createDataFrame([("a", "n1", "temp", '{"provider": "x"}', None), ("b", "n1", "flow", None, None), ("c", "n2", "temp", '{"provider": " x "}', None), ("d", "n1", "temp", None, 5)], "sensor_id string, node_id string, type string, config string, deleted_at long")
+    of = lambda s: sorted((r["target_key"], r["sensor_id"]) for r in targets(sensors, s).collect())
+    assert of({"kind": "sensor", "sensor_id": " a "}) == [("sensor:a", "a")] and of({"kind": "sensor", "sensor_id": "d"}) == []
+    assert of({"kind": "sensor_set", "sensor_ids": ["a", "", "c"], "match": "any"}) == [("selector:any", "a"), ("selector:any", "c")]
+    assert of({"kind": "node_sensors", "node_id": "n1"}) == [("sensor:a", "a"), ("sensor:b", "b")]
+    assert of({"kind": "node_sensors", "node_id": "n1", "types": ["temp"]}) == [("sensor:a", "a")]
+    assert of({"kind": "filter", "provider": "x", "type": "temp"}) == [("sensor:a", "a"), ("sensor:c", "c")]
+    states = spark.createDataFrame([("t", "a", True), ("t", "b", None), ("u", "c", True)], "target_key string, sensor_id string, met boolean")
+    assert {r["target_key"]: r["met"] for r in met_targets(states, "all").collect()} == {"t": False, "u": True}
+    assert {r["target_key"]: r["met"] for r in met_targets(states, "any").collect()} == {"t": True, "u": True}
+
+
+def test_greedy_separation_moves_its_anchor(spark):
+    from tidewell.operators.events import separate
+
+    rows = [("s", t, float(z), float(z), "up") for t, z in ((0, 3), (50, 5), (100, 4), (140, 6), (400, 2), (450, 1))]
+    got = separate(spark.createDataFrame(rows, "sensor_id string, bucket long, value double, z double, direction string"), 60)
+    # 50 replaces 0, 100 is weaker and goes, 140 is beyond 60 of 50.
+    assert sorted(r["bucket"] for r in got.collect()) == [50, 140, 400]
+
+
+def test_detector_skips_gaps(spark):
+    from tidewell.operators.events import detect_changes
+
+    steps = [(0, 0.0), (60, 0.0), (120, 1.0), (180, 1.0), (3600, 100.0), (3660, 100.0)]
+    b = spark.createDataFrame([("s", t, v) for t, v in steps], "sensor_id string, bucket long, agg_value double")
+    assert 3600 in {r["bucket"] for r in detect_changes(b, 60, "delta", 3.0, gap=0).collect()}
+    assert 3600 not in {r["bucket"] for r in detect_changes(b, 60, "delta", 3.0, gap=5).collect()}

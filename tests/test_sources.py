@@ -38,9 +38,21 @@ def test_replication_and_backfill(spark, tmp_path):
     assert mark == 2 * DAY
     got = lake.read_points(spark, path)
     assert got.where("sensor_id <> 's0' and us <= 86400000000").count() == 0
-    assert got.where("sensor_id = 's0'").count() == 10
+    assert got.where("sensor_id = 's0'").count() == 0  # without an ingest time: not yet
+    fixed = lake.repaired(source, 3 * DAY)
+    assert fixed.where("inserted_at is null").count() == 0
+    for now in (3, 4):  # once, however often replication runs
+        mark = lake.replicate(fixed, path, mark, now * DAY, lag_s=0, late_s=2 * 86400)
+        assert lake.read_points(spark, path, dedupe=False).where("sensor_id = 's0'").count() == 10
     lake.backfill(source, path, "1970-01-01")
     assert lake.read_points(spark, path, end_us=DAY - 1).count() == source.where(F.col("us") < DAY).count()
+    # A day whose shards lost their rows keeps none of them, in neither tier.
+    cold = str(tmp_path / "cold")
+    lake.retain(spark, path, cold, "1970-01-02")
+    fewer = source.where("sensor_id = 's1'")
+    lake.backfill(fewer, path, "1970-01-01", cold=cold)
+    assert lake.read_points(spark, path, end_us=DAY - 1).count() == fewer.where(F.col("us") < DAY).count()
+    assert spark.read.schema(lake.LAKE).parquet(cold).where("date = '1970-01-01'").count() == 0
 
 
 def test_tiers(spark, tmp_path):
@@ -49,6 +61,8 @@ def test_tiers(spark, tmp_path):
     lake.retain(spark, hot, cold, "1970-01-02")
     assert lake.read_points(spark, cold).count() > 0
     assert lake.tiers(spark, hot, cold).count() == 40
+    assert lake.expire(spark, hot, cold, "1970-01-02") == ["1970-01-01"]
+    assert lake.read_points(spark, hot).where(F.col("us") < DAY).count() == 0 and lake.tiers(spark, hot, cold).count() == 40
 
 
 def test_upsert_and_purge(spark):
@@ -63,8 +77,33 @@ def test_upsert_and_purge(spark):
 def test_telemetry(spark):
     topics = [("p/n/s/telemetry", t) for t in ("2024-01-01T00:00:00Z", 1704067200000, 1704067200.5, "never")]
     m = spark.createDataFrame([(t, json.dumps({"timestamp": x, "value": 1.5, "seq": 1})) for t, x in topics] + [("p/n/s/status", "{}"), ("p/n/s/telemetry", "{broken")], "topic string, payload string")
-    got = sorted(r["us"] for r in formats.telemetry(m).collect())
-    assert got == [1704067200 * US, 1704067200 * US, 1704067200 * US + 500000]
+    got = sorted(r["us"] for r in formats.telemetry(m, now_us=7).collect())
+    assert got == [7, 1704067200 * US, 1704067200 * US, 1704067200 * US + 500000]
+    odd = spark.createDataFrame([("q/n/s/telemetry", '{"timestamp": 1.2345678, "value": 1}'), ("p/n/s/x/telemetry", '{"timestamp": 1, "value": 1}')], "topic string, payload string")
+    assert [r["us"] for r in formats.telemetry(odd).collect()] == [1_234_000] and formats.telemetry(odd, "p").count() == 0
+
+
+def test_node_status(spark):
+    m = spark.createDataFrame([("p/n1/status", '{"timestamp": 5, "cpu": 12.5, "online": true, "name": "x"}'), ("p/n1/status", "{}"), ("p/n1/s/telemetry", '{"timestamp": 5, "cpu": 1}')], "topic string, payload string")
+    assert sorted(tuple(r) for r in formats.node_status(m).collect()) == [("n1", 5000, "cpu", 12.5), ("n1", 5000, "online", 1.0)]
+
+
+def test_liveness_of_a_stream(spark, tmp_path):
+    """Timers of the arrival clock: heard of, then silent. The query is stopped, since it never ends by itself."""
+    import time
+
+    folder = tmp_path / "in"
+    points(spark).where("sensor_id = 's1'").write.parquet(str(folder))
+    stream = spark.readStream.schema(points(spark).schema).parquet(str(folder))
+    q = telemetry.liveness(stream, 1500).writeStream.format("memory").queryName("alive").outputMode("append").option("checkpointLocation", str(tmp_path / "at")).trigger(processingTime="1 second").start()
+    try:
+        until = time.monotonic() + 90
+        while time.monotonic() < until and spark.table("alive").count() < 2:
+            time.sleep(1)
+        newest = points(spark).where("sensor_id = 's1'").agg(F.max("us")).first()[0]
+        assert [(r["last_us"], r["online"]) for r in spark.table("alive").collect()][:2] == [(newest, True), (newest, False)]
+    finally:
+        q.stop()
 
 
 def test_frames(spark):

@@ -14,21 +14,25 @@ from tidewell.functions.stats import pearson_of_sums, raw_sums
 from tidewell.operators.buckets import robust_scale
 from tidewell.operators.joins import within_tolerance
 from tidewell.operators.quantiles import quantiles
+from tidewell.operators.storage import stored
+from tidewell.operators.windows import deltas, second_deltas
 
 
-def zscores(deltas: DataFrame, value: str = "delta") -> DataFrame:
+def zscores(steps_of: DataFrame, value: str = "delta", step_floor: bool = True) -> DataFrame:
     """sensor_id, bucket, value, z: robust z of each difference.
 
-    The scale is at least the median non-zero |difference| (the step of quantised readings), where
-    there are five of them.
+    With ``step_floor`` the scale is at least the median non-zero |difference| (the step of quantised
+    readings), where there are five of them.
     """
-    scale = robust_scale(deltas, ["sensor_id"], value).select("sensor_id", "median", "scale")
-    moved = deltas.where(F.abs(value) > 0).select("sensor_id", F.abs(value).alias("_size"))
+    scale = robust_scale(steps_of, ["sensor_id"], value).select("sensor_id", "median", "scale")
+    if not step_floor:
+        return steps_of.join(scale, "sensor_id").where("scale is not null").select("sensor_id", "bucket", F.col(value).alias("value"), ((F.col(value) - F.col("median")) / F.col("scale")).alias("z"))
+    moved = steps_of.where(F.abs(value) > 0).select("sensor_id", F.abs(value).alias("_size"))
     steps = quantiles(moved, ["sensor_id"], "_size", [0.5]).select("sensor_id", F.col("n").alias("_n"), F.col("_q")[0].alias("_step"))
     both = scale.join(steps, "sensor_id", "left")
     used = F.greatest("scale", F.when(F.col("_n") >= 5, F.col("_step")))
     both = both.select("sensor_id", "median", F.when(F.col("scale").isNotNull(), used).alias("scale"))
-    return deltas.join(both, "sensor_id").where("scale is not null").select("sensor_id", "bucket", F.col(value).alias("value"), ((F.col(value) - F.col("median")) / F.col("scale")).alias("z"))
+    return steps_of.join(both, "sensor_id").where("scale is not null").select("sensor_id", "bucket", F.col(value).alias("value"), ((F.col(value) - F.col("median")) / F.col("scale")).alias("z"))
 
 
 def islands(df: DataFrame, keys: list[str], order: str, gap: int, name: str = "island") -> DataFrame:
@@ -59,9 +63,9 @@ def suppress(events: DataFrame, window: int) -> DataFrame:
     return runs.groupBy("sensor_id", "part").applyInPandas(strongest, events.schema)
 
 
-def detect(deltas: DataFrame, threshold: float = 3.0, separation: int = 0, polarity: str = "both", cap: int | None = None, value: str = "delta") -> DataFrame:
+def detect(steps_of: DataFrame, threshold: float = 3.0, separation: int = 0, polarity: str = "both", cap: int | None = None, value: str = "delta") -> DataFrame:
     """sensor_id, bucket, value, z, direction: events at |z| >= threshold, suppressed; with a ``cap`` the strongest of each sensor."""
-    e = zscores(deltas, value).where(F.abs("z") >= threshold)
+    e = zscores(steps_of, value).where(F.abs("z") >= threshold)
     if polarity != "both":
         e = e.where(F.col("z") >= 0 if polarity == "up" else F.col("z") < 0)
     e = e.withColumn("direction", F.when(F.col("z") >= 0, "up").otherwise("down"))
@@ -73,6 +77,118 @@ def detect(deltas: DataFrame, threshold: float = 3.0, separation: int = 0, polar
     return e.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= cap).drop("_k")
 
 
+def _points(buckets: DataFrame, interval: int, mode: str, gap: int) -> DataFrame:
+    """sensor_id, bucket, value: what a detector looks at."""
+    if mode == "level":
+        return buckets.select("sensor_id", "bucket", F.col("agg_value").alias("value"))
+    steps = deltas(buckets, interval, gap) if mode == "delta" else second_deltas(buckets, interval, gap or 1 << 30)
+    return steps.select("sensor_id", "bucket", F.col("delta" if mode == "delta" else "delta2").alias("value"))
+
+
+def _strongest(z: DataFrame, k: int) -> DataFrame:
+    """sensor_id, kth: the k-th greatest |z| of each sensor that has so many; first within parts of its rows."""
+    size = F.abs("z")
+    part = Window.partitionBy("sensor_id", "_part").orderBy(F.desc("_size"))
+    some = z.select("sensor_id", size.alias("_size"), F.pmod(F.xxhash64("bucket"), F.lit(64)).alias("_part"))
+    few = some.withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= k)
+    ranked = few.withColumn("_k", F.row_number().over(Window.partitionBy("sensor_id").orderBy(F.desc("_size"))))
+    return ranked.where(F.col("_k") == k).select("sensor_id", F.col("_size").alias("kth"))
+
+
+def detect_changes(
+    buckets: DataFrame, interval: int, mode: str = "delta", threshold: float = 3.0, gap: int = 5, polarity: str = "both", target: tuple[int | None, int | None] | None = None,
+    separation: int = 0, greedy: bool = False, boundaries: bool = True, sparse: bool = False,
+) -> DataFrame:
+    """sensor_id, bucket, value, z, direction, boundary: change events of bucketed series.
+
+    mode: ``delta``, ``second`` (differences of differences) or ``level`` (values, reported less their
+    median). target: (least, most) events of a sensor; the threshold is then at least the |z| of the event
+    in their middle. separation: the strongest of what is close stays, by suppression or, ``greedy``, by
+    one pass in time whose anchor moves to a stronger event. boundary: within an interval of a series'
+    first or last bucket; such events go unless ``boundaries``. sparse: sensors without any event are
+    looked at again by level. Series of fewer than three buckets or points have no events.
+    """
+    if mode not in ("delta", "second", "level"):
+        raise ValueError(f"unknown detector {mode!r}")
+    usable = buckets.where(F.col("agg_value").isNotNull() & ~F.isnan("agg_value") & (F.abs("agg_value") < float("inf")))
+    span = usable.groupBy("sensor_id").agg(F.min("bucket").alias("_lo"), F.max("bucket").alias("_hi"), F.count("*").alias("_rows")).where("_rows >= 3")
+    z = stored(zscores(_points(usable, interval, mode, gap), "value", mode != "level"))
+    least = F.lit(float(threshold))
+    if target and any(target):
+        low, high = target[0] or target[1], target[1] or target[0]
+        z = z.join(_strongest(z, max(1, (low + high) // 2)), "sensor_id", "left")
+        least = F.greatest(least, F.coalesce("kth", F.lit(0.0)))
+    e = z.where(F.abs("z") >= least)
+    if polarity != "both":
+        e = e.where(F.col("z") >= 0 if polarity == "up" else F.col("z") < 0)
+    near = (F.abs(F.col("bucket") - F.col("_lo")) <= interval) | (F.abs(F.col("_hi") - F.col("bucket")) <= interval)
+    e = e.join(span, "sensor_id").select("sensor_id", "bucket", "value", "z", F.when(F.col("z") >= 0, "up").otherwise("down").alias("direction"), near.alias("boundary"))
+    if mode == "level":
+        middle = quantiles(_points(usable, interval, mode, gap), ["sensor_id"], "value", [0.5]).select("sensor_id", F.col("_q")[0].alias("_m"))
+        e = e.join(middle, "sensor_id").withColumn("value", F.col("value") - F.col("_m")).drop("_m")
+    if not boundaries:
+        e = e.where("not boundary")
+    if separation:
+        e = separate(e, separation) if greedy else suppress(e, separation)
+    if sparse and mode != "level":
+        e = stored(e)
+        silent = usable.join(e.select("sensor_id").distinct(), "sensor_id", "left_anti")
+        e = e.unionByName(detect_changes(silent, interval, "level", threshold, gap, polarity, target, separation, greedy, boundaries))
+    return e
+
+
+def separate(events: DataFrame, apart: int) -> DataFrame:
+    """Events in order of time; one at most ``apart`` seconds after the last kept replaces it if it is
+    stronger, and is left out otherwise. Runs of close events are folded each for itself."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["island", "bucket"], ignore_index=True)
+        kept: list[int] = []
+        for i, (island, at, z) in enumerate(zip(rows["island"], rows["bucket"], rows["z"].abs(), strict=True)):
+            if kept and rows["island"][kept[-1]] == island and at - rows["bucket"][kept[-1]] <= apart:
+                if z > abs(rows["z"][kept[-1]]):
+                    kept[-1] = i
+            else:
+                kept.append(i)
+        return rows.iloc[kept].drop(columns=["island", "part"])
+
+    runs = islands(events, ["sensor_id"], "bucket", apart).withColumn("part", F.floor(F.col("island") / 256))
+    return runs.groupBy("sensor_id", "part").applyInPandas(fold, events.schema)
+
+
+def shared_evidence(focus: DataFrame, others: DataFrame, newest: int = 10) -> DataFrame:
+    """candidate, shared, buckets, peak, times: what each sensor's events have in common with the focus's.
+
+    shared: sum of |z| |z'| over common buckets; peak: its greatest |z| there; times: the latest buckets.
+    The latest are kept by partial top-k over parts, so a busy sensor is no single list.
+    """
+    f = focus.groupBy("bucket").agg(F.max(F.abs("z")).alias("fz"))
+    met = others.select(F.col("sensor_id").alias("candidate"), "bucket", F.abs("z").alias("cz")).join(f, "bucket")
+    sums = met.groupBy("candidate").agg(F.sum(F.col("cz") * F.col("fz")).alias("shared"), F.count("*").alias("buckets"), F.max("cz").alias("peak"))
+    part = Window.partitionBy("candidate", F.pmod(F.xxhash64("bucket"), F.lit(32))).orderBy(F.desc("bucket"))
+    late = met.select("candidate", "bucket").withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= newest)
+    late = late.withColumn("_k", F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc("bucket")))).where(F.col("_k") <= newest)
+    times = late.groupBy("candidate").agg(F.sort_array(F.collect_list("bucket"), asc=False).alias("times"))  # ``newest`` of each at most
+    return sums.join(times, "candidate")
+
+
+def evidence_weights(focus: DataFrame, others: DataFrame) -> DataFrame:
+    """candidate, prevalence, surprise: a penalty for candidates with more events than the focus, and how
+    much stronger common buckets are than the two series' means let expect (0 to 10; null without)."""
+    own = focus.agg(F.count("*").alias("nf"), F.avg(F.abs("z")).alias("mf"))
+    each = others.groupBy(F.col("sensor_id").alias("candidate")).agg(F.count("*").alias("nc"), F.avg(F.abs("z")).alias("mc"))
+    both = each.join(shared_evidence(focus, others).select("candidate", "shared", "buckets"), "candidate", "left").crossJoin(F.broadcast(own))
+    expected = F.col("mf") * F.col("mc")
+    surprise = F.when((F.col("shared") > 0) & (expected > 0), F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.col("shared") / F.col("buckets") / expected)))
+    return both.select("candidate", prevalence(F.col("nf"), F.col("nc")).alias("prevalence"), surprise.alias("surprise"))
+
+
+def without_system_wide(groups: DataFrame, sensors: Column | int, most: int = 10, share: float = 0.5) -> DataFrame:
+    """Co-occurrence groups of fewer than ``most`` sensors and less than this share of all."""
+    n = F.lit(sensors) if isinstance(sensors, int) else sensors
+    return groups.where((F.col("group_size") < most) & (F.col("group_size") < share * n))
+
+
 def cooccurrence(events: DataFrame, interval: int, tolerance: int = 0, min_sensors: int = 2, prefer: str = "specific", sensors: int | None = None) -> DataFrame:
     """bucket, group_size, severity, score: buckets in which several sensors have events.
 
@@ -153,10 +269,10 @@ def best_matches(scores: DataFrame) -> DataFrame:
     return scores.groupBy("candidate").agg(F.max(rank).alias("b")).select("candidate", "b.lag", "b.pairs", "b.score", "b.agreement").withColumn("direction", label)
 
 
-def delta_correlation(deltas: DataFrame, focus: str, best: DataFrame, least: int = 10) -> DataFrame:
+def delta_correlation(steps_of: DataFrame, focus: str, best: DataFrame, least: int = 10) -> DataFrame:
     """candidate, delta_corr: correlation of the differences at each candidate's best lag (null under ``least`` pairs)."""
-    a = deltas.where(F.col("sensor_id") == focus).select("bucket", F.col("delta").alias("x"))
-    b = deltas.select(F.col("sensor_id").alias("candidate"), F.col("bucket").alias("at"), F.col("delta").alias("y")).join(best.select("candidate", "lag"), "candidate").select("candidate", (F.col("at") - F.col("lag")).alias("bucket"), "y")
+    a = steps_of.where(F.col("sensor_id") == focus).select("bucket", F.col("delta").alias("x"))
+    b = steps_of.select(F.col("sensor_id").alias("candidate"), F.col("bucket").alias("at"), F.col("delta").alias("y")).join(best.select("candidate", "lag"), "candidate").select("candidate", (F.col("at") - F.col("lag")).alias("bucket"), "y")
     return a.join(b, "bucket").groupBy("candidate").agg(*raw_sums("x", "y")).select("candidate", F.when(F.col("n") >= least, pearson_of_sums()).alias("delta_corr"))
 
 
@@ -169,8 +285,8 @@ def episodes(pairs: DataFrame, gap: int) -> DataFrame:
 
 
 def prevalence(n_focus: Column, n_candidate: Column) -> Column:
-    """Penalty for candidates with more events than the focus."""
-    return F.greatest(F.lit(0.25), F.least(F.lit(1.0), F.sqrt(n_focus / n_candidate)))
+    """Penalty for candidates with more events than the focus; none without events."""
+    return F.when((n_focus == 0) | (n_candidate == 0), 1.0).otherwise(F.greatest(F.lit(0.25), F.least(F.lit(1.0), F.sqrt(n_focus / n_candidate))))
 
 
 def unified_rank(matches: DataFrame, shared: DataFrame, match_weight: float = 0.6, shared_weight: float = 0.4) -> DataFrame:

@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.windows import previous
+
 MAX_DEPTH, MAX_NODES = 6, 30
 EPSILON = 2.220446049250313e-16
 _COMPARE = {
@@ -73,15 +75,88 @@ def condition(node: dict[str, Any], value: str = "value", now: str = "now", seen
     return F.coalesce(out, F.lit(False))
 
 
-def window_facts(buckets: DataFrame, seconds: list[int], value: str = "agg_value") -> DataFrame:
-    """``buckets`` with mean, min, max, stddev (null for one value) and median of each trailing window (t - seconds, t]."""
+def consecutive(states: DataFrame, count: int, period: str = "eval", interval: int = 3600) -> DataFrame:
+    """sensor_id, bucket, streak, met: has the condition held in ``count`` successive periods?
+
+    states: sensor_id, bucket, met. period: ``eval`` counts evaluations; ``hour`` and ``day`` count those periods,
+    once each, a missing one breaking the streak. An evaluation that is not met sets the streak to zero.
+    Neighbours come from chunks of time, and runs of states are what is numbered.
+    """
+    width = {"eval": None, "hour": 3600, "day": 86_400}[period]
+    steps = previous(states.select("sensor_id", "bucket", "met"), ["sensor_id"], "bucket", ["bucket", "met"], chunk=interval * 4096)
+    now = F.col("bucket") if width is None else F.floor(F.col("bucket") / width)
+    before = F.col("prev_bucket") if width is None else F.floor(F.col("prev_bucket") / width)
+    goes_on = F.col("met") & F.coalesce("prev_met", F.lit(False)) & (F.lit(True) if width is None else (now - before <= 1))
+    adds = F.when(~F.col("met"), 0).when(~goes_on, 1).otherwise(1 if width is None else now - before)
+    chunk = F.floor(F.col("bucket") / (interval * 4096))
+    marked = steps.select("sensor_id", "bucket", "met", adds.cast("long").alias("_add"), (~goes_on).alias("_new"), chunk.alias("_c"))
+    inside = Window.partitionBy("sensor_id", "_c").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("_sum", F.sum("_add").over(inside)).withColumn("_base", F.max(F.when(F.col("_new"), F.col("_sum") - F.col("_add"))).over(inside))
+    # What a chunk adds to a streak that is open at its end, and whether that began before it.
+    ends = marked.groupBy("sensor_id", "_c").agg(F.max("_sum").alias("_all"), F.max("_base").alias("_from"))
+    by_chunk = Window.partitionBy("sensor_id").orderBy("_c")
+    ends = ends.withColumn("_open", F.col("_all") - F.coalesce("_from", F.lit(0))).withColumn("_run", F.sum(F.col("_from").isNotNull().cast("long")).over(by_chunk))
+    ends = ends.withColumn("_reach", F.sum("_open").over(Window.partitionBy("sensor_id", "_run").orderBy("_c")))
+    ends = ends.select("sensor_id", "_c", F.coalesce(F.lag("_reach").over(by_chunk), F.lit(0)).alias("_carry"))
+    streak = F.when(F.col("met"), F.col("_sum") - F.coalesce("_base", -F.col("_carry"))).otherwise(0)
+    return marked.join(ends, ["sensor_id", "_c"]).select("sensor_id", "bucket", streak.cast("long").alias("streak"), (streak >= count).alias("met"))
+
+
+def targets(sensors: DataFrame, selector: dict[str, Any]) -> DataFrame:
+    """target_key, sensor_id, node_id: the sensors that a rule looks at, of ``sensors(sensor_id, node_id, type, config,
+    deleted_at)``.
+
+    selector: {"kind": "sensor", "sensor_id"}, {"kind": "sensor_set", "sensor_ids"}, {"kind": "node_sensors", "node_id",
+    "types"} or {"kind": "filter", "provider", "metric", "type"} (what is absent does not restrict). With
+    "match" ``any`` or ``all`` they are one target; by default each is its own. Deleted sensors are none.
+    """
+    rows = sensors.where(F.col("deleted_at").isNull())
+    kind = selector["kind"]
+    if kind == "sensor":
+        rows = rows.where(F.col("sensor_id") == selector["sensor_id"].strip())
+    elif kind == "sensor_set":
+        rows = rows.where(F.col("sensor_id").isin([s.strip() for s in selector["sensor_ids"] if s.strip()]))
+    elif kind == "node_sensors":
+        types = [t.strip() for t in selector.get("types", ()) if t.strip()]
+        rows = rows.where(F.col("node_id") == selector["node_id"])
+        rows = rows.where(F.col("type").isin(types)) if types else rows
+    elif kind == "filter":
+        for key in ("provider", "metric"):
+            if selector.get(key):
+                rows = rows.where(F.nullif(F.trim(F.get_json_object(F.coalesce("config", F.lit("{}")), f"$.{key}")), F.lit("")) == selector[key])
+        rows = rows.where(F.col("type") == selector["type"]) if selector.get("type") else rows
+    else:
+        raise ValueError(f"unknown selector {kind!r}")
+    match = selector.get("match", "per_sensor")
+    key = F.concat(F.lit("sensor:"), "sensor_id") if match == "per_sensor" else F.lit(f"selector:{match}")
+    return rows.select(key.alias("target_key"), "sensor_id", "node_id")
+
+
+def met_targets(states: DataFrame, match: str = "per_sensor") -> DataFrame:
+    """target_key, met: of ``states(target_key, sensor_id, met)``; without a sample a target is not met."""
+    met = F.coalesce("met", F.lit(False))
+    return states.groupBy("target_key").agg((F.bool_and(met) if match == "all" else F.bool_or(met)).alias("met"))
+
+
+def window_facts(buckets: DataFrame, seconds: list[int], value: str = "agg_value", stats: set[tuple[str, int]] | None = None) -> DataFrame:
+    """``buckets`` with mean, min, max, stddev (null for one value) and median of each trailing window (t - seconds, t],
+    or those of ``stats`` only.
+
+    A series is cut into chunks of at least the window's length, each of which also gets the rows of the
+    chunk before that its first windows reach back to; a task holds two chunks, however long the series is.
+    """
     out = buckets
     for s in seconds:
-        w = Window.partitionBy("sensor_id").orderBy("bucket").rangeBetween(1 - s, 0)
-        n = F.count(value).over(w)
-        for name, stat in (("mean", F.avg(value)), ("min", F.min(value)), ("max", F.max(value)), ("median", F.percentile(value, F.lit(0.5)))):
-            out = out.withColumn(f"{name}_{s}", stat.over(w))
-        out = out.withColumn(f"stddev_{s}", F.when(n >= 2, F.stddev_pop(value).over(w)))
+        size = 64 * s
+        chunk = F.floor(F.col("bucket") / size)
+        back = F.when(F.pmod(F.col("bucket"), F.lit(size)) >= size - s, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+        spread = out.withColumn("_c", F.explode(back))
+        w = Window.partitionBy("sensor_id", "_c").orderBy("bucket").rangeBetween(1 - s, 0)
+        every = {"mean": F.avg(value).over(w), "min": F.min(value).over(w), "max": F.max(value).over(w), "median": F.percentile(value, F.lit(0.5)).over(w), "stddev": F.when(F.count(value).over(w) >= 2, F.stddev_pop(value).over(w))}
+        for name, stat in every.items():
+            if stats is None or (name, s) in stats:
+                spread = spread.withColumn(f"{name}_{s}", stat)
+        out = spread.where(F.col("_c") == chunk).drop("_c")
     return out
 
 
@@ -108,13 +183,17 @@ def firing(states: DataFrame, interval: int, debounce: int = 0, clear: int = 0)
 def backtest(buckets: DataFrame, node: dict[str, Any], interval: int, debounce: int = 0, clear: int = 0, value: str = "agg_value") -> DataFrame:
     """The firing intervals of a rule over past buckets."""
     validate(node)
-    facts = window_facts(buckets, sorted(_windows(node)), value)
+    stats = _windows(node)
+    facts = window_facts(buckets, sorted({s for _, s in stats}), value, stats)
     return firing(facts.select("sensor_id", "bucket", condition(node, value).alias("met")), interval, debounce, clear)
 
 
-def _windows(node: dict[str, Any]) -> set[int]:
-    if node["type"] in ("rolling_window", "deviation"):
-        return {node["seconds"]}
+def _windows(node: dict[str, Any]) -> set[tuple[str, int]]:
+    """(statistic, seconds) of the windows that a condition reads."""
+    if node["type"] == "rolling_window":
+        return {(node["stat"], node["seconds"])}
+    if node["type"] == "deviation":
+        return {(node.get("baseline", "mean"), node["seconds"])}
     below = node.get("of", [])
     return set().union(*(_windows(c) for c in (below if isinstance(below, list) else [below])))
 

@@ -15,23 +15,37 @@ from tidewell.model import METRICS, US
 PAYLOAD = "timestamp string, value double, quality int, seq bigint, stream_id string, backfill boolean"
 
 
-def telemetry(messages: DataFrame) -> DataFrame:
+def telemetry(messages: DataFrame, prefix: str | None = None, now_us: int | None = None) -> DataFrame:
     """node, sensor_id, us, value, quality, seq, stream_id of ``messages(topic, payload)``.
 
-    Topics are prefix/node/sensor/telemetry. A timestamp is ISO 8601 text, an integer of
-    milliseconds or a decimal number of seconds. Messages without a usable time or value go.
+    Topics are prefix/node/sensor/telemetry, of exactly four parts (``prefix`` None: any). A timestamp is ISO
+    8601 text, an integer of milliseconds, or a decimal number of seconds, cut to milliseconds. An unusable
+    one counts as now (``now_us`` None: the time of the query); messages without a value go.
     """
     parts = F.split("topic", "/")
     body = F.from_json("payload", PAYLOAD)
-    rows = messages.select(parts.alias("t"), body.alias("b")).where((F.size("t") >= 4) & (F.element_at("t", -1) == "telemetry"))
+    rows = messages.select(parts.alias("t"), body.alias("b")).where((F.size("t") == 4) & (F.col("t")[3] == "telemetry") & (F.lit(True) if prefix is None else F.col("t")[0] == prefix))
     raw = F.col("b.timestamp")
     us = (
         F.when(raw.rlike(r"^-?\d+$"), F.expr("try_cast(b.timestamp AS bigint)") * 1000)
-        .when(raw.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), (F.expr("try_cast(b.timestamp AS double)") * US).cast("bigint"))
+        .when(raw.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), (F.expr("try_cast(b.timestamp AS double)") * 1000).cast("bigint") * 1000)
         .otherwise(F.expr("unix_micros(try_cast(b.timestamp AS timestamp))"))
     )
-    out = rows.select(F.element_at("t", -3).alias("node"), F.element_at("t", -2).alias("sensor_id"), us.alias("us"), F.col("b.value").alias("value"), F.coalesce("b.quality", F.lit(0)).alias("quality"), F.col("b.seq").alias("seq"), F.col("b.stream_id").alias("stream_id"))
-    return out.where("us is not null and value is not null")
+    us = F.coalesce(us, F.unix_micros(F.current_timestamp()) if now_us is None else F.lit(now_us))
+    out = rows.select(F.col("t")[1].alias("node"), F.col("t")[2].alias("sensor_id"), us.alias("us"), F.col("b.value").alias("value"), F.coalesce("b.quality", F.lit(0)).alias("quality"), F.col("b.seq").alias("seq"), F.col("b.stream_id").alias("stream_id"))
+    return out.where("value is not null")
+
+
+def node_status(messages: DataFrame) -> DataFrame:
+    """node, us, metric, value of ``messages(topic, payload)`` on prefix/node/status: a health series for each number.
+
+    The payload is a flat JSON object with ``timestamp`` (milliseconds); booleans count as 0 and 1.
+    """
+    body = F.from_json("payload", "map<string, string>")
+    rows = messages.select(F.split("topic", "/").alias("t"), body.alias("b")).where((F.size("t") == 3) & (F.col("t")[2] == "status"))
+    pairs = rows.select(F.col("t")[1].alias("node"), (F.expr("try_cast(b['timestamp'] AS bigint)") * 1000).alias("us"), F.explode(F.map_filter("b", lambda k, v: k != "timestamp")).alias("metric", "raw"))
+    value = F.when(F.col("raw") == "true", 1.0).when(F.col("raw") == "false", 0.0).otherwise(F.expr("try_cast(raw AS double)"))
+    return pairs.select("node", "us", "metric", value.alias("value")).where("us is not null and value is not null")
 
 
 def weather_station(queries: DataFrame) -> DataFrame:

@@ -93,17 +93,40 @@ def replicate(source: DataFrame, path: str, last_us: int, now_us: int, lag_s: in
     """Append what was ingested in (last, now - lag]; the new watermark.
 
     Rows that were ingested before ``target - late`` wait for a backfill, as that is where the
-    window begins when replication has been away for longer.
+    window begins when replication has been away for longer. Rows without an ingest time are not
+    taken; ``repaired`` gives them one, once.
     """
     target = now_us - lag_s * US
     since = max(last_us, target - late_s * US)
-    append(source.where((F.coalesce("inserted_at", F.lit(target)) > since) & (F.coalesce("inserted_at", F.lit(target)) <= target)).withColumn("inserted_at", F.coalesce("inserted_at", F.lit(target))), path, shards)
+    append(source.where((F.col("inserted_at") > since) & (F.col("inserted_at") <= target)), path, shards)
     return target
 
 
-def backfill(source: DataFrame, path: str, day: str, shards: int = SHARDS) -> None:
-    """Rewrite a whole day from the source."""
-    overwrite_days(last_ingested(with_partitions(source, shards).where(F.col("date") == day)), path)
+def repaired(source: DataFrame, target_us: int, since_us: int | None = None) -> DataFrame:
+    """``source`` with ``target_us`` for missing ingest times (of rows from ``since_us`` on); to be written back,
+    so that the next replication finds each such row once."""
+    recent = F.lit(True) if since_us is None else F.col("us") >= since_us
+    return source.withColumn("inserted_at", F.when(F.col("inserted_at").isNull() & recent, F.lit(target_us)).otherwise(F.col("inserted_at")))
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    """Remove a folder through the file system that Spark uses for it."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def backfill(source: DataFrame, path: str, day: str, shards: int = SHARDS, cold: str | None = None) -> None:
+    """Rewrite a whole day from the source: shards that it no longer has go, and so does the day in the cold tier."""
+    spark = source.sparkSession
+    rows = last_ingested(with_partitions(source, shards).where(F.col("date") == day))
+    overwrite_days(rows, path)
+    now = {r["shard"] for r in rows.select("shard").distinct().collect()}  # one a shard
+    for r in spark.read.schema(LAKE).parquet(path).where(F.col("date") == day).select("shard").distinct().collect():
+        if r["shard"] not in now:
+            _delete(spark, f"{path}/date={day}/shard={r['shard']}")
+    if cold is not None:
+        _delete(spark, f"{cold}/date={day}")
 
 
 def parity(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -119,6 +142,17 @@ def retain(spark: SparkSession, hot: str, cold: str, before: str) -> None:
     overwrite_days(last_ingested(rows), cold)
 
 
+def expire(spark: SparkSession, hot: str, cold: str, before: str) -> list[str]:
+    """Remove the days before ``before`` from the hot tier, of those that the cold one holds in full; their dates."""
+    keys = ["sensor_id", "us"]
+    old = spark.read.schema(LAKE).parquet(hot).where(F.col("date") < before)
+    missing = old.select("date", *keys).join(spark.read.schema(LAKE).parquet(cold).where(F.col("date") < before).select("date", *keys), ["date", *keys], "left_anti").select("date").distinct()
+    days = sorted(r["date"] for r in old.select("date").distinct().join(missing, "date", "left_anti").collect())  # one a day
+    for day in days:
+        _delete(spark, f"{hot}/date={day}")
+    return days
+
+
 def tiers(spark: SparkSession, hot: str, cold: str, **options) -> DataFrame:
     """Points of both tiers; a partition that is in the hot tier is not read from the cold one."""
     a, b = (read_points(spark, p, dedupe=False, **options) for p in (hot, cold))

@@ -69,7 +69,9 @@ def changes_of_value(points: DataFrame, tolerance: float = 1e-6) -> DataFrame:
 def liveness(points: DataFrame, silent_ms: int) -> DataFrame:
     """sensor_id, last_us, online: a row when a sensor is heard of, and one when it has been silent.
 
-    The arrival clock decides; the newest sample time is tracked beside it.
+    The arrival clock decides; the newest sample time is tracked beside it. Spark asks for batch after batch
+    where processing-time timers are in use, so an available-now query of this stream never ends by
+    itself; run it with a processing-time trigger and stop it.
     """
 
     def watch(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
