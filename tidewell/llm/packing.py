@@ -235,7 +235,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_size: int = 4000) ->
         groups = max(1, -(-left.count() // group_size))
         dealt = left.withColumn("grp", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups)).cast("long"))
         base = F.lit(turn).cast("long") * (1 << 56) + F.col("grp") * (1 << 24) + F.col("bin")
-        packed = materialize(dealt.groupBy("grp").applyInPandas(one, schema).withColumn("sequence_id", base))
+        # By number, since groups are small in bytes and long in work: they are not to be put together.
+        packed = materialize(dealt.repartition(min(groups, 4096), "grp").groupBy("grp").applyInPandas(one, schema).withColumn("sequence_id", base))
         first = F.col("offset") == 0
         bins, underfull = packed.agg(F.count(F.when(first, 1)), F.count(F.when(first & (F.col("fill") < capacity), 1))).first()
         if before is not None and bins >= before[0]:
