@@ -22,6 +22,19 @@ def micros(column: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))")
 
 
+def local_time(us: Column, zone: str) -> Column:
+    """The clock of ``zone`` at a time in microseconds, as a timestamp without time zone."""
+    seconds = (us.cast("decimal(20,0)") / F.lit(US)).cast("decimal(18,6)")
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+
+
+def day_start(day: Column, zone: str) -> Column:
+    """Microseconds since the epoch at which a day of ``zone`` begins."""
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), day.cast("timestamp_ntz"))
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), utc)
+
+
 def metrics(spark: SparkSession, sf_dir: str, by_user: bool = False) -> DataFrame:
     """The fact table: a series for each event type, or for each user."""
     sensor = F.concat(F.lit("u"), F.col("user_id")) if by_user else F.col("event_type")

@@ -340,7 +340,7 @@ def profile(values: np.ndarray, window: int, exclusion: int) -> tuple[np.ndarray
     return np.sqrt(squared[k, nearest]), np.where(np.isfinite(squared[k, nearest]), nearest, -1)
 
 
-def _numbered(rows: DataFrame, span: int = 1 << 22) -> DataFrame:
+def numbered(rows: DataFrame, span: int = 1 << 22) -> DataFrame:
     """``rows`` with their place k in their series and its ``size``, counted in chunks of ``span`` seconds."""
     rows = rows.withColumn("_c", F.floor(F.col("bucket") / span))
     w = Window.partitionBy("_s").orderBy("_d")
@@ -357,7 +357,7 @@ def matrix_profile(buckets: DataFrame, points: int | None = None, window: int =
     equally near subsequences the earliest is taken.
     """
     skip = window // 2 if exclusion is None else exclusion
-    rows = _numbered(buckets.select("sensor_id", "bucket", F.col(value).cast("double").alias("v")))
+    rows = numbered(buckets.select("sensor_id", "bucket", F.col(value).cast("double").alias("v")))
     if points is not None:
         rows = rows.where(F.col("k") >= F.col("size") - points).withColumn("k", F.col("k") - F.greatest(F.lit(0), F.col("size") - points)).withColumn("size", F.least("size", F.lit(points)))
     rows = rows.where(F.col("size") > window).withColumn("blocks", F.ceil((F.col("size") - window + 1) / block))

@@ -135,11 +135,6 @@ def correlation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("a", "b", "n", "n_eff", "r", "p", "q", "low", "high", status.alias("status"))
 
 
-@query()
-def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlation_cells(spark, sf_dir)
-
-
 @query(
     f"""WITH {_STEPS}, {_RHO}, {_PAIRS}, c AS (SELECT a, b, n, {_PEARSON} AS r FROM (SELECT a, b, {_SUMS} FROM p GROUP BY 1, 2))
     SELECT_FROM SELECT a, b, n, r, CAST(greatest(3, least(n, floor(n / greatest(1.0, 1 + 2 * x.rho1 * y.rho1)))) AS BIGINT) AS n_eff FROM c JOIN rho AS x ON x.sensor_id = a JOIN rho AS y ON y.sensor_id = b""",
