@@ -75,6 +75,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.byte_bpe import token_digests
+
+    return token_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,6 +98,7 @@ QUERIES = (
     op8_best_fit_packing,
     op9_language_id,
     op10_jaccard_join,
+    op12_byte_bpe,
     pipeline,
 )
 
