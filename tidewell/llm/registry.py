@@ -75,6 +75,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.byte_bpe import token_digests
 
@@ -98,6 +104,7 @@ QUERIES = (
     op8_best_fit_packing,
     op9_language_id,
     op10_jaccard_join,
+    op11_whitening,
     op12_byte_bpe,
     pipeline,
 )
