@@ -87,6 +87,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -106,6 +112,7 @@ QUERIES = (
     op10_jaccard_join,
     op11_whitening,
     op12_byte_bpe,
+    op13_spelling_variants,
     pipeline,
 )
 
@@ -158,4 +165,25 @@ ORACLE_SQL = {
         SELECT d.doc_id, least.class_id, coalesce(n.n_links, 0) AS n_links, d.doc_id = least.class_id AS kept
         FROM documents AS d JOIN least ON d.doc_id = least.a LEFT JOIN n ON d.doc_id = n.a
     """,
+    "op13_spelling_variants": """
+        WITH RECURSIVE
+             -- crc32 by its table of 256 remainders
+             tab AS (SELECT list(list_reduce(list_concat([CAST(i AS UBIGINT)], [CAST(0 AS UBIGINT) FOR x IN range(8)]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+             runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{7,}')) AS raw FROM documents),
+             low AS (SELECT id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY ALL),
+             coded AS (SELECT run, n, hex(encode(id || ':' || run)) AS x FROM low),
+             hashed AS (SELECT run, n, xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], [CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS UBIGINT) FOR i IN range(len(x) // 2)]), lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), CAST(4294967295 AS UBIGINT)) AS h FROM coded, tab),
+             words AS (SELECT CASE WHEN h % 31 = 0 THEN run[1 : CAST(h % len(run) AS BIGINT)] || run[CAST(h % len(run) AS BIGINT) + 2 :] ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+                       FROM hashed GROUP BY 1 HAVING sum(n) >= 2 AND len(CASE WHEN h % 31 = 0 THEN run[1 : CAST(h % len(run) AS BIGINT)] || run[CAST(h % len(run) AS BIGINT) + 2 :] ELSE run END) >= 7),
+             -- words one edit apart share a word with at most one letter deleted from either
+             less AS (SELECT word, n, unnest(list_distinct([word[1 : i - 1] || word[i + 1 :] FOR i IN range(1, len(word) + 2)])) AS part FROM words),
+             met AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM less AS a JOIN less AS b ON a.part = b.part AND a.word <> b.word),
+             -- one byte a letter, since the distance is of bytes
+             near AS (SELECT * FROM met WHERE levenshtein(translate(word, 'MANY', 'BYTE'), translate(other, 'MANY', 'BYTE')) = 1),
+             best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS best, max(other_n) AS best_n FROM near GROUP BY word),
+             formed AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n FROM words AS w LEFT JOIN best AS b USING (word)),
+             chain(word, root) AS (SELECT word, word FROM formed UNION ALL SELECT c.word, f.form FROM chain AS c JOIN formed AS f ON c.root = f.word WHERE f.form IS NOT NULL),
+             last AS (SELECT c.word, c.root FROM chain AS c JOIN formed AS f ON c.root = f.word WHERE f.form IS NULL)
+        SELECT f.word, f.form, l.root, f.n, f.n_near, f.form_n FROM formed AS f JOIN last AS l USING (word)
+    """.replace("MANY", "".join(map(chr, range(0xC0, 0x100)))).replace("BYTE", "".join(map(chr, range(33, 97))).replace("'", "''")),
 }
