@@ -158,7 +158,7 @@ def unit_vectors(embeddings: DataFrame) -> DataFrame:
                         continue
                     scaled = x / np.abs(x).max()  # no overflow in the squares
                     unit = scaled / np.sqrt(scaled @ scaled)
-                    keys.append(hashlib.blake2b((x + 0.0).tobytes(), digest_size=16, salt=repr(label.as_py()).encode()[-16:]).digest())
+                    keys.append(hashlib.blake2b(repr(label.as_py()).encode() + b"\0" + (x + 0.0).tobytes(), digest_size=16).digest())
                     units.append(unit.tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], ["vec_id", "label", "class_key", "unit"])
 
