@@ -51,7 +51,7 @@ class WordIds:
 
     The file's normalizer (NFC, white space, lower case) and its pattern cut a text into words
     whose ids do not depend on each other, so a worker tokenizes each word once. Texts with the
-    strings of special tokens go to the library whole.
+    strings of special tokens, or with characters that are not ``settled``, go to the library whole.
     """
 
     def __init__(self, file: bytes, cache_size: int = 400_000):
@@ -78,12 +78,21 @@ class WordIds:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.plain or any(x in text for x in self.specials):
+        if not self.plain or any(x in text for x in self.specials) or not settled(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return b"".join(map(self.cache.__getitem__, _WORDS.findall(text)))
 
 
+_LATIN = re.compile("[\\x00-\u021f]*")
+
+
+def settled(text: str) -> bool:
+    """Has every character been assigned since Unicode 3.2, so that case, kind and composition are the same
+    in the tables of any Python and of the library?"""
+    return _LATIN.fullmatch(text) is not None or all(unicodedata.ucd_3_2_0.category(c) != "Cn" for c in set(text))
+
+
 # The normalizer and pattern for which words may be tokenized one by one.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
