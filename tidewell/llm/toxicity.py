@@ -16,7 +16,9 @@ The model is fitted on at most ``sample`` labelled documents, in the order of a
 count once. Every document is scored whole, however long.
 
 Null and empty texts have severity 0 and are not toxic. Several labels of one document: toxic if
-any says so; null labels are not used. Without labels nothing is toxic. Repeated rows and rows
+any says so; null labels are not used. Where no mark of toxic documents reaches ``significance``, as with
+a dozen labels, those that reach ``LEAST`` are taken; where none does, and without labels of both kinds,
+nothing is toxic. Repeated rows and rows
 without an id give repeated results; an empty table gives no rows; other columns are ignored.
 """
 
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import FragmentCache
 
 GRADES = 4
+LEAST = 3.84  # chance makes one term in twenty as telling
 SCORED = "severity double, grade int, toxic_probability double"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -150,8 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: in
         return Model()
     counts = labelled.mapInArrow(spread, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     lift = (F.col("toxic") + 0.5) / na / ((F.col("clean") + 0.5) / nb)
-    telling = (F.col("toxic") + F.col("clean") >= 3) & ((lift >= 3) | (lift <= 1 / 3)) & (F.col("g") >= significance)
-    marked = counts.withColumn("g", _likelihood_ratio(na, nb)).where(telling).orderBy(F.desc("g"), "term").limit(vocabulary).select("term", (lift >= 3).alias("marks")).toPandas()
+    telling = (F.col("toxic") + F.col("clean") >= 3) & ((lift >= 3) | (lift <= 1 / 3)) & (F.col("g") >= min(significance, LEAST))
+    marked = counts.withColumn("g", _likelihood_ratio(na, nb)).where(telling).orderBy(F.desc("g"), "term").limit(vocabulary).select("term", (lift >= 3).alias("marks"), "g").toPandas()
+    strong = marked[marked["g"] >= significance].reset_index(drop=True)
+    marked = strong if strong["marks"].any() else marked
     if not marked["marks"].any():
         labelled.unpersist()
         return Model()
