@@ -81,6 +81,19 @@ def test_packing_places_every_piece_once(spark, docs, corpus):
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
+def test_packing_ids_do_not_depend_on_unicode_tables():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        own = packing.word_ids(f.read())
+    newer = [0x1C89, *range(0xA7CB, 0xA7DD), *range(0x105C0, 0x105F4), *range(0x13460, 0x13480), *range(0x16100, 0x1611E), 0x1FADF, 0x40000]
+    for point in [*newer, *range(0xC0, 0x3000, 7), *range(0x1F300, 0x1F700, 11)]:
+        for text in (f"Word{chr(point)}Next 1{chr(point)}2", f"{chr(point)} {chr(point) * 2}"):
+            assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, hex(point)
+
+
 def test_packing_of_repeated_rows_and_null_ids(spark):
     rows = [(1, "same words in each row")] * 300 + [(None, "no id here")] * 200 + [(None, None), (2, "")]
     got = packing.pack(packing.piece_table(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path("word_bpe_49k.json")), group_size=40, capacity=64).toPandas()
@@ -346,6 +359,12 @@ def test_cover_tree(spark):
     assert cover_tree.near_duplicates(e.limit(0)).count() == 0
 
 
+def test_cover_tree_of_labels_with_equal_endings(spark):
+    rows = [(1, [1.0, 2.0], 10**18 + 7), (2, [1.0, 2.0], 2 * 10**18 + 7), (3, [1.0, 2.0], 10**18 + 7)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1)}
+
+
 def test_cover_tree_threshold_is_exact():
     rng = np.random.default_rng(20)
     x = rng.normal(size=(2000, 8))
@@ -427,6 +446,14 @@ def test_ordinal_regression_is_the_least_loss():
                 assert loss(w, theta + sign * step * np.eye(3)[k]) >= best - 1e-4
 
 
+def test_toxicity_on_few_labels(spark):
+    d, labels = toxic_corpus(spark)
+    few = labels.where("doc_id < 16 and doc_id % 4 in (0, 1)")  # 8 labels, half of them toxic
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.grade_documents(d, few).collect()}
+    assert all(got[i] for i in range(0, 200, 4)) and sum(got.values()) < 100
+    assert not any(r["toxic"] for r in toxicity.grade_documents(d, few.where("doc_id < 2")).collect())  # too few for any term
+
+
 def test_vocabulary_is_a_parameter(spark):
     d, labels = toxic_corpus(spark)
     assert len(toxicity.fit(d, labels, vocabulary=2).columns) == 2 < len(toxicity.fit(d, labels).columns)
