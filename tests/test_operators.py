@@ -222,12 +222,6 @@ def test_runway(spark):
     assert got["a"] == pytest.approx(2.5) and got["b"] == 24.0 and got["c"] == 0.0
 
 
-def test_state_of_charge(spark):
-    s = spark.createDataFrame([("n", i * 600 * US, 10.0, 50.0) for i in range(7)], "node_id string, us long, current_a double, soc_pct double")
-    got = rows(energy.state_of_charge(s, 100.0), "us", "soc")
-    assert got[-1][1] == pytest.approx(60.0)
-
-
 def test_cosine(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [-1.0, 0.0]), (4, [0.0, 0.0]), (5, None)], "vec_id long, embedding array<double>")
     got = rows(similarity.cosine_top_k(v, v.where("vec_id in (1, 4)"), 2, row_block=2), "query_id", "rank", "vec_id")

@@ -1,41 +1,10 @@
-"""Battery state of charge and power runway."""
+"""Power runway."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SOC = "node_id string, us long, soc double"
-
-
-def state_of_charge(samples: DataFrame, capacity_ah: float, max_gap_s: int = 900, anchor_step: float = 0.5, rest_current: float = 2.0) -> DataFrame:
-    """node_id, us, soc: coulomb counting over ``samples(node_id, us, current_a, soc_pct)``.
-
-    A step of more than ``max_gap_s`` starts anew from the reported charge. At rest (|current| at
-    most ``rest_current``) a tenth of the difference to the reported charge is taken over, at most
-    ``anchor_step``. The fold restarts at gaps, so each stretch between gaps is a group of its own.
-    """
-    from tidewell.operators.events import islands
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("us", ignore_index=True)
-        soc, before, out = None, None, []
-        for us, current, reported in zip(rows["us"], rows["current_a"], rows["soc_pct"], strict=True):
-            if soc is None:
-                soc = min(max(reported, 0.0), 100.0)
-            else:
-                soc = min(max(soc + current * (us - before) / 3.6e9 / capacity_ah * 100, 0.0), 100.0)
-                if abs(current) <= rest_current:
-                    soc = min(max(soc + min(max((reported - soc) * 0.1, -anchor_step), anchor_step), 0.0), 100.0)
-            before = us
-            out.append(soc)
-        return pd.DataFrame({"node_id": rows["node_id"], "us": rows["us"], "soc": out})
-
-    whole = samples.where("us is not null and current_a is not null and soc_pct is not null").select("node_id", "us", "current_a", "soc_pct")
-    return islands(whole, ["node_id"], "us", max_gap_s * 1_000_000).groupBy("node_id", "island").applyInPandas(fold, SOC)
-
-
 def runway_hours(net_watts: Column, energy_wh: Column, cutoff_wh: Column) -> Column:
     """Hours until the energy falls to the cutoff, from an array of net watts by hour; the last hour
     counts in part, and the whole projection if it never does."""

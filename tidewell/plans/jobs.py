@@ -203,12 +203,6 @@ def contiguous_ack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(after, ["stream", "seq"], "left_anti").groupBy("stream").agg(F.min("seq").alias("acked"))
 
 
-@query()
-def battery_soc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = metrics(spark, sf_dir).select(F.col("sensor_id").alias("node_id"), "us", (F.col("value") - 30).alias("current_a"), (F.col("value") % 100).alias("soc_pct"))
-    return energy.state_of_charge(m, 200.0, max_gap_s=7200)
-
-
 @query()
 def power_runway(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hourly(spark, sf_dir)
