@@ -130,3 +130,95 @@ def test_steps_of_charge_compose():
                 soc = battery.drawn(soc, q, most) if resting and not math.isnan(q) else soc
             assert np.interp(start, xs, ys) == pytest.approx(soc, abs=1e-9)
         assert all(a <= b for a, b in zip(ys, ys[1:], strict=False))
+
+
+@pytest.mark.parametrize(("degree", "slope"), [(1, False), (2, True), (3, True)])
+def test_temperature_fit_is_least_squares(spark, degree, slope):
+    from tidewell.operators import temperature
+
+    rng = np.random.default_rng(degree)
+    rows, want = [], {}
+    for k in range(3):
+        x, t = rng.normal(1000 + k, 5, 200), np.sort(rng.integers(1_700_000_000, 1_710_000_000, 200))
+        y = 3 + 0.5 * (x - 1000) + 0.02 * (x - 1000) ** 2 + 1e-7 * (t - t[0]) + rng.normal(0, 0.1, 200)
+        rows += [(f"s{k}", int(a), float(b), float(c)) for a, b, c in zip(t, x, y, strict=True)]
+        basis = np.column_stack([*((x - x.mean()) ** p for p in range(degree + 1)), *([(t - t.mean()) / 86400] if slope else [])])
+        beta = np.linalg.lstsq(basis, y, rcond=None)[0]
+        want[f"s{k}"] = beta, 1 - ((y - basis @ beta) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    rows += [("few", i, float(i), 1.0) for i in range(9)] + [("flat", i, 5.0, float(i)) for i in range(50)]  # too few; no solution
+    points = spark.createDataFrame(rows, "sensor_id string, t long, x double, y double")
+    fits = temperature.fit(points, ["sensor_id"], degree, slope)
+    r2 = {r["sensor_id"]: r["r2"] for r in temperature.explained(points, fits, ["sensor_id"], degree).collect()}
+    got = {r["sensor_id"]: r for r in fits.collect()}
+    assert got.keys() == want.keys()
+    for k, (beta, explained) in want.items():
+        assert got[k]["beta"] == pytest.approx(beta[: degree + 1].tolist(), rel=1e-6, abs=1e-8) and r2[k] == pytest.approx(explained)
+        assert got[k]["slope"] == (pytest.approx(beta[-1], rel=1e-5) if slope else None)
+
+
+def test_the_lag_of_the_temperature_is_found(spark):
+    from tidewell.operators import temperature
+
+    rng = np.random.default_rng(2)
+    n, step = 400, 3600
+    heat = 20 + 8 * np.sin(np.arange(n) / 24 * 2 * np.pi) + rng.normal(0, 1, n)
+    late = np.concatenate((np.full(3, heat[0]), heat[:-3]))
+    raw = [("late", i * step, float(5 + 0.4 * late[i] + rng.normal(0, 0.05))) for i in range(n)] + [("none", i * step, float(rng.normal())) for i in range(n)] + [("still", i * step, 7.0) for i in range(n)] + [("short", i * step, 1.0 * i) for i in range(12)] + [("late", 5, math.nan)]
+    t = spark.createDataFrame([(i * step, float(v)) for i, v in enumerate(heat)], "t long, x double")
+    points = temperature.align(spark.createDataFrame(raw, "sensor_id string, t long, y double"), t, [k * step for k in range(7)])
+    scores = temperature.lag_scores(points, 1)
+    got = {r["sensor_id"]: r for r in temperature.choose_lag(scores).collect()}
+    assert got["late"]["lag"] == 3 * step and got["late"]["reduction_pct"] > 90 and got["none"]["lag"] == 0
+    assert got["still"]["lag"] == 0 and got["still"]["reduction_pct"] is None and "short" not in got
+    assert temperature.choose_lag(temperature.lag_scores(points.limit(0))).count() == 0
+    formula = temperature.expression("y", "x", 20.0, [1.0, 0.5, 0.25], 3.0)
+    got = spark.createDataFrame([(10.0, 22.0), (10.0, 40.0), (10.0, 10.0)], "y double, x double").select(F.expr(formula).alias("v")).collect()
+    assert [r["v"] for r in got] == [8.0, 7.0, 7.0]
+
+
+def robust_z(x, clip=6.0):
+    m = np.median(x)
+    mad, iqr = np.median(np.abs(x - m)), np.quantile(x, 0.75) - np.quantile(x, 0.25)
+    return np.abs(np.clip((x - m) / (mad * 1.4826 if mad > 1e-9 else iqr / 1.349 if iqr > 1e-9 else 1.0), -clip, clip))
+
+
+def embedding(points, windows):
+    """The three vectors of one series, by NumPy."""
+    points = sorted((t, v) for t, v in points if v is not None and math.isfinite(v))
+    t, v = np.array([p[0] for p in points]), np.array([p[1] for p in points])
+    values, changes, events = [], [], []
+    for w in [*windows, 1 << 62]:
+        inside = t >= t[-1] - w
+        a, b = v[inside], np.diff(v[inside]) / np.maximum(1, np.diff(t[inside]))
+        for x, out in ((a, values), (b, changes)):
+            if len(x) < 3:
+                out += [0.0] * 10
+                events += [0.0] * 4
+                continue
+            q, z = (lambda p, x=x: np.quantile(x, p)), robust_z(x)
+            out += [np.median(x), np.median(np.abs(x - np.median(x))), q(0.05), q(0.5), q(0.95), q(0.75) - q(0.25), x.mean(), x.std(), z.mean(), np.quantile(z, 0.95)]
+            events += [(z >= 2.5).mean(), (z >= 4).mean(), z.max(), np.quantile(z, 0.95)]
+    vectors = [np.resize(np.array([*x, *np.zeros(n)]), n) for x, n in ((values[:-10], 128), (changes[:-10], 128), (events, 64))]
+    return [x / (np.linalg.norm(x) or 1.0) for x in vectors]
+
+
+def test_embeddings_equal_numpy(spark):
+    from tidewell.operators import similarity
+
+    rng = np.random.default_rng(6)
+    series = {
+        "noise": [(int(t), float(x)) for t, x in zip(np.cumsum(rng.integers(60, 9000, 400)), rng.standard_t(2, 400), strict=True)],
+        "steps": [(60 * i, float(i // 50 * 10)) for i in range(300)],
+        "still": [(i * 100_000, 4.0) for i in range(50)],
+        "short": [(0, 1.0), (400, 5.0), (800, 2.0)],
+        "two": [(0, 1.0), (60, 2.0), (120, None), (180, math.nan)],
+    }
+    df = spark.createDataFrame([(k, t, x) for k, p in series.items() for t, x in p], "sensor_id string, bucket long, agg_value double")
+    got = {r["sensor_id"]: r for r in similarity.embed(df).collect()}
+    assert got.keys() == series.keys() - {"two"}
+    for k, r in got.items():
+        for name, want in zip(("value", "delta", "event"), embedding(series[k], similarity.WINDOWS), strict=True):
+            assert r[name] == pytest.approx(want.tolist(), abs=1e-9), (k, name)
+    short = similarity.embed(df, windows=(3600,), sizes=(4, 20, 8)).where("sensor_id = 'noise'").first()
+    assert [len(short[c]) for c in ("value", "delta", "event")] == [4, 20, 8]
+    assert similarity.embed(df.limit(0)).count() == 0

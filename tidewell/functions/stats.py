@@ -164,10 +164,3 @@ def hour_entropy(df: DataFrame, keys: list[str], hour: Column) -> DataFrame:
     h = counts.join(total, keys).groupBy(*keys).agg((-F.sum(p * F.log(p)) / math.log(24)).alias("entropy"))
     return h.select(*keys, "entropy", F.greatest(F.lit(0.25), F.least(F.lit(1.0), F.col("entropy"))).alias("weight"))
 
-
-def polynomial_fit(x: np.ndarray, y: np.ndarray, degree: int) -> tuple[np.ndarray, float]:
-    """(coefficients from the constant up, r2) of a least-squares polynomial."""
-    basis = np.vander(x, degree + 1, increasing=True)
-    coefficients = np.linalg.lstsq(basis, y, rcond=None)[0]
-    rest, spread = y - basis @ coefficients, y - y.mean()
-    return coefficients, 1 - float(rest @ rest) / float(spread @ spread) if spread.any() else 0.0

@@ -136,11 +136,6 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.cosine_top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
-@query()
-def embeddings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.features(hourly(spark, sf_dir))
-
-
 @query(
     """WITH p AS (SELECT c_custkey AS id, n_name = 'FRANCE' AS a, c_mktsegment = 'BUILDING' AS b FROM customer JOIN nation ON c_nationkey = n_nationkey)
     SELECT_FROM SELECT id, CAST(CASE WHEN a AND b THEN 0 WHEN b THEN 1 ELSE 2 END AS INTEGER) AS stage, CAST(CASE WHEN a AND b THEN 3 WHEN b THEN 2 ELSE 1 END AS INTEGER) AS hits FROM p ORDER BY 2, 3 DESC, 1 LIMIT 200"""

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.model import metrics, read
-from tidewell.operators import battery, graphs
+from tidewell.operators import battery, graphs, similarity, temperature
+from tidewell.plans.aggregates import HOUR, hourly
 from tidewell.plans.registry import query
 
 _EDGES = """e AS (SELECT DISTINCT 'p' || l_partkey AS node, 's' || l_suppkey AS input FROM lineitem
@@ -57,3 +58,77 @@ def battery_soc(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = metrics(spark, sf_dir).select(F.col("sensor_id").alias("node_id"), "us", (F.col("value") - 30).alias("current_a"), (F.col("value") % 100).alias("soc_pct"))
     model = battery.Model(200.0, max_gap_s=7200, rest_current=15.0, rest_minutes=10, sign=None, learn=battery.Capacity(span=20.0, alpha=0.2, low_ah=50.0, high_ah=400.0))
     return battery.state_of_charge(m, model)
+
+
+# ---- temperature ---------------------------------------------------------------------------
+
+#: Least squares of y by x, x^2 and time for each sensor and lag: the regressors made orthogonal, one after the other.
+_FIT = """, a AS (SELECT y.sensor_id, l.lag, y.bucket AS t, y.agg_value AS y, x.agg_value AS x FROM h AS y CROSS JOIN l JOIN h AS x ON x.bucket = y.bucket - l.lag WHERE y.sensor_id <> 'click' AND x.sensor_id = 'click'),
+      g AS (SELECT sensor_id, lag, count(*) AS n, avg(x) AS centre, avg(t) AS centre_t, avg(y) AS ym FROM a GROUP BY 1, 2 HAVING count(*) >= 20),
+      b AS (SELECT a.*, n, centre, centre_t, ym, x - centre AS x1, power(x - centre, 2) AS x2, (t - centre_t) / 86400 AS d FROM a JOIN g ON a.sensor_id = g.sensor_id AND a.lag = g.lag),
+      b2 AS (SELECT *, x2 - avg(x2) OVER w - coalesce(regr_slope(x2, x1) OVER w, 0) * x1 AS z2, regr_slope(x2, x1) OVER w AS s21 FROM b WINDOW w AS (PARTITION BY sensor_id, lag)),
+      b3 AS (SELECT *, d - regr_slope(d, x1) OVER w * x1 - regr_slope(d, z2) OVER w * z2 AS z3, regr_slope(d, x1) OVER w AS s31, regr_slope(d, z2) OVER w AS s32 FROM b2 WINDOW w AS (PARTITION BY sensor_id, lag)),
+      c AS (SELECT sensor_id, lag, any_value(n) AS n, any_value(centre) AS centre, any_value(ym) AS ym, avg(x2) AS x2m, regr_slope(y, x1) AS c1, regr_slope(y, z2) AS c2, regr_slope(y, z3) AS c3, any_value(s21) AS s21, any_value(s31) AS s31, any_value(s32) AS s32 FROM b3 GROUP BY 1, 2),
+      f AS (SELECT sensor_id, lag, n, centre, ym, x2m, c3 AS slope, c2 - c3 * s32 AS b2, c1 - c2 * s21 - c3 * (s31 - s32 * s21) AS b1 FROM c),
+      k AS (SELECT b.*, f.b1, f.b2, f.slope, ym - f.b2 * x2m AS b0 FROM b JOIN f USING (sensor_id, lag, n, centre, ym))"""
+
+
+def _aligned(spark: SparkSession, sf_dir: str, lags: list[int]) -> DataFrame:
+    h = hourly(spark, sf_dir)
+    raw = h.where("sensor_id <> 'click'").select("sensor_id", F.col("bucket").alias("t"), F.col("agg_value").alias("y"))
+    return temperature.align(raw, h.where("sensor_id = 'click'").select(F.col("bucket").alias("t"), F.col("agg_value").alias("x")), lags)
+
+
+@query(
+    f"""WITH l AS (SELECT 0 AS lag){_FIT}
+    SELECT_FROM SELECT sensor_id, any_value(n) AS n, any_value(centre) AS centre, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, any_value(slope) AS slope,
+      1 - sum(power(y - b0 - b1 * x1 - b2 * x2 - slope * d, 2)) / (var_pop(y) * count(y)) AS r2 FROM k GROUP BY 1""",
+    "centre b0 b1 b2 slope r2",
+)
+def temperature_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each series by a square polynomial of another (the temperature) and a drift in time."""
+    points = _aligned(spark, sf_dir, [0])
+    fits = temperature.fit(points, ["sensor_id"], 2, time_slope=True).where("n >= 20")
+    b = F.col("beta")
+    return fits.join(temperature.explained(points, fits, ["sensor_id"], 2), "sensor_id").select("sensor_id", "n", "centre", b[0].alias("b0"), b[1].alias("b1"), b[2].alias("b2"), "slope", "r2")
+
+
+@query(
+    f"""WITH l AS (SELECT CAST(unnest(range(0, 7)) * 3600 AS INTEGER) AS lag){_FIT},
+      q AS (SELECT sensor_id, lag, quantile_cont(y, 0.95) - quantile_cont(y, 0.05) AS raw, quantile_cont(y - b1 * x1 - b2 * x2, 0.95) - quantile_cont(y - b1 * x1 - b2 * x2, 0.05) AS swing FROM k GROUP BY 1, 2),
+      r AS (SELECT sensor_id, lag, CASE WHEN raw > 0 THEN greatest(0, least(100, (1 - swing / raw) * 100)) END AS pct FROM q),
+      o AS (SELECT sensor_id, arg_max(lag, (coalesce(pct, -1), -lag)) AS best_lag, arg_max(pct, (coalesce(pct, -1), -lag)) AS reduction_pct, max(pct) FILTER (WHERE lag = 0) AS baseline_pct FROM r GROUP BY 1)
+    SELECT_FROM SELECT sensor_id, CASE WHEN reduction_pct - baseline_pct >= 1 THEN best_lag ELSE 0 END AS lag, best_lag, reduction_pct, baseline_pct FROM o""",
+    "reduction_pct baseline_pct",
+)
+def temperature_lag_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lag of the temperature that takes most of the swing away, where it gains a percent at least."""
+    return temperature.choose_lag(temperature.lag_scores(_aligned(spark, sf_dir, [k * HOUR for k in range(7)]), 2, time_slope=True), 1.0)
+
+
+# ---- embeddings ----------------------------------------------------------------------------
+
+
+@query(
+    """WITH w AS (SELECT unnest([300, 3600, 21600, 86400, 604800, 2592000, 7776000, 4611686018427387904]) AS span, unnest(range(8)) AS pos),
+      e AS (SELECT *, lag(bucket) OVER s AS pb, lag(agg_value) OVER s AS pv, max(bucket) OVER (PARTITION BY sensor_id) AS last, count(*) OVER (PARTITION BY sensor_id) AS many FROM h WINDOW s AS (PARTITION BY sensor_id ORDER BY bucket)),
+      x AS (SELECT sensor_id, 'v' AS kind, pos, agg_value AS x FROM e JOIN w ON last - bucket <= span WHERE many >= 3 UNION ALL SELECT sensor_id, 'd', pos, (agg_value - pv) / greatest(1, bucket - pb) FROM e JOIN w ON last - pb <= span WHERE many >= 3),
+      g AS (SELECT sensor_id, kind, pos, median(x) AS m, quantile_cont(x, 0.05) AS p05, quantile_cont(x, 0.95) AS p95, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, avg(x) AS mean, stddev_pop(x) AS std FROM x GROUP BY ALL HAVING count(*) >= 3),
+      d AS (SELECT x.sensor_id, x.kind, x.pos, median(abs(x.x - m)) AS mad FROM x JOIN g USING (sensor_id, kind, pos) GROUP BY ALL),
+      c AS (SELECT *, CASE WHEN mad > 1e-9 THEN mad * 1.4826 WHEN iqr > 1e-9 THEN iqr / 1.349 ELSE 1 END AS scale FROM g JOIN d USING (sensor_id, kind, pos)),
+      z AS (SELECT sensor_id, kind, pos, least(6, abs(x.x - m) / scale) AS z FROM x JOIN c USING (sensor_id, kind, pos)),
+      s AS (SELECT sensor_id, kind, pos, avg(z) AS z_mean, max(z) AS z_most, quantile_cont(z, 0.95) AS z_high, avg((z >= 2.5)::INT) AS spikes, avg((z >= 4)::INT) AS high_spikes FROM z GROUP BY ALL),
+      f AS (SELECT sensor_id, CASE kind WHEN 'v' THEN 'value' ELSE 'delta' END AS vector, pos * 10 AS base, [m, mad, p05, m, p95, iqr, mean, std, z_mean, z_high] AS part FROM c JOIN s USING (sensor_id, kind, pos) WHERE pos < 7
+            UNION ALL SELECT sensor_id, 'event', pos * 8 + CASE kind WHEN 'v' THEN 0 ELSE 4 END, [spikes, high_spikes, z_most, z_high] FROM s),
+      p AS (SELECT sensor_id, vector, base + unnest(range(len(part))) AS place, unnest(part) AS x FROM f),
+      n AS (SELECT sensor_id, vector, sqrt(sum(x * x)) AS norm FROM p GROUP BY ALL),
+      a AS (SELECT DISTINCT sensor_id FROM e WHERE many >= 3),
+      every AS (SELECT sensor_id, vector, unnest(range(CASE vector WHEN 'event' THEN 64 ELSE 128 END)) AS place FROM a, (SELECT unnest(['value', 'delta', 'event']) AS vector))
+    SELECT_FROM SELECT every.sensor_id, every.vector, CAST(every.place AS INTEGER) AS place, coalesce(CASE WHEN norm > 0 THEN x / norm ELSE x END, 0) AS x FROM every LEFT JOIN p USING (sensor_id, vector, place) LEFT JOIN n USING (sensor_id, vector)""",
+    "x",
+)
+def embeddings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of values, of changes and of events of each series, entry by entry."""
+    e = similarity.embed(hourly(spark, sf_dir))
+    parts = [e.select("sensor_id", F.lit(name).alias("vector"), F.posexplode(name).alias("place", "x")) for name in ("value", "delta", "event")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
