@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.model import metrics, read
-from tidewell.operators import battery, graphs, similarity, temperature
+from tidewell.operators import battery, graphs, similarity, temperature, vectors
+from tidewell.operators.storage import stored
 from tidewell.plans.aggregates import HOUR, hourly
 from tidewell.plans.registry import query
 
@@ -132,3 +133,54 @@ def embeddings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = similarity.embed(hourly(spark, sf_dir))
     parts = [e.select("sensor_id", F.lit(name).alias("vector"), F.posexplode(name).alias("place", "x")) for name in ("value", "delta", "event")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# ---- vector search -------------------------------------------------------------------------
+
+_PAYLOAD = """v AS (SELECT CAST(vec_id AS VARCHAR) AS id, 'n' || (vec_id % 7) AS node, 'u' || (vec_id % 4) AS unit_, 't' || label AS type, CAST(60 * (1 + vec_id % 2) AS INTEGER) AS interval_seconds, vec_id % 5 = 0 AS is_derived,
+      CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL),
+    p AS (SELECT id, node, unit_, type, interval_seconds, is_derived, unnest(['value', 'delta', 'event']) AS space, unnest([x[1:32], x[33:48], x[49:64]]) AS x FROM v)"""
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[vectors.Index, DataFrame]:
+    """Vectors in three parts, as the spaces of an index, with a payload made of their ids and labels."""
+    part = lambda a, n: F.slice("embedding", a, n)
+    v = read(spark, sf_dir, "embeddings").where("vec_id is not null").select(
+        F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("n"), F.col("vec_id") % 7).alias("node"), F.concat(F.lit("u"), F.col("vec_id") % 4).alias("unit_"), F.concat(F.lit("t"), "label").alias("type"),
+        (60 * (1 + F.col("vec_id") % 2)).cast("int").alias("interval_seconds"), (F.col("vec_id") % 5 == 0).alias("is_derived"), part(1, 32).alias("value"), part(33, 16).alias("delta"), part(49, 16).alias("event"),
+    )
+    v = stored(v)
+    return vectors.build(v, {s: s for s in ("value", "delta", "event")}, ["node", "unit_", "type", "interval_seconds", "is_derived"]), v
+
+
+@query(
+    f"""WITH {_PAYLOAD}, s AS (SELECT q.id AS query_id, p.id, list_cosine_similarity(q.x, p.x) AS score FROM p AS q JOIN p ON q.space = 'value' AND p.space = 'value' AND q.id <> p.id AND (q.type IS NULL OR q.type = p.type) AND p.interval_seconds = 60 WHERE CAST(q.id AS BIGINT) % 20 = 0)
+    SELECT_FROM SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS INTEGER) AS rank FROM s) WHERE rank <= 10""",
+    "score",
+)
+def ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of the same type and an interval of a minute, by cells and their bounds."""
+    index, v = _index(spark, sf_dir)
+    queries = v.where("cast(id as bigint) % 20 = 0").select(F.col("id").alias("query_id"), F.lit("value").alias("space"), F.col("value").alias("vector"), F.array("id").alias("exclude"), "type")
+    return vectors.search(index, queries, 10, F.col("interval_seconds") == 60, ("type",)).drop("space")
+
+
+@query(
+    f"""WITH {_PAYLOAD}, g AS (SELECT * FROM (VALUES (0, true, true, true, true), (1, false, true, true, true), (2, false, false, true, true), (3, false, false, false, true), (4, false, false, false, false)) AS t(stage, node, minute, type, unit_)),
+      s AS (SELECT q.id AS focus, stage, q.space, p.id, list_cosine_similarity(q.x, p.x) AS score FROM p AS q CROSS JOIN g JOIN p ON q.space = p.space AND q.id <> p.id AND p.id <> '7'
+            AND (NOT g.node OR p.node = q.node) AND (NOT g.minute OR p.interval_seconds = 60) AND (NOT g.type OR q.type IS NULL OR p.type = q.type) AND (NOT g.unit_ OR p.unit_ = q.unit_) WHERE CAST(q.id AS BIGINT) % 40 = 0),
+      r AS (SELECT *, row_number() OVER (PARTITION BY focus, stage, space ORDER BY round(score, 12) DESC, id) AS rank FROM s),
+      f AS (SELECT * FROM r WHERE rank <= 30 * (stage + 1)),
+      first AS (SELECT focus, id, min(stage) AS stage FROM f GROUP BY 1, 2),
+      n AS (SELECT g.stage, focus, count(*) AS pool FROM first JOIN g ON first.stage <= g.stage GROUP BY 1, 2),
+      l AS (SELECT focus, coalesce(min(stage) FILTER (WHERE pool >= 60), 4) AS last FROM n GROUP BY 1),
+      c AS (SELECT f.focus, id, min(stage) AS stage, count(DISTINCT space) AS hits, max(score) AS best_score FROM f JOIN l ON f.focus = l.focus AND stage <= last GROUP BY 1, 2),
+      o AS (SELECT *, count(*) OVER (PARTITION BY focus) AS pool, row_number() OVER (PARTITION BY focus ORDER BY stage, hits DESC, round(best_score, 12) DESC, id) AS rank FROM c)
+    SELECT_FROM SELECT focus, id AS candidate, CAST(stage AS INTEGER) AS stage, CAST(hits AS INTEGER) AS hits, best_score, pool, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 60""",
+    "best_score",
+)
+def candidate_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each focus from three vectors, with filters that are given up one by one until the pool is large enough."""
+    index, v = _index(spark, sf_dir)
+    filters = vectors.Filters(same_node=True, same_unit=True, same_type=True, interval_seconds=60, exclude=("7",))
+    return vectors.candidates(index, v.where("cast(id as bigint) % 40 = 0"), filters, 60)
