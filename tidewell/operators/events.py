@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.stats import pearson_of_sums, raw_sums
+from tidewell.operators.selection import greedy
 from tidewell.operators.buckets import robust_scale
 from tidewell.operators.joins import within_tolerance
 from tidewell.operators.quantiles import quantiles
@@ -45,22 +46,9 @@ def islands(df: DataFrame, keys: list[str], order: str, gap: int, name: str = "i
 def suppress(events: DataFrame, window: int) -> DataFrame:
     """Events that are left when the strongest suppress those within ``window`` seconds, and so on.
 
-    Ties go to the earlier. Events farther apart than the window never meet, so a task holds some
-    runs of close events.
+    Ties go to the earlier. See ``selection.greedy``: no task holds more than a chunk of time.
     """
-
-    def strongest(rows: pd.DataFrame) -> pd.DataFrame:
-        at, order = rows["bucket"].to_numpy(), np.lexsort((rows["bucket"], -rows["z"].abs()))
-        open_ = np.ones(len(rows), bool)
-        keep = []
-        for k in order:
-            if open_[k]:
-                keep.append(k)
-                open_ &= np.abs(at - at[k]) > window
-        return rows.iloc[sorted(keep)].drop(columns="part")
-
-    runs = islands(events, ["sensor_id"], "bucket", window).withColumn("part", F.floor(F.col("island") / 256)).drop("island")
-    return runs.groupBy("sensor_id", "part").applyInPandas(strongest, events.schema)
+    return greedy(events, ["sensor_id"], "bucket", window, [-F.abs("z")])
 
 
 def detect(steps_of: DataFrame, threshold: float = 3.0, separation: int = 0, polarity: str = "both", cap: int | None = None, value: str = "delta") -> DataFrame:
@@ -210,6 +198,14 @@ def cooccurrence(events: DataFrame, interval: int, tolerance: int = 0, min_senso
     return groups.select("bucket", "group_size", "severity", score.alias("score"))
 
 
+def select_buckets(groups: DataFrame, apart: int, focus: str | None = None, most: int | None = None) -> DataFrame:
+    """The groups that stay when the best shuts out those at most ``apart`` seconds away, and so on: by score, then the smaller
+    group, then the later one; with ``focus``, a column of the focus's strength, by that first. most: so many of the best."""
+    rank = [*([-F.round(focus, 9)] if focus else []), -F.round("score", 9), F.col("group_size"), -F.col("bucket")]
+    chosen = greedy(groups, [], "bucket", apart, rank)
+    return chosen if most is None else chosen.orderBy(*rank).limit(most)
+
+
 def _weight(z: Column, cap: float) -> Column:
     return F.least(F.abs(z), F.lit(cap))
 

@@ -42,7 +42,13 @@ def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir)
 
 
-@query()
+_NMS = """o AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY abs(z) DESC, bucket) AS k FROM e),
+    g(sensor_id, k, chosen) AS (SELECT DISTINCT sensor_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM o
+      UNION ALL SELECT g.sensor_id, o.k, CASE WHEN len(list_filter(g.chosen, lambda b: abs(b - o.bucket) <= 7200)) = 0 THEN list_append(g.chosen, o.bucket) ELSE g.chosen END FROM g JOIN o ON o.sensor_id = g.sensor_id AND o.k = g.k + 1),
+    n AS (SELECT sensor_id, unnest(arg_max(chosen, k)) AS bucket FROM g GROUP BY 1)"""
+
+
+@query(f"RECURSIVE WITH {_E}, {_NMS} SELECT_FROM SELECT e.* FROM e JOIN n ON e.sensor_id = n.sensor_id AND e.bucket = n.bucket", "value z")
 def events_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.detect(_deltas(spark, sf_dir), threshold=1.5, separation=2 * HOUR)
 
@@ -60,6 +66,19 @@ def cooccurrence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.cooccurrence(_events(spark, sf_dir), HOUR, tolerance=1, prefer="pairs")
 
 
+@query(
+    f"""RECURSIVE WITH {_E}, {_SPREAD}, sc AS (SELECT bucket, group_size, severity / group_size / ln(2 + group_size) * ln(((SELECT count(DISTINCT sensor_id) FROM e) + 1.0) / (group_size + 1)) AS score FROM g),
+      o AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, group_size, bucket DESC) AS k FROM sc),
+      p(k, chosen) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT o.k, CASE WHEN len(list_filter(p.chosen, lambda b: abs(b - o.bucket) <= 7200)) = 0 THEN list_append(p.chosen, o.bucket) ELSE p.chosen END FROM p JOIN o ON o.k = p.k + 1)
+    SELECT_FROM SELECT bucket, group_size, score FROM o WHERE list_contains((SELECT arg_max(chosen, k) FROM p), bucket)""",
+    "score",
+)
+def cooccurrence_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The buckets that are left when the best shuts out those within two hours, and so on."""
+    groups = events.cooccurrence(_events(spark, sf_dir), HOUR, tolerance=1)
+    return events.select_buckets(groups, 2 * HOUR).select("bucket", "group_size", "score")
+
+
 _LAGS = [k * HOUR for k in range(-6, 7)]
 _M = f"""{_E}, l AS (SELECT CAST(unnest(range(-6, 7)) * 3600 AS INTEGER) AS lag),
     p AS (SELECT b.sensor_id AS candidate, lag, b.bucket AS t, a.z AS fz, b.z AS cz FROM e AS a CROSS JOIN l JOIN e AS b ON b.bucket = a.bucket + lag WHERE a.sensor_id = 'click' AND b.sensor_id <> 'click'),
