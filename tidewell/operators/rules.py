@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.sliding import rolling_percentiles
 from tidewell.operators.windows import previous
 
 MAX_DEPTH, MAX_NODES = 6, 30
@@ -152,11 +153,13 @@ def window_facts(buckets: DataFrame, seconds: list[int], value: str = "agg_value
         back = F.when(F.pmod(F.col("bucket"), F.lit(size)) >= size - s, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
         spread = out.withColumn("_c", F.explode(back))
         w = Window.partitionBy("sensor_id", "_c").orderBy("bucket").rangeBetween(1 - s, 0)
-        every = {"mean": F.avg(value).over(w), "min": F.min(value).over(w), "max": F.max(value).over(w), "median": F.percentile(value, F.lit(0.5)).over(w), "stddev": F.when(F.count(value).over(w) >= 2, F.stddev_pop(value).over(w))}
+        every = {"mean": F.avg(value).over(w), "min": F.min(value).over(w), "max": F.max(value).over(w), "stddev": F.when(F.count(value).over(w) >= 2, F.stddev_pop(value).over(w))}
         for name, stat in every.items():
             if stats is None or (name, s) in stats:
                 spread = spread.withColumn(f"{name}_{s}", stat)
         out = spread.where(F.col("_c") == chunk).drop("_c")
+        if stats is None or ("median", s) in stats:
+            out = rolling_percentiles(out, ["sensor_id"], "bucket", value, s, [0.5], "_p").withColumn(f"median_{s}", F.col("_p")[0]).drop("_p")
     return out
 
 

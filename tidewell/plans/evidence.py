@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import stats as S
 from tidewell.model import metrics, read
 from tidewell.operators import buckets as B
-from tidewell.operators import events, rules
+from tidewell.operators import events, rules, sliding
 from tidewell.operators.storage import stored
 from tidewell.operators.windows import deltas
 from tidewell.plans.aggregates import HOUR, hourly
@@ -239,3 +239,15 @@ def json_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = F.map_concat(F.map_filter(F.from_json("props", "map<string, string>"), lambda k, v: k != "origin"), F.create_map(F.lit("origin"), F.lit("driver")))
     rows = read(spark, sf_dir, "events").select("event_id", F.to_json(fields).alias("config"))
     return rows.select("event_id", F.get_json_object("config", "$.k").cast("int").alias("k"), F.get_json_object("config", "$.origin").alias("origin"))
+
+
+@query(
+    """WITH p AS (SELECT sensor_id, us, value, quantile_cont(value, 0.5) OVER w AS p50, quantile_cont(value, 0.95) OVER w AS p95 FROM m WINDOW w AS (PARTITION BY sensor_id ORDER BY us RANGE BETWEEN 1799999999 PRECEDING AND CURRENT ROW))
+    SELECT_FROM SELECT * FROM p""",
+    "value p50 p95",
+)
+def rolling_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and 95th percentile of the half hour up to each point."""
+    m = metrics(spark, sf_dir).select("sensor_id", "us", "value")
+    p = sliding.rolling_percentiles(m, ["sensor_id"], "us", "value", 1_800_000_000, [0.5, 0.95], "p", chunks=48)
+    return p.select("sensor_id", "us", "value", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"))
