@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tidewell.model import metrics, read
 from tidewell.operators import energy, events, rules, similarity
 from tidewell.operators import windows as W
-from tidewell.operators.storage import stored
+from tidewell.operators.storage import shared_folder, stored
 from tidewell.plans.aggregates import HOUR, hourly
 from tidewell.plans.registry import query
 from tidewell.plans.transforms import _STEPS
+from tidewell.sources import spool
 
 _Z = f"""{_STEPS}, x AS (SELECT sensor_id, bucket, agg_value - pv AS delta FROM d WHERE pv IS NOT NULL AND bucket - pb <= 18000),
     q AS (SELECT sensor_id, count(*) AS n, median(delta) AS med, quantile_cont(delta, 0.75) - quantile_cont(delta, 0.25) AS iqr, count(*) FILTER (WHERE delta <> 0) AS nz, median(abs(delta)) FILTER (WHERE delta <> 0) AS step FROM x GROUP BY 1),
@@ -240,3 +241,20 @@ def cov_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def last_n_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("sensor_id").orderBy(F.desc("bucket"))
     return hourly(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k <= 24").select("sensor_id", "bucket", F.col("agg_value").alias("value"))
+
+
+@query(
+    """WITH a AS (SELECT event_type, max(event_id) // 2 AS acked FROM events GROUP BY 1)
+    SELECT_FROM SELECT e.event_type AS stream, e.event_id AS seq, epoch_us(e.ts) // 1000 AS ms, e.value FROM events AS e JOIN a ON e.event_type = a.event_type WHERE e.event_id > a.acked""",
+    "value",
+)
+def spool_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written to segments, a stream for each type, and what is left after half of the numbers were acknowledged."""
+    e = read(spark, sf_dir, "events")
+    stream = F.expr("concat(substring(md5(event_type), 1, 8), '-', substring(md5(event_type), 9, 4), '-', substring(md5(event_type), 13, 4), '-', substring(md5(event_type), 17, 4), '-', substring(md5(event_type), 21, 12))")
+    rows = e.select(stream.alias("stream_id"), (F.col("user_id") % 100).alias("sensor_idx"), F.col("event_id").alias("seq"), F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))").alias("ms"), "value", F.lit(0).alias("quality"), F.lit(1).alias("time_quality"), F.lit(0).cast("long").alias("monotonic_ms"))
+    path = shared_folder(spark)
+    spool.write_spool(rows, path, max_samples=20_000)
+    streams = e.groupBy("event_type").agg(F.expr("max(event_id) div 2").alias("acked")).withColumn("stream_id", stream)
+    left = spool.replay(spool.read_spool(spark, path), streams.select("stream_id", "acked"))
+    return left.join(streams.select("stream_id", F.col("event_type").alias("stream")), "stream_id").select("stream", "seq", "ms", "value")
