@@ -29,20 +29,18 @@ def raw_sums(x: str, y: str) -> list[Column]:
     return [F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy")]
 
 
-def aligned_pairs(series: DataFrame, value: str, lags: list[int] | None = None, interval: int = 0) -> DataFrame:
-    """a, b (a < b), lag, x, y: values of two sensors at equal buckets, b's later by ``lag`` intervals."""
+def aligned_pairs(series: DataFrame, value: str) -> DataFrame:
+    """a, b (a < b), bucket, x, y: values of two sensors at equal buckets, for what needs the values themselves."""
     left = series.select(F.col("sensor_id").alias("a"), "bucket", F.col(value).alias("x"))
     right = series.select(F.col("sensor_id").alias("b"), "bucket", F.col(value).alias("y"))
-    if lags:
-        left = left.withColumn("lag", F.explode(F.array(*(F.lit(k) for k in lags)))).withColumn("bucket", F.col("bucket") + F.col("lag") * interval)
-    else:
-        left = left.withColumn("lag", F.lit(0))
     return left.join(right, "bucket").where("a < b")
 
 
 def correlations(series: DataFrame, value: str, lags: list[int] | None = None, interval: int = 0, min_overlap: int = 3) -> DataFrame:
     """a, b, lag, n, r of all pairs of sensors; r is null below ``min_overlap`` or without variance."""
-    sums = aligned_pairs(series, value, lags, interval).groupBy("a", "b", "lag").agg(*raw_sums("x", "y"))
+    from tidewell.operators.pairs import pair_sums
+
+    sums = pair_sums(series, value, lags, interval)
     return sums.select("a", "b", "lag", "n", F.when(F.col("n") >= min_overlap, pearson_of_sums()).alias("r"))
 
 

@@ -14,6 +14,7 @@ from tidewell.operators.windows import deltas
 from tidewell.plans.aggregates import HOUR, hourly
 from tidewell.plans.jobs import _E, _focus
 from tidewell.plans.registry import query
+from tidewell.plans.related import _fisher_sql
 from tidewell.plans.transforms import _LAGS, _STEPS
 
 _DELTAS = "SELECT sensor_id, bucket, agg_value - pv AS delta FROM d WHERE pv IS NOT NULL AND bucket - pb <= 18000"
@@ -120,13 +121,13 @@ def coverage_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_LAGS}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY coalesce(abs(r), -1) DESC, n DESC, abs(lag), lag) AS k FROM c) WHERE k = 1) SELECT_FROM SELECT a, b, lag, n, r, 1 - pow(1 - exp(-abs(r) * sqrt(n)), 13) AS corrected FROM b",
+    f"WITH {_LAGS}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY coalesce(abs(r), -1) DESC, n DESC, abs(lag), lag) AS k FROM c) WHERE k = 1) SELECT_FROM SELECT a, b, lag, n, r, 1 - pow(1 - ({_fisher_sql('r', 'n')}), 13) AS corrected FROM b",
     "r corrected",
 )
 def lag_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of thirteen lags, with a bound of its chance corrected for having been selected."""
+    """The best of thirteen lags, and the p of its correlation corrected for having been selected."""
     best = S.best_lag(S.correlations(hourly(spark, sf_dir), "agg_value", list(range(-6, 7)), HOUR))
-    return best.withColumn("corrected", S.sidak(F.exp(-F.abs("r") * F.sqrt("n")), 13))
+    return best.withColumn("corrected", S.sidak(S.fisher_p(F.col("r"), F.col("n").cast("double")), 13))
 
 
 @query(
@@ -136,7 +137,7 @@ def lag_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def correlation_of_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = stored(deltas(hourly(spark, sf_dir), HOUR, gap=5))
-    return S.correlations(steps, "delta")
+    return S.correlations(steps, "delta", interval=HOUR)
 
 
 # ---- rules over periods ------------------------------------------------------------------

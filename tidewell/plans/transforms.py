@@ -93,7 +93,7 @@ def rank_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PAIRS} SELECT_FROM SELECT a, b, 0 AS lag, n, {_PEARSON} AS r FROM (SELECT a, b, {_SUMS} FROM p GROUP BY 1, 2)", "r")
 def pearson_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.correlations(hourly(spark, sf_dir), "agg_value")
+    return S.correlations(hourly(spark, sf_dir), "agg_value", interval=HOUR)
 
 
 @query(
@@ -125,7 +125,7 @@ def correlation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a, b, n, n_eff, r, p, q, low, high, status: the correlation matrix with its inference."""
     h = hourly(spark, sf_dir)
     rho = S.lag1_autocorrelation(h, "agg_value", HOUR * 4096)
-    cells = S.correlations(h, "agg_value")
+    cells = S.correlations(h, "agg_value", interval=HOUR)
     cells = cells.join(rho.select(F.col("sensor_id").alias("a"), F.col("rho1").alias("ra")), "a", "left").join(rho.select(F.col("sensor_id").alias("b"), F.col("rho1").alias("rb")), "b", "left")
     cells = cells.withColumn("n_eff", S.effective_n(F.col("n"), F.col("ra"), F.col("rb")))
     cells = cells.withColumn("p", S.fisher_p(F.col("r"), F.col("n_eff").cast("double")))
