@@ -265,6 +265,16 @@ def best_matches(scores: DataFrame) -> DataFrame:
     return scores.groupBy("candidate").agg(F.max(rank).alias("b")).select("candidate", "b.lag", "b.pairs", "b.score", "b.agreement").withColumn("direction", label)
 
 
+def top_lags(scores: DataFrame, most: int = 3) -> DataFrame:
+    """candidate, lag, pairs, score, place: the best ``most`` lags of each candidate; then more pairs, a shorter lag, the lesser lag.
+
+    A lag that occurs more than once counts with its best score.
+    """
+    once = scores.groupBy("candidate", "lag").agg(F.max(F.struct("score", "pairs")).alias("b")).select("candidate", "lag", "b.pairs", "b.score")
+    w = Window.partitionBy("candidate").orderBy(F.desc(F.round("score", 12)), F.desc("pairs"), F.abs("lag"), "lag")
+    return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
 def delta_correlation(steps_of: DataFrame, focus: str, best: DataFrame, least: int = 10) -> DataFrame:
     """candidate, delta_corr: correlation of the differences at each candidate's best lag (null under ``least`` pairs)."""
     a = steps_of.where(F.col("sensor_id") == focus).select("bucket", F.col("delta").alias("x"))
@@ -384,6 +394,21 @@ def matrix_profile(buckets: DataFrame, points: int | None = None, window: int =
     return pairs.groupBy("sensor_id", "bucket").agg(F.min(F.struct("distance", "nearest")).alias("b")).select("sensor_id", "bucket", "b.distance", "b.nearest")
 
 
+def profile_extremes(profile: DataFrame, buckets: DataFrame, window: int, interval: int, most: int = 10) -> DataFrame:
+    """sensor_id, kind (motif or anomaly), place, start, end, distance, match_start, match_end: of each series' profile the
+    ``most`` subsequences that are nearest to another, and the most that are farthest from any.
+
+    An end is the last bucket of a subsequence and its ``interval``. Ties go to the earlier; subsequences without a match are neither.
+    """
+    found = profile.where("nearest is not null").select("sensor_id", F.col("bucket").alias("start"), F.round("distance", 9).alias("_d"), "distance", F.col("nearest").alias("match_start"))
+    pick = lambda kind, order: found.withColumn("place", F.row_number().over(Window.partitionBy("sensor_id").orderBy(order, "start"))).where(F.col("place") <= most).withColumn("kind", F.lit(kind))
+    both = pick("motif", F.asc("_d")).unionByName(pick("anomaly", F.desc("_d")))
+    places = numbered(buckets.select("sensor_id", "bucket")).select("sensor_id", "bucket", "k")
+    ends = places.join(places.select("sensor_id", F.col("bucket").alias("_last"), (F.col("k") - window + 1).alias("k")), ["sensor_id", "k"]).select("sensor_id", "bucket", (F.col("_last") + interval).alias("_end"))
+    out = both.join(ends.select("sensor_id", F.col("bucket").alias("start"), F.col("_end").alias("end")), ["sensor_id", "start"]).join(ends.select("sensor_id", F.col("bucket").alias("match_start"), F.col("_end").alias("match_end")), ["sensor_id", "match_start"])
+    return out.select("sensor_id", "kind", "place", "start", "end", "distance", "match_start", "match_end")
+
+
 @lru_cache(maxsize=256)
 def savitzky_golay_weights(window: int, degree: int, derivative: int = 0, at: int | None = None) -> np.ndarray:
     """Weights of the values in a window for the fitted polynomial (or a derivative) at one of them."""

@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.quantiles import quantiles
+from tidewell.operators.selection import greedy
 from tidewell.operators.sliding import rolling_percentiles
 from tidewell.operators.windows import previous
 
@@ -191,6 +193,20 @@ def backtest(buckets: DataFrame, node: dict[str, Any], interval: int, debounce:
     return firing(facts.select("sensor_id", "bucket", condition(node, value).alias("met")), interval, debounce, clear)
 
 
+def durations(firings: DataFrame, until: int) -> DataFrame:
+    """sensor_id, firings, open, total_s, mean_s, least_s, most_s, p50_s, p95_s of ``firings(sensor_id, start, end)``; one that is
+    still firing lasts to ``until``."""
+    d = firings.select("sensor_id", F.col("end").isNull().cast("int").alias("open"), (F.coalesce("end", F.lit(until)) - F.col("start")).alias("s"))
+    sums = d.groupBy("sensor_id").agg(F.count("*").alias("firings"), F.sum("open").alias("open"), F.sum("s").alias("total_s"), F.avg("s").alias("mean_s"), F.min("s").alias("least_s"), F.max("s").alias("most_s"))
+    q = quantiles(d, ["sensor_id"], "s", [0.5, 0.95])
+    return sums.join(q, "sensor_id").select("sensor_id", "firings", "open", "total_s", "mean_s", "least_s", "most_s", F.col("_q")[0].alias("p50_s"), F.col("_q")[1].alias("p95_s"))
+
+
+def with_cooldown(alarms: DataFrame, keys: list[str], time: str, seconds: int = 300) -> DataFrame:
+    """Of ``alarms`` those that are raised: the first of each key, and then each that comes ``seconds`` or more after the last raised."""
+    return greedy(alarms, keys, time, seconds - 1, [F.col(time)])
+
+
 def _windows(node: dict[str, Any]) -> set[tuple[str, int]]:
     """(statistic, seconds) of the windows that a condition reads."""
     if node["type"] == "rolling_window":

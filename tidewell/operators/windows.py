@@ -86,8 +86,13 @@ def rolling_mean_at(metrics: DataFrame, width: int, every: int) -> DataFrame:
     return spread.groupBy("sensor_id", F.expr(f"emit div {US}").alias("emit")).agg(F.avg("value").alias("value"), F.count("*").alias("samples"))
 
 
-def hour_residual(buckets: DataFrame, value: str = "agg_value") -> DataFrame:
-    """sensor_id, bucket, residual: values less the sensor's mean for that hour of the day."""
+def hour_residual(buckets: DataFrame, value: str = "agg_value", horizon: int | None = None) -> DataFrame:
+    """sensor_id, bucket, residual: values less the sensor's mean for that hour of the day.
+
+    horizon: the seconds that are looked at; under two days there are no hours to compare, and the values stay as they are.
+    """
+    if horizon is not None and horizon < 2 * 86_400:
+        return buckets.select("sensor_id", "bucket", F.col(value).alias("residual"))
     hour = F.expr("(bucket div 3600) % 24")
     means = buckets.groupBy("sensor_id", hour.alias("hour")).agg(F.avg(value).alias("mean"))
     return buckets.withColumn("hour", hour).join(means, ["sensor_id", "hour"]).select("sensor_id", "bucket", (F.col(value) - F.col("mean")).alias("residual"))

@@ -136,12 +136,42 @@ def unified_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.unified_rank(best, shared)
 
 
-@query()
+_PROFILE = """n AS (SELECT sensor_id, bucket, agg_value AS v, row_number() OVER (PARTITION BY sensor_id ORDER BY bucket) AS k, count(*) OVER (PARTITION BY sensor_id) AS size FROM h),
+    w AS (SELECT a.sensor_id, a.bucket, a.k, list(b.v ORDER BY b.k) AS v FROM n AS a JOIN n AS b ON a.sensor_id = b.sensor_id AND b.k BETWEEN a.k AND a.k + 31 WHERE a.size > 32 GROUP BY 1, 2, 3 HAVING count(*) = 32),
+    s AS (SELECT *, list_avg(v) AS mean, list_stddev_pop(v) AS std FROM w),
+    zs AS (SELECT sensor_id, bucket, k, std <= 1e-12 AS flat, [CASE WHEN std > 1e-12 THEN (x - mean) / std ELSE 0.0 END FOR x IN v] AS z FROM s),
+    pd AS (SELECT a.sensor_id, a.bucket, b.bucket AS nearest, CASE WHEN a.flat AND b.flat THEN 0.0 ELSE sqrt(greatest(0.0, list_dot_product(a.z, a.z) + list_dot_product(b.z, b.z) - 2 * list_dot_product(a.z, b.z))) END AS distance
+      FROM zs AS a JOIN zs AS b ON a.sensor_id = b.sensor_id AND abs(a.k - b.k) > 16),
+    pr AS (SELECT sensor_id, bucket, min(distance) AS distance, arg_min(nearest, (round(distance, 9), nearest)) AS nearest FROM pd GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_PROFILE} SELECT_FROM SELECT * FROM pr", "distance")
 def matrix_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.matrix_profile(hourly(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {_PROFILE}, pe AS (SELECT n.sensor_id, n.bucket, o.bucket + 3600 AS stop FROM n JOIN n AS o ON o.sensor_id = n.sensor_id AND o.k = n.k + 31),
+      r AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY round(distance, 9), bucket) AS near, row_number() OVER (PARTITION BY sensor_id ORDER BY round(distance, 9) DESC, bucket) AS far FROM pr),
+      e2 AS (SELECT sensor_id, 'motif' AS kind, near AS place, bucket, nearest, distance FROM r WHERE near <= 5 UNION ALL SELECT sensor_id, 'anomaly', far, bucket, nearest, distance FROM r WHERE far <= 5)
+    SELECT_FROM SELECT e2.sensor_id, kind, CAST(place AS INTEGER) AS place, e2.bucket AS start, a.stop AS "end", distance, nearest AS match_start, b.stop AS match_end FROM e2 JOIN pe AS a ON a.sensor_id = e2.sensor_id AND a.bucket = e2.bucket JOIN pe AS b ON b.sensor_id = e2.sensor_id AND b.bucket = e2.nearest""",
+    "distance",
+)
+def profile_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best motifs and the five farthest anomalies of each series."""
+    h = stored(hourly(spark, sf_dir))
+    return events.profile_extremes(stored(events.matrix_profile(h)), h, 32, HOUR, 5)
+
+
+_WEIGHTS = ", ".join(f"({at}, {j}, {w!r})" for at in range(7) for j, w in enumerate(events.savitzky_golay_weights(7, 2, 0, at).tolist()))
+
+
+@query(
+    f"""WITH n AS (SELECT sensor_id, bucket, agg_value AS v, row_number() OVER (PARTITION BY sensor_id ORDER BY bucket) - 1 AS k, count(*) OVER (PARTITION BY sensor_id) AS size FROM h),
+      f AS (SELECT *, greatest(0, least(k - 3, size - 7)) AS first FROM n), g(p, j, w) AS (VALUES {_WEIGHTS})
+    SELECT_FROM SELECT f.sensor_id, f.bucket, CASE WHEN any_value(f.size) < 7 THEN any_value(f.v) ELSE sum(n.v * w) END AS smooth FROM f JOIN n ON n.sensor_id = f.sensor_id AND n.k BETWEEN f.first AND f.first + 6 JOIN g ON g.p = least(6, f.k - f.first) AND g.j = n.k - f.first GROUP BY 1, 2""",
+    "smooth",
+)
 def savgol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.savitzky_golay(hourly(spark, sf_dir), 7, 2)
 
@@ -182,12 +212,32 @@ def rule_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.window_facts(hourly(spark, sf_dir), [86400]).select("sensor_id", "bucket", rules.condition(rule, "agg_value").alias("met"))
 
 
-@query()
+_FIRINGS = """WITH w AS (SELECT sensor_id, bucket, coalesce(avg(agg_value) OVER (PARTITION BY sensor_id ORDER BY bucket RANGE BETWEEN 21599 PRECEDING AND CURRENT ROW) > 45, false) AS met FROM h),
+    l AS (SELECT *, CASE WHEN met = lag(met) OVER (PARTITION BY sensor_id ORDER BY bucket) THEN 0 ELSE 1 END AS f FROM w),
+    g AS (SELECT *, sum(f) OVER (PARTITION BY sensor_id ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS run FROM l),
+    r AS (SELECT sensor_id, run, any_value(met) AS met, min(bucket) AS a, max(bucket) AS b FROM g GROUP BY 1, 2),
+    t AS (SELECT sensor_id, run, met, a + 3600 + CASE WHEN met THEN 7200 ELSE 3600 END AS due FROM r WHERE b - a >= CASE WHEN met THEN 7200 ELSE 3600 END),
+    c AS (SELECT * FROM (SELECT *, coalesce(lag(met) OVER (PARTITION BY sensor_id ORDER BY run), false) AS was FROM t) WHERE met <> was),
+    fi AS (SELECT * FROM (SELECT sensor_id, met, due AS start, lead(due) OVER (PARTITION BY sensor_id ORDER BY run) AS stop FROM c) WHERE met)"""
+
+
+@query(f'{_FIRINGS} SELECT_FROM SELECT sensor_id, start, stop AS "end" FROM fi')
 def rule_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = {"type": "rolling_window", "stat": "mean", "seconds": 6 * HOUR, "op": "gt", "value": 45}
     return rules.backtest(hourly(spark, sf_dir), rule, HOUR, debounce=2 * HOUR, clear=HOUR)
 
 
+@query(
+    f"""{_FIRINGS}, du AS (SELECT sensor_id, stop IS NULL AS open, coalesce(stop, 1706659200) - start AS s FROM fi)
+    SELECT_FROM SELECT sensor_id, count(*) AS firings, count(*) FILTER (WHERE open) AS open, CAST(sum(s) AS BIGINT) AS total_s, avg(s) AS mean_s, min(s) AS least_s, max(s) AS most_s, quantile_cont(s, 0.5) AS p50_s, quantile_cont(s, 0.95) AS p95_s FROM du GROUP BY 1""",
+    "mean_s p50_s p95_s",
+)
+def backtest_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long the rule of the backtest fired, by series."""
+    rule = {"type": "rolling_window", "stat": "mean", "seconds": 6 * HOUR, "op": "gt", "value": 45}
+    return rules.durations(rules.backtest(hourly(spark, sf_dir), rule, HOUR, debounce=2 * HOUR, clear=HOUR), 1_706_659_200)
+
+
 @query(
     """WITH e AS (SELECT sensor_id, us // 1000000 AS t, CAST(value AS INTEGER) % 4 AS severity, quality = 2 AS resolved FROM u WHERE value > 50),
       n AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR (t - lag(t) OVER w > 7200 AND NOT resolved) THEN 1 ELSE 0 END AS f FROM e WINDOW w AS (PARTITION BY sensor_id ORDER BY t)),

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from tidewell.functions import expressions as X
 from tidewell.functions import stats as S
 from tidewell.model import US, day_start, local_time, metrics, micros, read
+from tidewell.operators import events, unified
 from tidewell.operators import related as R
 from tidewell.operators.quantiles import quantiles
 from tidewell.operators.storage import stored
+from tidewell.operators.windows import deltas
 from tidewell.plans.aggregates import HOUR, hourly
+from tidewell.plans.jobs import _Z as JOB_Z
 from tidewell.plans.registry import query
 from tidewell.plans.transforms import _PAIRS, _PEARSON, _RHO, _STEPS, _SUMS, correlation_cells
 
@@ -188,3 +191,47 @@ SELECT_FROM SELECT a, b, n, n_eff, r, p, q, {_interval_sql("r", "n_eff", "-")} A
 @query(CORRELATION_SQL, "r p q low high")
 def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlation_cells(spark, sf_dir)
+
+
+# ---- one ranking ----------------------------------------------------------------------------
+
+_START, _END = 1_704_067_200, 1_706_659_200
+_FINE = "hh AS (SELECT sensor_id || '-' || quality AS sensor_id, CAST(floor(us / 3600e6) * 3600 AS BIGINT) AS bucket, avg(value) AS agg_value FROM m WHERE quality IS NOT NULL GROUP BY 1, 2)"
+_UNIFIED = f"""{_FINE}, {JOB_Z.replace("FROM h ", "FROM hh ")},
+      ev AS (SELECT sensor_id, bucket, z FROM z WHERE abs(z) >= 1.5),
+      pt AS (SELECT unnest([0, 1, 2, 3]) AS part, unnest([{_START}, {_START}, {_START + 864_000}, {_START + 2 * 864_000}]) AS lo, unnest([{_END}, {_START + 864_000}, {_START + 2 * 864_000}, {_END}]) AS hi),
+      ep AS (SELECT part, sensor_id, bucket, z, least(abs(z), 15) AS w FROM ev JOIN pt ON bucket BETWEEN lo AND hi),
+      xp AS (SELECT part, sensor_id, bucket, delta FROM x JOIN pt ON bucket BETWEEN lo AND hi),
+      fo AS (SELECT part, bucket, z AS fz, w AS fw FROM ep WHERE sensor_id = 'click-0'), ca AS (SELECT part, sensor_id AS candidate, bucket, z AS cz, w AS cw FROM ep WHERE sensor_id <> 'click-0'),
+      ow AS (SELECT part, sum(fw) AS fs, count(*) AS nf, avg(fw) AS fm FROM fo GROUP BY 1), ea AS (SELECT part, candidate, sum(cw) AS cs, count(*) AS nc, avg(cw) AS cm FROM ca GROUP BY 1, 2),
+      lg AS (SELECT CAST(unnest(range(-6, 7)) * 3600 AS INTEGER) AS lag),
+      me AS (SELECT fo.part, candidate, lag, count(*) AS overlap, sum(least(fw, cw)) AS o, avg(CASE WHEN fz * cz >= 0 THEN 1.0 ELSE 0.0 END) AS agreement FROM fo CROSS JOIN lg JOIN ca ON ca.part = fo.part AND ca.bucket = fo.bucket + lag GROUP BY 1, 2, 3),
+      sc AS (SELECT me.*, least(1.0, 2 * o / (fs + cs)) AS score, CASE WHEN nc <= nf THEN 1.0 ELSE greatest(0.25, sqrt(nf / nc)) END AS penalty FROM me JOIN ea USING (part, candidate) JOIN ow USING (part)),
+      bm AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY part, candidate ORDER BY round(score, 9) DESC, overlap DESC, abs(lag), lag) = 1),
+      sz AS (SELECT part, bucket FROM ep GROUP BY 1, 2 HAVING count(DISTINCT sensor_id) < 10 AND count(DISTINCT sensor_id) < 0.5 * (SELECT count(DISTINCT sensor_id) FROM ep AS y WHERE y.part = ep.part)),
+      sh AS (SELECT fo.part, candidate, count(*) AS shared, sum(fw * cw) / count(*) AS average FROM fo JOIN ca USING (part, bucket) JOIN sz USING (part, bucket) GROUP BY 1, 2),
+      su AS (SELECT sh.*, least(10.0, average / (fm * cm)) AS surprise FROM sh JOIN ea USING (part, candidate) JOIN ow USING (part)),
+      dp AS (SELECT b.part, b.candidate, f.delta AS x, c.delta AS y FROM bm AS b JOIN xp AS c ON c.part = b.part AND c.sensor_id = b.candidate JOIN xp AS f ON f.part = b.part AND f.sensor_id = 'click-0' AND f.bucket = c.bucket - b.lag),
+      dc AS (SELECT part, candidate, CASE WHEN count(*) >= 10 THEN corr(x, y) END AS delta_corr FROM dp GROUP BY 1, 2),
+      al AS (SELECT coalesce(bm.part, su.part) AS part, coalesce(bm.candidate, su.candidate) AS candidate, lag, score, overlap, agreement, penalty, shared, average, surprise FROM bm FULL JOIN su ON bm.part = su.part AND bm.candidate = su.candidate),
+      jn AS (SELECT al.*, delta_corr FROM al LEFT JOIN dc USING (part, candidate)),
+      bl AS (SELECT *, 0.5 * coalesce(score / max(score) OVER p, 0) + 0.3 * coalesce(surprise * coalesce(penalty, 1) / max(surprise * coalesce(penalty, 1)) OVER p, 0) + 0.2 * coalesce(abs(delta_corr), 0) AS blend FROM jn WINDOW p AS (PARTITION BY part)),
+      ti AS (SELECT *, CASE WHEN blend >= 0.75 AND (coalesce(overlap, 0) >= 2 OR coalesce(shared, 0) >= 2) THEN 3 WHEN blend >= 0.35 AND (coalesce(overlap, 0) >= 1 OR coalesce(shared, 0) >= 1) THEN 2 ELSE 1 END AS t FROM bl WHERE blend > 0),
+      rn AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY round(blend, 9) DESC, t DESC, coalesce(shared, 0) DESC, coalesce(overlap, 0) DESC, candidate) AS rank FROM ti),
+      st AS (SELECT count(*) / 30.0 AS stability FROM rn WHERE part > 0 AND rank <= 10 AND candidate IN (SELECT candidate FROM rn WHERE part = 0 AND rank <= 10)),
+      pa AS (SELECT unnest(['view-1', 'signup-2', 'purchase-0']) AS candidate, unnest(['view-1>click-0', 'signup-2>view-1>click-0', 'purchase-0>click-0']) AS path)
+    SELECT_FROM SELECT candidate, CAST(rank AS INTEGER) AS rank, blend, ['low', 'medium', 'high'][t] AS tier, lag, score, overlap, agreement, penalty, shared, average, surprise, delta_corr, stability,
+      CASE WHEN stability >= 0.8 THEN 'high' WHEN stability >= 0.5 THEN 'medium' ELSE 'low' END AS stability_tier, path FROM rn CROSS JOIN st LEFT JOIN pa USING (candidate) WHERE part = 0"""
+
+
+@query(f"WITH {_UNIFIED}", "blend score agreement penalty average surprise delta_corr stability")
+def related_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything related to one of fifteen series: matches, shared buckets, changes, tiers with support, stability, dependency paths."""
+    m = metrics(spark, sf_dir).where("quality is not null")
+    h = stored(m.groupBy(F.concat_ws("-", "sensor_id", "quality").alias("sensor_id"), (F.floor(F.col("us") / (HOUR * US)) * HOUR).alias("bucket")).agg(F.avg("value").alias("agg_value")))
+    changes = stored(deltas(h, HOUR, gap=5))
+    found = events.zscores(changes).where("abs(z) >= 1.5")
+    edges = spark.createDataFrame([("view-1", "click-0"), ("signup-2", "view-1"), ("purchase-0", "view-1"), ("purchase-0", "click-0"), ("view-1", "signup-2")], "node string, input string")
+    how = unified.Ranking(0.5, 0.3, 0.2, surprise=True, include_low=True, strip_system_wide=True)
+    out = unified.related(found, changes, "click-0", _START, _END, [k * HOUR for k in LAGS], how, edges)
+    return out.withColumn("path", F.when(F.col("path").isNotNull(), F.concat_ws(">", "path")))
