@@ -26,6 +26,7 @@ import json
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import count
 
@@ -54,7 +55,7 @@ class WordIds:
     strings of special tokens, or with characters that are not ``settled``, go to the library whole.
     """
 
-    def __init__(self, file: bytes, cache_size: int = 400_000):
+    def __init__(self, file: bytes, cache_size: int = 600_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(file.decode("utf-8"))
@@ -73,7 +74,7 @@ class WordIds:
             if len(parts) > 1:
                 return b"".join(map(self._word, parts))
         spelled = word if word.isascii() and word.isprintable() else "".join(self.letters[b] for b in word.encode("utf-8"))
-        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -161,6 +162,8 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
     fill = [sum(lengths[i] for i in b) for b in bins]
     live = [k for k in range(len(bins)) if 0 < fill[k] < capacity]
     changed = False
+    falling: dict[int, list[int]] = {}  # items of a bin by length, until it changes
+    rising: dict[int, list[tuple[int, int]]] = {}
     while len(live) > 1 or changed:
         if len(live) <= 1:  # what could not be emptied may be emptied now
             live, changed = [k for k in range(len(bins)) if 0 < fill[k] < capacity], False
@@ -169,7 +172,11 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
         giver = live[0]
         for taker in reversed(live[1:]):
             room = capacity - fill[taker]
-            step = _exchange(bins[giver], bins[taker], lengths, room, fill[giver], fill[taker])
+            if giver not in falling:
+                falling[giver] = sorted(bins[giver], key=lambda i: -lengths[i])
+            if taker not in rising:
+                rising[taker] = sorted((lengths[j], j) for j in bins[taker])
+            step = _best_exchange(falling[giver], rising[taker], lengths, room, fill[giver], fill[taker])
             if step is None:
                 continue
             out, back = step
@@ -178,6 +185,9 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
             bins[taker] = [i for i in bins[taker] if i not in back] + out
             fill[giver] -= gain
             fill[taker] += gain
+            for k in (giver, taker):
+                falling.pop(k, None)
+                rising.pop(k, None)
             live = [k for k in live if 0 < fill[k] < capacity]
             changed = True
             break
@@ -188,12 +198,18 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
 
 def _exchange(give: list[int], take: list[int], lengths: list[int], room: int, giver_fill: int, taker_fill: int) -> tuple[list[int], list[int]] | None:
     """(items that go to the taker, items that come back) with the best gain, or None."""
+    return _best_exchange(sorted(give, key=lambda i: -lengths[i]), sorted((lengths[j], j) for j in take), lengths, room, giver_fill, taker_fill)
+
+
+def _best_exchange(give: list[int], ordered: list[tuple[int, int]], lengths: list[int], room: int, giver_fill: int, taker_fill: int) -> tuple[list[int], list[int]] | None:
+    """The same, of the giver's items by falling and the taker's (length, item) by rising length."""
     best, found = 0, None
-    ordered = sorted((lengths[j], j) for j in take)
-    for i in sorted(give, key=lambda i: -lengths[i]):
+    for i in give:
         size = lengths[i]
         if size <= room:
             return [i], []  # a move
+        if best == room:
+            continue  # no exchange gains more, but a move would go before
         # The gain size - back must be at most room: back is the least sum that is enough.
         at = bisect.bisect_left(ordered, (size - room, -1))
         if at < len(ordered) and best < (gain := size - ordered[at][0]):
