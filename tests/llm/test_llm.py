@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -413,10 +414,10 @@ def test_toxicity(spark, docs):
     assert toxicity.without_toxic(d, labels).columns == d.columns and toxicity.grade_documents(d.limit(0), labels).count() == 0
 
 
-def test_toxicity_on_labels_that_were_not_learned_from(spark):
+def test_toxicity_on_labels_that_were_not_learned_from(spark, sf_dir):
     from tidewell.llm.common import fold
 
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"{Path(sf_dir).parent}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     graded = toxicity.grade_documents(docs, labels.where(fold("doc_id") != 2)).withColumnRenamed("toxic", "found")
     got = graded.join(labels.where(fold("doc_id") == 2), "doc_id").toPandas()
     assert got.found[got.toxic == 1].mean() >= 0.85 and got.found[got.toxic == 0].mean() <= 0.02
@@ -653,6 +654,31 @@ def test_clashing_columns(spark):
     assert toxicity.without_toxic(extra, labels).columns == langid.without_unknown(extra).columns == extra.columns
 
 
+def test_texts_of_a_million_characters(spark):
+    """Whole, in every operator on texts; two that differ in one word are near copies."""
+    rng = np.random.default_rng(21)
+    words = [f"{a}{b}" for a in ("bel", "cor", "dan", "fer", "gil") for b in ("amo", "ente", "isk", "oru", "ula")]
+    long = " ".join(rng.choice(words, 150_000))
+    other = long.replace(" ", " changed ", 1)
+    docs = spark.createDataFrame([(1, long, "xx", None, None), (3, other, "xx", None, None), (4, "short text", "xx", None, None)], DOCS)
+    labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, toxic int, quality int")
+    assert len(long) > 1_000_000
+    scored = {r["doc_id"]: r for r in context_tree.score_documents(docs).collect()}
+    assert scored[1]["n_tokens"] == 150_001 and scored[3]["n_tokens"] == 150_002
+    assert {r["doc_id"]: r["class_id"] for r in lsh_forest.jaccard_classes(docs).collect()} == {1: 1, 3: 1, 4: 4}
+    assert {r["lang_pred"] for r in langid.identify(docs).collect()} == {"xx"}
+    assert not any(r["toxic"] for r in toxicity.grade_documents(docs, labels).collect())
+    pieces = packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json")).toPandas()
+    assert all(sorted(p.start) == list(range(0, int(p.length.sum()), 4096)) for _, p in pieces.groupby("doc_id")) and pieces[pieces.doc_id == 1].length.sum() > 150_000
+    page = spark.createDataFrame([(1, "u", f"<body><nav><a href=x>Menu</a></nav><article><p>{long}</p><p>{other}</p></article></body>")], "page_id long, url string, html string")
+    assert html_content.extract_pages(page).first()["text"] == f"{long}\n{other}"
+    assert warc.archive_pages(page).first()["payload_bytes"] == len(page.first()["html"])
+
+
+def test_html_of_no_pages(spark):
+    assert html_content.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage against a brute-force version, on what its predecessor kept."""
     import corpus_pipeline
