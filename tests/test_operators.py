@@ -351,3 +351,13 @@ def test_detector_skips_gaps(spark):
     b = spark.createDataFrame([("s", t, v) for t, v in steps], "sensor_id string, bucket long, agg_value double")
     assert 3600 in {r["bucket"] for r in detect_changes(b, 60, "delta", 3.0, gap=0).collect()}
     assert 3600 not in {r["bucket"] for r in detect_changes(b, 60, "delta", 3.0, gap=5).collect()}
+
+
+def test_intermediate_tables_are_removed(spark):
+    from tidewell.operators import storage
+
+    storage.clean_up(spark)
+    df = storage.stored(spark.range(5))
+    assert df.count() == 5
+    folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert storage.clean_up(spark) == 1 and not __import__("os").path.exists(folder) and storage.clean_up(spark) == 0

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.model import US
+from tidewell.operators.storage import stored
 
 SHARDS = 16
 LAKE = "sensor_id string, us bigint, value double, quality int, inserted_at bigint, date string, shard string"
@@ -81,9 +82,8 @@ def compact(spark: SparkSession, path: str, staging: str, more_than: int = 10) -
 
     The rows go through ``staging``, since a partition cannot be read while it is replaced.
     """
-    busy = spark.createDataFrame(inspect(spark, path).where(F.col("files") > more_than).toArrow(), "date string, shard string, files bigint, rows bigint")  # a row for each day and shard
-    names = busy.select("date", "shard")
-    rows = spark.read.schema(LAKE).parquet(path).join(F.broadcast(names), ["date", "shard"], "left_semi")
+    busy = stored(inspect(spark, path).where(F.col("files") > more_than))
+    rows = spark.read.schema(LAKE).parquet(path).join(busy.select("date", "shard"), ["date", "shard"], "left_semi")
     last_ingested(rows).write.mode("overwrite").parquet(staging)
     overwrite_days(spark.read.schema(LAKE).parquet(staging), path)
     return busy
@@ -109,11 +109,12 @@ def repaired(source: DataFrame, target_us: int, since_us: int | None = None) ->
     return source.withColumn("inserted_at", F.when(F.col("inserted_at").isNull() & recent, F.lit(target_us)).otherwise(F.col("inserted_at")))
 
 
-def _delete(spark: SparkSession, path: str) -> bool:
-    """Remove a folder through the file system that Spark uses for it."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder, if it is there, through the file system that Spark uses for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.delete(at, True) and files.exists(at):
+        raise OSError(f"{path} could not be removed")
 
 
 def backfill(source: DataFrame, path: str, day: str, shards: int = SHARDS, cold: str | None = None) -> None:
@@ -157,7 +158,7 @@ def tiers(spark: SparkSession, hot: str, cold: str, **options) -> DataFrame:
     """Points of both tiers; a partition that is in the hot tier is not read from the cold one."""
     a, b = (read_points(spark, p, dedupe=False, **options) for p in (hot, cold))
     owned = a.select("date", "shard").distinct()
-    return last_ingested(a.unionByName(b.join(F.broadcast(owned), ["date", "shard"], "left_anti")))
+    return last_ingested(a.unionByName(b.join(owned, ["date", "shard"], "left_anti")))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], ignore: bool = False) -> DataFrame:
