@@ -5,8 +5,10 @@ to the main text, positive in prose and negative in what looks like a menu, foot
 scores negative, more so where its block is mostly links. One scan from left to right finds the
 contiguous region with the greatest sum (the earliest of equals), which is widened to whole blocks; of
 its blocks those whose words score negative are left out, such as a share bar or the readers' comments
-within an article. Outside an article or main element nothing else decides; inside one, the negative
-scores are bounded for the scan, so that a long table or a menu does not cut the article in two.
+within an article. Outside an article or main element nothing else decides on the region; inside one, the negative
+scores are bounded for the scan, so that a long table or a menu does not cut the article in two. The element
+(div, section and the like, not the body) that directly holds most of the region's words gives its other
+blocks with positive words too, such as a short title before a box, around which the scan goes.
 
 The weights are learned from labelled pages (``labelled_pages``) by two logistic regressions, of
 words and of tags. Features of a word: the element it is in (article or main, menu, header, footer,
@@ -14,7 +16,8 @@ aside, form), whether its block is a heading or mostly links, and the parts of t
 around it, each by what the labelled pages show of it, once for a container and once for the block
 itself. Names are no features where their element is a wrapper (has-sidebar, search-page): it holds the
 page's main element; an article, unless it stands beside a main; or, with no article or main beside it,
-at least half of the words outside links of the article, main or page that it is in.
+at least half of the words outside links of the article, main or page that it is in (not if it is named as
+comments, of which there may be more than of the article).
 
 Hard rules are left for what is never text: scripts, styles, the head, form controls, embedded objects
 and hidden elements. A header inside an article or main contributes its headings only.
@@ -64,6 +67,7 @@ OWN_NAMES = "content post entry story article body text lead intro summary main
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())  # any other tag ends the head
 #: Block elements that hold other blocks; a name on one of the others is the block's own.
 CONTAINERS = frozenset("aside body center details dialog div dl fieldset figure footer form header html main nav ol section table tbody tfoot thead tr ul article hgroup menu".split())
+HOMES = frozenset("div section article main center td".split())  # elements that hold an article's blocks
 COMMENT_NAMES = frozenset("comment comments commentlist reply replies respond".split())  # an article named so is a reader's
 KIND_OF = {name: kind for kind, names in BESIDE_NAMES.items() for name in names}
 _CLOSED_BY = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -112,6 +116,8 @@ class _Part:
     def is_wrapper(self, page: _Part) -> bool:
         if self.mains or self.articles:
             return bool(self.mains or self.in_main or not page.mains)
+        if any(KIND_OF.get(n) == "comments" for n in self.names):
+            return False  # readers may well write more than the article has
         return not (self.scope.mains or self.scope.articles) and 0 < self.scope.words <= 2 * self.words
 
 
@@ -129,6 +135,7 @@ class _Open:
     own_header: bool = False  # in the header of an article, of which the headings alone are text
     part: _Part | None = None
     scope: _Part | None = None
+    home: int = 0
 
 
 @dataclass(slots=True)
@@ -141,6 +148,7 @@ class Event:
     features: frozenset[str]
     inside: bool
     link: bool = False
+    home: int = 0  # the number of the innermost element of ``HOMES`` around it; 0: none
 
 
 def events(html: str) -> list[Event]:
@@ -151,7 +159,7 @@ def events(html: str) -> list[Event]:
     stack: list[_Open] = []
     parts: list[_Part] = []  # outer ones first
     own_names: dict[int, frozenset[str]] = {}  # names of the innermost block element of a block
-    block = at = 0
+    block = at = homes = 0
 
     def text(run: str) -> None:
         if not run:
@@ -165,7 +173,7 @@ def events(html: str) -> list[Event]:
         if top.own_header and not top.heading and not blank:
             return
         features = top.zones | {"heading"} if top.heading else top.zones
-        out.append((Event("", " " if blank else unescape(run), block, features, top.inside, top.link), top.part))
+        out.append((Event("", " " if blank else unescape(run), block, features, top.inside, top.link, top.home), top.part))
         if not blank and not top.link:
             n = len(run.split())
             top.scope.add(n)
@@ -182,7 +190,7 @@ def events(html: str) -> list[Event]:
         if name in BLOCKS:
             block += 1
         elif name == "br" and not top.hard:
-            out.append((Event("", " ", block, top.zones, top.inside), top.part))
+            out.append((Event("", " ", block, top.zones, top.inside, home=top.home), top.part))
         if found[1]:
             if any(o.name == name for o in stack):
                 while stack.pop().name != name:
@@ -200,7 +208,10 @@ def events(html: str) -> list[Event]:
                     at = len(html)
             elif name not in VOID and not (found[3].endswith("/") and name not in BLOCKS):
                 hard = top.hard or zone == "hard" or name == "head"
-                opened = _Open(name, hard, top.zones, top.inside, top.in_main or name == "main", top.link or name == "a", top.heading or name in HEADINGS, top.own_header or name == "header" and top.inside, top.part, top.scope)
+                opened = _Open(name, hard, top.zones, top.inside, top.in_main or name == "main", top.link or name == "a", top.heading or name in HEADINGS, top.own_header or name == "header" and top.inside, top.part, top.scope, top.home)
+                if name in HOMES:
+                    homes += 1
+                    opened.home = homes
                 if name in ("article", "main") and not hard:
                     if name == "main" or COMMENT_NAMES.isdisjoint(_names(found[3])):
                         for part in filter(None, (top.scope, top.part)):
@@ -319,12 +330,13 @@ def extract(html: str | None, weights: Weights) -> str:
     if not html:
         return ""
     stream = events(html)
-    scores, total, blocks = [], Counter(), {}
+    scores, total, blocks, home_of = [], Counter(), {}, {}
     for event in stream:
         if event.tag:
             score = max(weights.tag(event), -0.05 if event.inside else -2.0)
         else:
             blocks.setdefault(event.block, []).append(event.text)
+            home_of.setdefault(event.block, event.home)
             n = len(event.text.split())
             each = min(max(weights.word(event), -3.0), 3.0)
             total[event.block] += each * n
@@ -334,6 +346,16 @@ def extract(html: str | None, weights: Weights) -> str:
     if start == end:
         return ""
     first, last = stream[start].block, stream[end - 1].block
+    # What stands in the region's own element belongs to it, though an advert or a box cuts it off: the scan goes
+    # around a short title, or a last paragraph, that costs less than what lies between.
+    words_in = Counter()
+    for block in blocks:
+        if first <= block <= last and total[block] > 0:
+            words_in[home_of[block]] += sum(len(run.split()) for run in blocks[block])
+    home = max(words_in, key=lambda h: (words_in[h], -h), default=0)
+    if home:
+        own = [block for block in blocks if home_of[block] == home and total[block] > 0]
+        first, last = min(first, *own), max(last, *own)
     return "\n".join(filter(None, (" ".join("".join(runs).split()) for block, runs in blocks.items() if first <= block <= last and total[block] > 0)))
 
 
