@@ -172,6 +172,21 @@ def test_html_keeps_articles_in_wrappers():
     assert html_content.extract(f"<body><main>{body}</main><div class='related'><article>{body}</article></div></body>", weights) == want
 
 
+def test_html_keeps_what_stands_in_the_articles_own_element():
+    weights = html_content.default_weights()
+    body = "<p>The ferry leaves the harbour at nine and reaches the island before noon on most days, whatever the weather.</p><p>Its crew of six has sailed together for many years.</p>"
+    want = [*("The ferry leaves the harbour at nine and reaches the island before noon on most days, whatever the weather.", "Its crew of six has sailed together for many years.")]
+    box = "<div class='widget'><h3>More of this</h3><p>" + "Other readers liked these stories of the sea " * 3 + "</p></div>"
+    comments = "<div id='disqus'>" + "<p>I went there once and did not like it at all, said a reader</p>" * 9 + "</div>"
+    for page, blocks in (
+        (f"<body><div><h1>Ferry</h1>{box}{body}</div></body>", ["Ferry", *want]),  # a short title before a box
+        (f"<body><div>{body}{box}{box}<p>The end.</p></div><div>{box}</div></body>", [*want, "The end."]),
+        (f"<body><div class='content'><h1>Ferry</h1>{body}</div>{comments}</body>", ["Ferry", *want]),  # more comments than article
+        (f"<body><div><p>Buy now! 50% off!</p></div>{box}<div>{body}</div></body>", want),  # another element's
+    ):
+        assert html_content.extract(page, weights) == "\n".join(blocks), page
+
+
 def test_html_region_is_not_cut_by_tables_lists_or_names():
     weights = html_content.default_weights()
     first, last = "The ferry leaves the harbour at nine and reaches the island before noon on most days.", "Its crew of six has sailed together for many years."
@@ -194,8 +209,8 @@ def test_html_on_pages_that_were_not_learned_from(spark, sf_dir):
     from html import unescape
 
     weights = html_content.default_weights()
-    right = sum(html_content.extract(html, weights) == "\n".join(main) for html, main in html_content.labelled_pages(200, seed=7))
-    assert right >= 180
+    for seed in (7, 77):
+        assert sum(html_content.extract(html, weights) == "\n".join(main) for html, main in html_content.labelled_pages(200, seed=seed)) >= 195
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():  # their articles hold everything that is wanted
         article = re.search("<article>(.*)</article>", r["html"], re.S)[1].replace("<br>", " ")
         blocks = (" ".join(unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1|ul|li|div)>", article))
