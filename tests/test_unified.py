@@ -33,6 +33,7 @@ def test_evidence_tiers_and_paths(spark, events, changes):
     assert (twin["rank"], twin["lag"], twin["score"], twin["overlap"], twin["agreement"]) == (1, H, 1.0, 7, 1.0) and twin["delta_corr"] == pytest.approx(-1.0) and twin["shared"] is None
     assert twin["path"] == ["twin", "middle", "focus"] and got["busy"]["path"] is None and twin["blend"] == pytest.approx(0.7) and twin["tier"] == "medium"
     assert got["busy"]["penalty"] == pytest.approx((7 / 90) ** 0.5) and got["busy"]["shared"] == 7 and got["busy"]["average"] == 20.0
+    assert got["late"]["delta_corr"] is None and got["late"]["blend"] == pytest.approx(0.6 * got["late"]["score"] + 0.3)  # no change, nothing of its weight
     assert got["late"]["shared"] == 2 and got["late"]["average"] == 25.0 and got["late"]["agreement"] == 0.0
     assert sorted(r["rank"] for r in got.values()) == [1, 2, 3, 4]
 

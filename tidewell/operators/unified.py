@@ -72,7 +72,7 @@ def evidence(events: DataFrame, changes: DataFrame, focus: str, lags: list[int],
     sums = sums.withColumn("average", F.when(F.col("product") > 0, F.col("product") / F.col("shared")))
     expected = F.col("fm") * F.col("cm")
     sums = sums.join(each, ["part", "candidate"]).join(own, "part")
-    sums = sums.select("part", "candidate", "shared", "average", F.when(expected > 0, F.least(F.lit(10.0), F.col("average") / expected)).alias("surprise"))
+    sums = sums.select("part", "candidate", "shared", "average", F.when((expected > 0) & F.col("average").isNotNull(), F.least(F.lit(10.0), F.col("average") / expected)).alias("surprise"))
 
     x = changes.where(F.col("sensor_id") == focus).select("part", "bucket", F.col("delta").alias("x"))
     y = changes.select("part", F.col("sensor_id").alias("candidate"), "bucket", F.col("delta").alias("y")).join(matched.select("part", "candidate", "lag"), ["part", "candidate"])
@@ -89,7 +89,7 @@ def ranked(found: DataFrame, how: Ranking) -> DataFrame:
     metric = F.col("surprise" if how.surprise else "average") * F.coalesce("penalty", F.lit(1.0))
     tops = found.groupBy("part").agg(F.max("score").alias("_s"), F.max(metric).alias("_m"))
     over = lambda v, m: F.coalesce(F.when((v > 0) & (F.col(m) > 0), F.least(F.lit(1.0), v / F.col(m))), F.lit(0.0))
-    blend = how.events * over(F.col("score"), "_s") + how.cooccurrence * over(metric, "_m") + how.delta_corr * F.coalesce(F.least(F.lit(1.0), F.abs("delta_corr")), F.lit(0.0))
+    blend = how.events * over(F.col("score"), "_s") + how.cooccurrence * over(metric, "_m") + how.delta_corr * F.least(F.lit(1.0), F.coalesce(F.abs("delta_corr"), F.lit(0.0)))
     out = found.join(tops, "part").withColumn("blend", blend).drop("_s", "_m").where("blend > 0")
     support = lambda n: (F.coalesce("overlap", F.lit(0)) >= n) | (F.coalesce("shared", F.lit(0)) >= n)
     out = out.withColumn("tier", F.when((F.col("blend") >= 0.75) & support(2), "high").when((F.col("blend") >= 0.35) & support(1), "medium").otherwise("low"))
