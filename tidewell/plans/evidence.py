@@ -68,7 +68,16 @@ def change_events_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.detect_changes(hourly(spark, sf_dir), HOUR, "delta", 2.7, sparse=True)
 
 
-@query()
+@query(
+    f"""RECURSIVE WITH {_STEPS}, {_detector(_DELTAS)}, fo AS ({_found(where='abs(z) >= 1.5')}),
+      og AS (SELECT sensor_id, bucket, abs(z) AS s, row_number() OVER (PARTITION BY sensor_id ORDER BY bucket) AS k FROM fo),
+      gr(sensor_id, k, last, s, run) AS (SELECT sensor_id, k, bucket, s, CAST(1 AS BIGINT) FROM og WHERE k = 1
+        UNION ALL SELECT og.sensor_id, og.k, CASE WHEN og.bucket - last <= 7200 AND og.s <= gr.s THEN last ELSE og.bucket END, CASE WHEN og.bucket - last <= 7200 AND og.s <= gr.s THEN gr.s ELSE og.s END, run + CASE WHEN og.bucket - last <= 7200 THEN 0 ELSE 1 END
+        FROM gr JOIN og ON og.sensor_id = gr.sensor_id AND og.k = gr.k + 1),
+      ke AS (SELECT sensor_id, arg_max(last, k) AS bucket FROM gr GROUP BY sensor_id, run)
+    SELECT_FROM SELECT fo.* FROM fo JOIN ke ON ke.sensor_id = fo.sensor_id AND ke.bucket = fo.bucket""",
+    "value z",
+)
 def change_events_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.detect_changes(hourly(spark, sf_dir), HOUR, "delta", 1.5, separation=2 * HOUR, greedy=True)
 

@@ -268,7 +268,14 @@ def contiguous_ack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(after, ["stream", "seq"], "left_anti").groupBy("stream").agg(F.min("seq").alias("acked"))
 
 
-@query()
+@query(
+    """WITH st AS (SELECT sensor_id AS node_id, min(bucket // 3600) AS hour, sum(agg_value) / 10 AS e, sum(agg_value) / 10 * 0.2 AS c FROM h GROUP BY 1),
+      lo AS (SELECT (bucket // 3600) % 24 AS hod, avg(agg_value) AS l FROM h WHERE sensor_id = 'click' GROUP BY 1), pv AS (SELECT bucket // 3600 AS hour, agg_value AS p FROM h WHERE sensor_id = 'view'),
+      ah AS (SELECT node_id, e, c, k, greatest(coalesce(p, 0), 0) * 0.75 - greatest(coalesce(l, 0), 0) AS net FROM st CROSS JOIN (SELECT unnest(range(1, 241)) AS k) LEFT JOIN pv ON pv.hour = st.hour + k - 1 LEFT JOIN lo ON lo.hod = (st.hour + k - 1) % 24),
+      cu AS (SELECT *, e + sum(net) OVER (PARTITION BY node_id ORDER BY k) AS after FROM ah), fi AS (SELECT node_id, min(k) AS k FROM cu WHERE net < 0 AND after <= c GROUP BY 1)
+    SELECT_FROM SELECT st.node_id, CASE WHEN st.e <= st.c THEN 0.0 WHEN fi.k IS NULL THEN 240.0 ELSE fi.k - 1 + (cu.after - cu.net - cu.c) / -cu.net END AS runway FROM st LEFT JOIN fi ON fi.node_id = st.node_id LEFT JOIN cu ON cu.node_id = st.node_id AND cu.k = fi.k""",
+    "runway",
+)
 def power_runway(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hourly(spark, sf_dir)
     hour = F.expr("bucket div 3600")
