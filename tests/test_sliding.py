@@ -49,3 +49,29 @@ def test_median_windows_of_rules(spark):
     rows = [("s", 3600 * i, float(i % 7)) for i in range(100)]
     got = {r["bucket"]: r["median_36000"] for r in rules.window_facts(spark.createDataFrame(rows, "sensor_id string, bucket long, agg_value double"), [36_000]).collect()}
     assert got == {3600 * i: float(np.median([j % 7 for j in range(max(0, i - 9), i + 1)])) for i in range(100)}
+
+
+def test_moments_against_numpy():
+    rng = np.random.default_rng(6)
+    times, values, known = np.sort(rng.integers(0, 300, 500)), np.round(rng.normal(1e6, 3, 500)), rng.random(500) > 0.2
+    for width in (1, 7, 100, 1000):
+        mean, deviation = sliding.moments_of(times, values, known, width)
+        for i, t in enumerate(times):
+            x = values[known & (times > t - width) & (times <= t)]
+            assert len(x) and (mean[i], deviation[i]) == pytest.approx((x.mean(), x.std()), rel=1e-9, abs=1e-9) or not len(x) and np.isnan(mean[i]) and np.isnan(deviation[i])
+    assert not sliding.moments_of(times, np.full(500, 0.1), known, 50)[1][known].any()
+
+
+def test_uptime_and_jitter_of_many_samples_a_day(spark, tmp_path):
+    """A window frame that is gone through for each row takes hours for these; samples of unknown quality are not good."""
+    from tidewell.plans import catalogue
+
+    n = 400_000
+    e = spark.range(n).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id * 0.4) AS ts", "1L AS user_id", "'click' AS event_type", "CAST(id % 7 AS DOUBLE) AS value", "IF(id % 4 = 0, NULL, concat('{\"k\": ', id % 3, '}')) AS props")
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    began = time.monotonic()
+    rows = {r["us"]: (r["uptime"], r["jitter"]) for r in catalogue.QUERIES["uptime_and_jitter"](spark, str(tmp_path)).where("us % 20000000 = 0").collect()}
+    assert time.monotonic() - began < 60
+    for at in (0, 50, 215_950, 216_000, 399_950):
+        ids = np.arange(max(0, at - 215_999), at + 1)
+        assert rows[1_704_067_200_000_000 + at * 400_000] == pytest.approx((100 * np.mean((ids % 4 != 0) & (ids % 3 == 0)), (ids % 7).std()), abs=2e-6)

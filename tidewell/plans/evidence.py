@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import stats as S
@@ -234,13 +234,11 @@ def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     "uptime jitter",
 )
 def uptime_and_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of good samples and deviation over the trailing day, in chunks that overlap by it."""
-    day, size = 86_400_000_000, 32 * 86_400_000_000
-    chunk = F.floor(F.col("us") / size)
-    m = metrics(spark, sf_dir).withColumn("_c", F.explode(F.when(F.pmod(F.col("us"), F.lit(size)) >= size - day, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))))
-    w = Window.partitionBy("sensor_id", "_c").orderBy("us").rangeBetween(1 - day, 0)
-    out = m.withColumn("uptime", 100 * F.avg((F.col("quality") == 0).cast("double")).over(w)).withColumn("jitter", F.stddev_pop("value").over(w))
-    return out.where(F.col("_c") == chunk).select("sensor_id", "us", "uptime", "jitter")
+    """Share of good samples and deviation over the trailing day."""
+    good = F.coalesce(F.col("quality") == 0, F.lit(False)).cast("double")
+    m = metrics(spark, sf_dir).select("sensor_id", "us", good.alias("good"), "value")
+    out = sliding.rolling_moments(m, ["sensor_id"], "us", ["good", "value"], 86_400_000_000)
+    return out.select("sensor_id", "us", (100 * F.col("good_mean")).alias("uptime"), F.col("value_deviation").alias("jitter"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, 'driver' AS origin FROM events")
