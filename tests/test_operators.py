@@ -216,6 +216,13 @@ def test_incident_rollover(spark):
     assert rows(rules.incidents(e, ["k"], "t", "s", "r"), "start", "end", "severity") == [(0, 9000, 3), (20000, 20000, 2)]
 
 
+def test_incidents_do_not_depend_on_the_order_of_events_at_one_time(spark):
+    e = [("k", 0, 1, False), ("k", 9000, 1, True), ("k", 9000, 2, False), ("k", 9000, 2, False), ("k", 20000, 3, True)]
+    for order in (e, e[::-1], [e[2], e[1], e[0], e[4], e[3]]):
+        df = spark.createDataFrame(order, "k string, t long, s int, r boolean").coalesce(1)
+        assert rows(rules.incidents(df, ["k"], "t", "s", "r"), "start", "end", "events", "severity") == [(0, 0, 1, 1), (9000, 20000, 4, 3)]
+
+
 def test_runway(spark):
     df = spark.range(1).select(F.array(*[F.lit(-100.0)] * 24).alias("n"), F.array(*[F.lit(5.0)] * 24).alias("up"))
     got = df.select(energy.runway_hours(F.col("n"), F.lit(450.0), F.lit(200.0)).alias("a"), energy.runway_hours(F.col("up"), F.lit(450.0), F.lit(200.0)).alias("b"), energy.runway_hours(F.col("n"), F.lit(100.0), F.lit(200.0)).alias("c")).first()

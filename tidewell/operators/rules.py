@@ -218,8 +218,11 @@ def _windows(node: dict[str, Any]) -> set[tuple[str, int]]:
 
 
 def incidents(events: DataFrame, keys: list[str], time: str, severity: str, resolved: str, gap: int = 1800) -> DataFrame:
-    """keys, start, end, events, severity: events at most ``gap`` apart; a resolution joins its incident however late."""
-    w = Window.partitionBy(*keys).orderBy(time)
+    """keys, start, end, events, severity: events at most ``gap`` apart; a resolution joins its incident however late.
+
+    Of events at one time the resolutions come last, so the incidents do not depend on the order of rows.
+    """
+    w = Window.partitionBy(*keys).orderBy(time, F.coalesce(resolved, F.lit(True)))
     fresh = F.when(F.lag(time).over(w).isNull() | ((F.col(time) - F.lag(time).over(w) > gap) & ~F.col(resolved)), 1).otherwise(0)
     numbered = events.withColumn("_n", fresh).withColumn("_i", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*keys, "_i").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("events"), F.max(severity).alias("severity")).drop("_i")
