@@ -721,3 +721,17 @@ def test_pipeline_of_empty_tables(spark, sf_dir, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_packing_worker_keeps_a_bounded_number_of_words():
+    """Executors hold two workers beside the heap; a million words kept by each took more than their memory in the pipeline."""
+    from tidewell.llm import packing
+    from tidewell.llm.registry import tokenizer_path
+
+    with open(tokenizer_path("word_bpe_49k.json"), "rb") as f:
+        own = packing.WordIds(f.read())
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = " ".join("q" + a + b + c + d for a in letters for b in letters for c in letters for d in letters)
+    ids = own.ids(text)
+    assert len(own.cache) + len(own.cache.old) <= 400_000
+    assert ids == np.array(own.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == own.ids(text)

@@ -55,7 +55,7 @@ class WordIds:
     strings of special tokens, or with characters that are not ``settled``, go to the library whole.
     """
 
-    def __init__(self, file: bytes, cache_size: int = 600_000):
+    def __init__(self, file: bytes, cache_size: int = 200_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(file.decode("utf-8"))
