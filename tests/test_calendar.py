@@ -136,3 +136,17 @@ def test_rules_of_a_zone_and_of_seconds(spark):
     assert got == [(2, us(2026, 3, 7, 12, 0, 3)), (2, us(2026, 3, 7, 12, 0, 7)), (3, us(2026, 3, 7, 12, 0, 1)), (3, us(2026, 3, 7, 12, 0, 2))]
     got = sorted(r["due"] for r in C.due_times(spark.createDataFrame(rows[:1], "rule_id int, rule string"), us(2026, 3, 7, 12), us(2026, 3, 9, 13)).collect())
     assert got == [us(2026, 3, 7, 13), us(2026, 3, 8, 12), us(2026, 3, 9, 12)]  # the clocks have changed
+
+
+def test_edges_of_many_schedules_that_share_their_blocks(spark):
+    """Instants are found once for each clock face; when each schedule found its own, these took minutes."""
+    import time
+
+    blocks = F.concat(F.lit('[{"day": "SU", "start": "0'), (F.col("id") % 3).cast("string"), F.lit(':30", "end": "05:00"}]'))
+    many = spark.range(60_000).select(F.col("id").alias("schedule_id"), F.lit("Europe/Berlin").alias("zone"), blocks.alias("blocks"))
+    began = time.monotonic()
+    window = (1_709_856_000 * US, 1_712_534_400 * US)
+    got = C.block_edges(many, *window).groupBy((F.col("schedule_id") % 3).alias("k"), "day", "edge", "us", "off_by").count().collect()
+    assert time.monotonic() - began < 40
+    few = C.block_edges(many.where("schedule_id < 3"), *window).collect()
+    assert sorted((r["k"], r["day"], r["edge"], r["us"], r["off_by"], r["count"]) for r in got) == sorted((*r, 20_000) for r in few) and len(few) == 30

@@ -62,11 +62,16 @@ def occurs(face: Column, zone: Column) -> Column:
     return F.when(F.size(both) == 0, "never").when(F.size(both) == 1, "once").otherwise("twice")
 
 
+def nearest_pair(starts: Column, ends: Column, length: Column) -> Column:
+    """struct(off_by, start, end): of two arrays of instants the pair in order whose distance is nearest to ``length`` (ties: the
+    earliest), and by how many seconds it differs; null if no pair is in order."""
+    pairs = F.flatten(F.transform(starts, lambda s: F.transform(ends, lambda e: F.struct((F.abs((e - s) - length) / US).cast("long").alias("off_by"), s.alias("start"), e.alias("end")))))
+    return F.array_min(F.filter(pairs, lambda p: p["end"] > p["start"]))
+
+
 def block_instants(start: Column, end: Column, zone: Column) -> Column:
-    """struct(start, end, off_by): the pair of instants whose distance is nearest to that of the clock faces (ties: the
-    earliest), and by how many seconds it differs; null if the end is not after the start, or no pair is in order."""
-    pairs = F.flatten(F.transform(instants(start, zone), lambda s: F.transform(instants(end, zone), lambda e: F.struct((F.abs((e - s) - (end - start)) / US).cast("long").alias("off_by"), s.alias("start"), e.alias("end")))))
-    best = F.array_min(F.filter(pairs, lambda p: p["end"] > p["start"]))
+    """struct(start, end, off_by) of ``nearest_pair`` for the clock faces of a block; null if the end is not after the start."""
+    best = nearest_pair(instants(start, zone), instants(end, zone), end - start)
     return F.when(end > start, F.struct(best["start"].alias("start"), best["end"].alias("end"), best["off_by"].alias("off_by")))
 
 
@@ -88,15 +93,22 @@ def block_edges(schedules: DataFrame, start_us: int, now_us: int) -> DataFrame:
 
     A block whose end is not after its start ends on the next day. The blocks of each local day from that of the
     window's start to that of its end are looked at. Blocks that can't be read, and texts that are no array, have no edges.
+    Schedules share their clock faces, so the instants of each face of a zone are found once and joined.
     """
     zone = F.col("zone")
-    days = F.sequence(date_of_face(local_face(F.lit(start_us).cast("long"), zone)), date_of_face(local_face(F.lit(now_us).cast("long"), zone)))
-    every = schedules.select("schedule_id", "zone", F.explode(F.from_json("blocks", _BLOCKS)).alias("b"), days.alias("days")).select("schedule_id", "zone", "b", F.explode("days").alias("day"))
-    weekday = F.element_at(F.array(*(F.lit(d) for d in WEEKDAYS)), F.weekday("day") + 1)
-    today = every.where(F.upper(F.trim("b.day")) == weekday).select("schedule_id", "zone", "day", _clock(F.col("b.start")).alias("a"), _clock(F.col("b.end")).alias("z")).where("a is not null and z is not null")
+    low, high = (date_of_face(local_face(F.lit(us).cast("long"), zone)) for us in (start_us, now_us))
+    every = schedules.select("schedule_id", "zone", F.explode(F.from_json("blocks", _BLOCKS)).alias("b"), low.alias("low"), high.alias("high"))
+    place = F.array_position(F.array(*(F.lit(d) for d in WEEKDAYS)), F.upper(F.trim("b.day"))).cast("int") - 1
+    first_day = F.date_add("low", F.pmod(place - F.weekday("low"), F.lit(7)))
+    read = every.where(place >= 0).select("schedule_id", "zone", _clock(F.col("b.start")).alias("a"), _clock(F.col("b.end")).alias("z"), first_day.alias("day"), "high").where("a is not null and z is not null and day <= high")
+    today = read.select("schedule_id", "zone", "a", "z", F.explode(F.sequence("day", "high", F.expr("interval 7 days"))).alias("day"))
     first = face_of_date(F.col("day")) + F.col("a")
     last = face_of_date(F.col("day")) + F.col("z") + F.when(F.col("z") <= F.col("a"), F.lit(DAY)).otherwise(0)
-    found = today.select("schedule_id", "day", block_instants(first, last, zone).alias("i")).where("i.start is not null")
+    blocks = today.select("schedule_id", "zone", "day", first.alias("first"), last.alias("last"))
+    faces = blocks.select("zone", F.explode(F.array("first", "last")).alias("face")).distinct().select("zone", "face", instants(F.col("face"), zone).alias("at"))
+    of = lambda name, at: faces.select("zone", F.col("face").alias(name), F.col("at").alias(at))
+    paired = blocks.join(of("first", "_starts"), ["zone", "first"]).join(of("last", "_ends"), ["zone", "last"])
+    found = paired.select("schedule_id", "day", nearest_pair(F.col("_starts"), F.col("_ends"), F.col("last") - F.col("first")).alias("i")).where("i is not null")
     edges = found.select("schedule_id", "day", "i.off_by", F.explode(F.array(F.struct(F.lit("start").alias("edge"), F.col("i.start").alias("us")), F.struct(F.lit("end").alias("edge"), F.col("i.end").alias("us")))).alias("e"))
     return edges.select("schedule_id", "day", "e.edge", "e.us", "off_by").where((F.col("us") > start_us) & (F.col("us") <= now_us))
 
