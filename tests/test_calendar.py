@@ -150,3 +150,20 @@ def test_edges_of_many_schedules_that_share_their_blocks(spark):
     assert time.monotonic() - began < 40
     few = C.block_edges(many.where("schedule_id < 3"), *window).collect()
     assert sorted((r["k"], r["day"], r["edge"], r["us"], r["off_by"], r["count"]) for r in got) == sorted((*r, 20_000) for r in few) and len(few) == 30
+
+
+def test_due_times_of_many_ids_that_share_their_rules(spark):
+    """Each set of texts is followed once; an id with two rules is due at the times of both."""
+    import time
+
+    k = F.col("id")
+    text = F.concat(F.lit("DTSTART:20260101T0"), (k % 3).cast("string"), F.lit("0000Z\nRRULE:FREQ=HOURLY;INTERVAL=5"))
+    many = spark.range(400_000).select(k.alias("rule_id"), text.alias("rule"))
+    more = spark.createDataFrame([(-1, "DTSTART:20260101T000000Z\nRRULE:FREQ=DAILY"), (-1, "DTSTART:20260101T000000Z\nRRULE:FREQ=DAILY;INTERVAL=2"), (-1, None), (-2, None)], "rule_id long, rule string")
+    began = time.monotonic()
+    window = (us(2026, 1, 10), us(2026, 1, 30))
+    got = C.due_times(many.unionByName(more), *window).groupBy(F.when(F.col("rule_id") < 0, -1).otherwise(F.col("rule_id") % 3).alias("k"), "due").count().collect()
+    assert time.monotonic() - began < 40
+    want = [(-1, us(2026, 1, d), 1) for d in range(11, 31)]
+    want += [(j, t, len(range(j, 400_000, 3))) for j in range(3) for t in range(us(2026, 1, 1, j), window[1] + 1, 5 * 3600 * US) if t > window[0]]
+    assert sorted(map(tuple, got)) == sorted(want)

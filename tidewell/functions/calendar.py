@@ -181,10 +181,12 @@ def due_times(rules: DataFrame, start_us: int, now_us: int, rule: str = "rule")
     """rule_id, due: the instants in (start, now] at which each of ``rules(rule_id, rule)`` recurs.
 
     Days of the window are exploded and filtered first, then hours, minutes and seconds; a rule with COUNT is followed from
-    its start. Local times of a rule with TZID that a zone skips or repeats go where Spark puts them.
+    its start. Local times of a rule with TZID that a zone skips or repeats go where Spark puts them. Ids share their
+    rules: each set of texts that an id has is followed once, and what is due by it joined.
     """
     c = F.col
-    p = parsed(rules, rule)
+    ids = rules.where(c(rule).isNotNull()).groupBy("rule_id").agg(F.array_sort(F.collect_set(rule)).alias("_set"))
+    p = parsed(ids.select("_set").distinct().select("_set", F.explode("_set").alias(rule)), rule)
     low = F.when(c("_count").isNotNull(), c("_start") - 1).otherwise(F.greatest(c("_start") - 1, local_face(F.lit(start_us).cast("long"), c("_zone"))))
     high = F.least(local_face(F.lit(now_us).cast("long"), c("_zone")), F.coalesce("_until", F.lit(1 << 62)))
     p = p.withColumn("_low", low).withColumn("_high", high).where("_low < _high")
@@ -203,8 +205,9 @@ def due_times(rules: DataFrame, start_us: int, now_us: int, rule: str = "rule")
         steps = steps.where((c("_face") + unit > c("_low")) & (c("_face") <= c("_high")) & ((level != k) | (whole % c("_every") == 0)))
     found = steps.where((c("_face") > c("_low")) & (c("_face") >= begin))
     due = _face(F.convert_timezone(c("_zone"), F.lit("UTC"), _ntz(c("_face"))))
-    found = found.select("rule_id", due.alias("due"), "_count").distinct()
+    found = found.select("_set", due.alias("due"), "_count").distinct()
     # COUNT bounds the rows of these rules, up to the window's end.
-    k = F.row_number().over(Window.partitionBy("rule_id").orderBy("due"))
+    k = F.row_number().over(Window.partitionBy("_set").orderBy("due"))
     counted = found.where(c("_count").isNotNull()).withColumn("_k", k).where("_k <= _count").drop("_k")
-    return found.where(c("_count").isNull()).unionByName(counted).where((c("due") > start_us) & (c("due") <= now_us)).select("rule_id", "due")
+    found = found.where(c("_count").isNull()).unionByName(counted).where((c("due") > start_us) & (c("due") <= now_us))
+    return ids.join(found, "_set").select("rule_id", "due")
