@@ -50,6 +50,20 @@ def test_dependency_paths_of_a_long_chain_and_of_nothing(spark):
     assert graphs.dependency_paths(chain.limit(0), pairs).count() == graphs.dependency_paths(chain, pairs.limit(0)).count() == 0
 
 
+def test_dependency_paths_to_few_focuses_do_not_follow_what_leads_elsewhere(spark):
+    """200 candidates share 200 inputs, of which one leads to the focus: what is written does not grow with their product."""
+    edges = [(f"c{i}", f"m{j}") for i in range(200) for j in range(200)] + [("m7", "x"), ("x", "f"), ("m3", "y"), ("y", "f")]
+    pairs = [(f"c{i}", "f") for i in range(200)]
+    written = []
+    stored, graphs.stored = graphs.stored, lambda df: written.append(stored(df)) or written[-1]
+    try:
+        got = graphs.dependency_paths(spark.createDataFrame(edges, "node string, input string"), spark.createDataFrame(pairs, "candidate string, focus string"), 3).collect()
+    finally:
+        graphs.stored = stored
+    assert {(r["candidate"], r["focus"], *r["path"]) for r in got} == {(c, f, c, "m3", "y", f) for c, f in pairs}
+    assert sum(df.count() for df in written[1:]) < 2_000  # written[0] are the edges themselves
+
+
 def fold(samples, m):
     """Row by row, as a battery's estimator goes."""
     out, by_node = {}, {}

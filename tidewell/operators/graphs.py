@@ -1,7 +1,9 @@
 """Paths through the graph of derived series: what a series is made of, level by level.
 
-The search is a join of the frontier with the edges for each level, for all pairs of a candidate and a focus
-at once; what a level has reached is written to the shared folder, so the plan does not grow.
+The search is a join of the frontier with the edges for each level; what a level has reached is written to the
+shared folder, so the plan does not grow. Where there are no more focuses than candidates it goes back from each
+focus, once for all candidates: the least path from a node begins with the least of its inputs that are
+a step nearer. Pairs whose search may meet its bound on visited nodes, and pairs of more focuses, are searched from the candidate.
 """
 
 from __future__ import annotations
@@ -27,6 +29,45 @@ def dependency_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = MAX_DE
     some = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
     links = stored(edges.select(some("node").alias("node"), some("input").alias("input")).dropna().distinct())
     asked = pairs.select(some("candidate").alias("candidate"), some("focus").alias("focus")).dropna().where("candidate <> focus").distinct()
+    asked = stored(asked)
+    candidates, focuses = asked.agg(F.count_distinct("candidate"), F.count_distinct("focus")).first()
+    if focuses > candidates:
+        return _forward(links, asked, max_depth, max_visited)
+    wide = _wide(links, max_depth, max_visited).select(F.col("node").alias("candidate"))
+    bounded = stored(asked.join(wide, "candidate", "left_semi"))
+    if bounded.isEmpty():
+        return _back(links, asked, max_depth)
+    return _back(links, asked.join(wide, "candidate", "left_anti"), max_depth).unionByName(_forward(links, bounded, max_depth, max_visited))
+
+
+def _wide(links: DataFrame, max_depth: int, max_visited: int) -> DataFrame:
+    """The nodes from which a search may meet ``max_visited`` before its last level, by the number of walks (no fewer than the nodes they enter)."""
+    most = F.lit(max_visited).cast("long")
+    walks = stored(links.groupBy("node").agg(F.least(F.count("*"), most).alias("n")))
+    every = walks.limit(0) if max_depth < 2 else walks
+    for _ in range(max_depth - 2):
+        ahead = links.join(walks.select(F.col("node").alias("input"), "n"), "input")
+        walks = stored(ahead.groupBy("node").agg(F.least(F.sum("n"), most).alias("n")))
+        every = every.unionByName(walks)
+    return stored(every.groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= most).select("node"))
+
+
+def _back(links: DataFrame, asked: DataFrame, max_depth: int) -> DataFrame:
+    """candidate, focus, depth, path by a search from each focus that enters every node."""
+    key = ["focus", "node"]
+    level = stored(asked.select("focus").distinct().select("focus", F.col("focus").alias("node"), F.array("focus").alias("path")))
+    reached = level
+    for _ in range(max_depth):
+        behind = links.join(level.select("focus", F.col("node").alias("input"), "path"), "input").groupBy(*key).agg(F.min("path").alias("path"))
+        level = stored(behind.join(reached.select(*key), key, "left_anti").select(*key, F.concat(F.array("node"), "path").alias("path")))
+        if level.isEmpty():
+            break
+        reached = reached.unionByName(level)
+    return asked.join(reached.withColumnRenamed("node", "candidate"), ["candidate", "focus"]).select("candidate", "focus", (F.size("path") - 1).alias("depth"), "path")
+
+
+def _forward(links: DataFrame, asked: DataFrame, max_depth: int, max_visited: int) -> DataFrame:
+    """The same by a search from each candidate, for each of its focuses."""
     front = stored(asked.select("candidate", "focus", F.col("candidate").alias("node"), F.array("candidate").alias("path")))
     key, seen, found = ["candidate", "focus"], front.select("candidate", "focus", "node"), None
     for _ in range(max_depth):
