@@ -735,3 +735,36 @@ def test_a_packing_worker_keeps_a_bounded_number_of_words():
     ids = own.ids(text)
     assert len(own.cache) + len(own.cache.old) <= 400_000
     assert ids == np.array(own.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == own.ids(text)
+
+
+def test_packing_ids_of_many_texts_at_once():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        own = packing.WordIds(f.read())
+    marks = ["a", "B", "ß", "Σ", "don't", "'re", "'", "_", "\x1c", "\x1f", " ", "\n", "\x0b", "\x85", "\xa0", "\u2003", "\u3000", ".", ",", "..", "!?", "1", "²", "Ⅷ", "漢", "é", "e\u0301", "İ", "<|endoftext|>", "\U0001fadf"]
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(marks, rng.integers(0, 12))) for _ in range(3000)] + [None, "", " ", "\xa0", "a.", "a.\xa0", "x,y"]
+    for text, ids in zip(texts, own.many(texts), strict=True):
+        assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+    assert own.many([]) == []
+
+
+def test_local_search_tries_two_bins_once_as_they_are(monkeypatch):
+    vain, whole = [], packing._best_exchange
+
+    def exchange(give, ordered, *rest):
+        step = whole(give, ordered, *rest)
+        if step is None:
+            vain.append((tuple(give), tuple(ordered)))
+        return step
+
+    monkeypatch.setattr(packing, "_best_exchange", exchange)
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        lengths = rng.integers(50, 900, 300).tolist()
+        vain.clear()
+        packing.improve(packing.best_fit(lengths, 1000), lengths, 1000)
+        assert 100 < len(vain) < 1.1 * len(set(vain))  # a bin may come back to what it was

@@ -28,17 +28,19 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import count
+from itertools import count, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import FragmentCache, materialize
 
+_AT_ONCE = 1 << 20  # bytes of text that a task tokenizes at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 CAPACITY, END_ID = 4096, 1
@@ -51,8 +53,10 @@ class WordIds:
     """Ids of whole texts by a word-end BPE tokenizer file, as bytes of 32-bit numbers.
 
     The file's normalizer (NFC, white space, lower case) and its pattern cut a text into words
-    whose ids do not depend on each other, so a worker tokenizes each word once. Texts with the
-    strings of special tokens, or with characters that are not ``settled``, go to the library whole.
+    whose ids do not depend on each other, so a worker tokenizes each word once. Many texts are
+    taken at once: Arrow cuts them at white space, each distinct fragment is looked up once, and
+    the ids are dealt back by number. Texts with the strings of special tokens, or with characters
+    that are not ``settled``, go to the library whole.
     """
 
     def __init__(self, file: bytes, cache_size: int = 200_000):
@@ -77,12 +81,39 @@ class WordIds:
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.plain or any(x in text for x in self.specials) or not settled(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return b"".join(map(self.cache.__getitem__, _WORDS.findall(text)))
+        return self.many([text])[0].tobytes()
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        whole: dict[int, np.ndarray] = {}
+        split = []
+        for k, text in enumerate(texts):
+            if not text:
+                split.append("")
+            elif not self.plain or any(x in text for x in self.specials) or not settled(text):
+                whole[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+                split.append("")
+            else:
+                split.append(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        parts = pc.ascii_split_whitespace(pa.array(split, pa.large_string()))  # other white space stays in a fragment
+        coded = parts.values.dictionary_encode()
+        kind = coded.indices.to_numpy()
+        cache, words, found = self.cache, _WORDS.findall, []
+        for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist():
+            if x.isalpha():
+                found.append(cache[x])
+            elif x[-1:] in _STOPS and x[:-1].isalpha():
+                found.append(cache[x[:-1]] + cache[x[-1]])
+            else:
+                found.append(b"".join(map(cache.__getitem__, words(x))))
+        size = np.fromiter((len(x) >> 2 for x in found), np.int32, len(found))
+        sizes = size[kind]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = np.repeat(((np.cumsum(size, dtype=np.int64) - size)[kind] - (ends - sizes)), sizes)
+        at += np.arange(len(at))
+        flat = np.frombuffer(b"".join(found), "<u4")[at]
+        cut = np.concatenate([[0], ends])[parts.offsets.to_numpy()].tolist()
+        return [whole[k] if k in whole else flat[cut[k] : cut[k + 1]] for k in range(len(texts))]
 
 
 _LATIN = re.compile("[\\x00-\u021f]*")
@@ -99,6 +130,7 @@ _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Re
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: The same for Python's re, whose letters include number signs that are no decimal digits; _word cuts these off.
 _WORDS = re.compile(r"[^\W\d_]+|'(?:[stmd]|re|ve|ll)|(?:[^\w\s]|[_\x1c-\x1f])+|\d")
+_STOPS = frozenset(".,;:!?")
 
 _TOKENIZERS: dict[str, WordIds] = {}
 
@@ -116,17 +148,20 @@ def piece_table(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         file = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = word_ids(file.value), np.array([end_id], "<u4").tobytes()
+        own, end = word_ids(file.value), np.array([end_id], "<u4")
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            filled = np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // _AT_ONCE
+            borders = sorted({0, *(np.flatnonzero(np.diff(filled)) + 1).tolist(), whole.num_rows})
+            for low, high in pairwise(borders):
+                batch = whole.slice(low, high - low)
                 rows = []
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = own.ids(text.as_py()) + end
-                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[start : start + 4 * capacity]
-                        rows.append((key, piece, start // 4, len(part) // 4, zlib.crc32(part)))
+                for key, ids in zip(batch.column(0).to_pylist(), own.many(batch.column(1).to_pylist()), strict=True):
+                    ids = np.concatenate([ids, end])
+                    for piece, start in enumerate(range(0, len(ids), capacity)):
+                        part = ids[start : start + capacity]
+                        rows.append((key, piece, start, len(part), zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
@@ -164,6 +199,9 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
     changed = False
     falling: dict[int, list[int]] = {}  # items of a bin by length, until it changes
     rising: dict[int, list[tuple[int, int]]] = {}
+    stamp = list(range(len(bins)))  # another number whenever a bin changes
+    stamps = count(len(bins))
+    vain: set[int] = set()  # two bins, as they are, without an exchange; emptied when large
     while len(live) > 1 or changed:
         if len(live) <= 1:  # what could not be emptied may be emptied now
             live, changed = [k for k in range(len(bins)) if 0 < fill[k] < capacity], False
@@ -171,6 +209,8 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
         live.sort(key=lambda k: fill[k])
         giver = live[0]
         for taker in reversed(live[1:]):
+            if stamp[giver] << 32 | stamp[taker] in vain:
+                continue
             room = capacity - fill[taker]
             if giver not in falling:
                 falling[giver] = sorted(bins[giver], key=lambda i: -lengths[i])
@@ -178,6 +218,9 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
                 rising[taker] = sorted((lengths[j], j) for j in bins[taker])
             step = _best_exchange(falling[giver], rising[taker], lengths, room, fill[giver], fill[taker])
             if step is None:
+                if len(vain) >= 1 << 18:
+                    vain.clear()
+                vain.add(stamp[giver] << 32 | stamp[taker])
                 continue
             out, back = step
             gain = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
@@ -188,6 +231,7 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
             for k in (giver, taker):
                 falling.pop(k, None)
                 rising.pop(k, None)
+                stamp[k] = next(stamps)
             live = [k for k in live if 0 < fill[k] < capacity]
             changed = True
             break
