@@ -97,3 +97,20 @@ def test_candidates_stop_where_the_pool_is_large_enough(spark, clustered):
     assert {r["stage"] for r in narrow} == {1} and all(r["candidate"].startswith("s") for r in narrow) and len(narrow) == 24
     assert sorted((r["focus"], r["rank"]) for r in narrow) == [(f, k) for f in ("s0001", "s0010") for k in range(1, 13)]
     assert vectors.candidates(index, focus.limit(0), vectors.Filters(), 12).count() == 0
+
+
+@pytest.mark.parametrize("most", [8192, 90, 5])
+def test_search_in_a_class_needs_no_cells(spark, clustered, monkeypatch, most):
+    """Classes of node and type have 80 rows; a query's null asks for nothing, so that query goes by cells."""
+    monkeypatch.setattr(vectors, "_CLASS", most)
+    df, rows = clustered
+    index = vectors.build(df, {"value": "value"}, ["node", "type"], cells=12)
+    queries = df.where("id like 's0%'").select(F.col("id").alias("query_id"), F.lit("value").alias("space"), F.col("value").alias("vector"), F.array("id").alias("exclude"), "node", F.expr("if(id = 's0077', null, type)").alias("type"))
+    found = vectors.search(index, queries, 100, None, ("node", "type"))
+    got = {}
+    for r in found.where("query_id like '%7' and query_id < 's0200'").orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    assert len(got) == 20
+    for q, ids in got.items():
+        assert ids == brute(rows, q, 100, keep=lambda r, q=q: r[3] == rows[q][3] and (q == "s0077" or r[5] == rows[q][5]), exclude=(q,))
+    assert (found.visited < 0.01) == (most > 80)
